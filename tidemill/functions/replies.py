@@ -37,6 +37,10 @@ def final_channel(c: Column | str) -> Column:
     )
 
 
+def _no_json(c: Column, limit: int) -> Column:
+    return F.concat(F.lit("No JSON found in response: "), truncate(c, limit), F.lit("..."))
+
+
 def json_part(c: Column | str) -> Column:
     """From the first `{` on, tokens removed; null without one. Trailing text stays."""
     clean = strip_tokens(c)
@@ -49,11 +53,10 @@ def first_json(c: Column | str) -> Column:
 
     Values are given as text (nested ones as JSON text); a repeated key keeps its last value.
     """
+    c = col_of(c)
     part = json_part(c)
     fields = F.from_json(part, RAW_JSON, JSON_OPTIONS)
-    error = F.when(
-        part.isNull(), F.concat(F.lit("No JSON found in response: "), truncate(c, 200))
-    ).when(fields.isNull(), F.lit("Invalid JSON"))
+    error = F.when(part.isNull(), _no_json(c, 200)).when(fields.isNull(), F.lit("Invalid JSON"))
     return F.struct(fields.alias("fields"), error.alias("error"))
 
 
@@ -88,6 +91,7 @@ def strict_labels(c: Column | str) -> Column:
     The bigint field rejects "1", true and 1.0, and an enum never equals the text of a
     number, list or object, so no value is coerced.
     """
+    c = col_of(c)
     part = json_part(c)
     schema = "monetary_stance string, trade_stance string, tariff_mention bigint, economic_outlook string"
     fields = F.from_json(part, schema, JSON_OPTIONS)
@@ -98,7 +102,7 @@ def strict_labels(c: Column | str) -> Column:
     flag = F.when(fields["tariff_mention"].isin(0, 1), fields["tariff_mention"])
     monetary, trade, outlook = ordinals
     error = (
-        F.when(part.isNull(), "No JSON found in response")
+        F.when(part.isNull(), _no_json(c, 200))
         .when(~readable, "Invalid JSON")
         .when(monetary.isNull(), "Invalid monetary_stance")
         .when(trade.isNull(), "Invalid trade_stance")
@@ -127,13 +131,13 @@ def lenient_labels(c: Column | str) -> Column:
     flag = (
         F.when(boolean.isNotNull(), boolean.cast("int"))
         .when(number.isin(0.0, 1.0), number.cast("int"))
-        .when(text.isin("0", "1"), F.expr("1") * text.try_cast("int"))
+        .when(text.isin("0", "1"), text.try_cast("int"))
     )
     invalid = lambda name: F.concat(
         F.lit(f"Invalid {name}: "), F.coalesce(fields[name], F.lit("None"))
     )
     error = (
-        F.when(part.isNull(), F.concat(F.lit("No JSON found in response: "), truncate(c, 100)))
+        F.when(part.isNull(), _no_json(c, 100))
         .when(fields.isNull(), F.lit("Invalid JSON"))
         .when(
             F.size(missing) > 0,
@@ -170,6 +174,7 @@ def summary_object(c: Column | str) -> Column:
     Two strings with a summary of 50 to 2000 characters pass as they are. Otherwise the
     summary alone is rescued: a list becomes bullet lines, other values their text.
     """
+    c = col_of(c)
     part = json_part(c)
     fields = F.from_json(part, RAW_JSON, JSON_OPTIONS)
     listed = F.from_json(part, "summary array<string>", JSON_OPTIONS)["summary"]
@@ -194,7 +199,7 @@ def summary_object(c: Column | str) -> Column:
     )
     rescued = F.when(listed.isNotNull(), bullets).otherwise(strip(text))
     error = (
-        F.when(part.isNull(), "No JSON found in response")
+        F.when(part.isNull(), _no_json(c, 200))
         .when(fields.isNull(), "Invalid JSON")
         .when(
             ~F.coalesce(passes, F.lit(False))

@@ -10,7 +10,7 @@ from catalog.inputs import JOINED, LABELS, LOG, RAW, REPLIES, SUMMARIES, SUMMARY
 from catalog.registry import query, sql_with
 from catalog.rows import CLEAN_CUSTOMERS, CUSTOMERS, customers
 from tidemill.functions import draws, replies, text
-from tidemill.operators import clean, scoring
+from tidemill.operators import clean, parsing, scoring
 
 _TOKEN = r"<\|[a-zA-Z_]+\|>"
 
@@ -51,7 +51,8 @@ def l2_final_channel(spark, sf):
     ),
 )
 def l3_json(spark, sf):
-    parsed = inputs.label_replies(spark, sf).select("doc_id", replies.first_json("reply").alias("p"))
+    answers = inputs.label_replies(spark, sf).select("doc_id", "reply")
+    parsed = parsing.parse_json(answers, "reply", "p")
     names = ["monetary_stance", "trade_stance", "tariff_mention", "economic_outlook"]
     return parsed.select(
         "doc_id",
@@ -98,7 +99,8 @@ STRICT_SQL = _parsed_sql(
 
 @query("l4_strict", STRICT_SQL)
 def l4_strict(spark, sf):
-    parsed = inputs.label_replies(spark, sf).select("doc_id", replies.strict_labels("reply").alias("p"))
+    answers = inputs.label_replies(spark, sf).select("doc_id", "reply")
+    parsed = parsing.parse_labels(answers, "reply", "p")
     return parsed.select("doc_id", "p.*")
 
 
@@ -138,7 +140,8 @@ def l5_ordinal(spark, sf):
     ),
 )
 def l6_lenient(spark, sf):
-    parsed = inputs.label_replies(spark, sf).select("doc_id", replies.lenient_labels("reply").alias("p"))
+    answers = inputs.label_replies(spark, sf).select("doc_id", "reply")
+    parsed = parsing.parse_labels_leniently(answers, "reply", "p")
     return parsed.select("doc_id", "p.*")
 
 
@@ -179,9 +182,8 @@ SUMMARY_OBJECT_SQL = (
     ),
 )
 def l8_summary_object(spark, sf):
-    parsed = inputs.summary_replies(spark, sf).select(
-        "doc_id", replies.summary_object("reply").alias("p")
-    )
+    answers = inputs.summary_replies(spark, sf).select("doc_id", "reply")
+    parsed = parsing.parse_summary(answers, "reply", "p")
     return parsed.select("doc_id", "p.*")
 
 
@@ -311,7 +313,8 @@ def l13_dead_letter(spark, sf):
     f"FROM ({STRICT_SQL})",
 )
 def l13_settled_replies(spark, sf):
-    parsed = inputs.label_replies(spark, sf).select("doc_id", replies.strict_labels("reply").alias("_p"))
+    answers = inputs.label_replies(spark, sf).select("doc_id", "reply")
+    parsed = parsing.parse_labels(answers, "reply", "_p").drop("reply")
     return scoring.settle_parsed(parsed, "_p", scoring.label_fallbacks())
 
 

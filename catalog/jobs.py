@@ -29,10 +29,10 @@ def _steps(spark, sf) -> document_job.DocumentSteps:
 
     return document_job.DocumentSteps(
         label=lambda rows: document_job.label_replies(
-            replied(rows, inputs.label_replies(spark, sf)), F.col("reply")
+            replied(rows, inputs.label_replies(spark, sf))
         ),
         summary=lambda rows: document_job.summary_replies(
-            replied(rows, inputs.summary_replies(spark, sf)), F.col("reply")
+            replied(rows, inputs.summary_replies(spark, sf))
         ),
         embed=lambda rows: rows.withColumn("embedding", vectors.hash_embedding("embed_text", 64)),
     )

@@ -29,7 +29,7 @@ def embedding_sql(dim: int, text: str = "text") -> str:
     """First eight values and the sum; the 32 values repeat dim / 32 times."""
     firsts = ", ".join(f"round({_value('digest', i)}, 6) AS v{i}" for i in range(8))
     return (
-        f"SELECT doc_id, {firsts}, round(({_TOTAL}) * {dim // 32}, 4) AS total, "
+        f"SELECT doc_id, {firsts}, round(({_TOTAL}) * {dim // 32}, 4) + 0.0 AS total, "
         f"CAST({dim} AS INTEGER) AS dim "
         f"FROM (SELECT doc_id, sha256({text}) AS digest FROM documents)"
     )
@@ -41,7 +41,7 @@ def _shown(df, digits: int = 6):
     return df.select(
         "doc_id",
         *[F.round(values[i].cast("double"), digits).alias(f"v{i}") for i in range(8)],
-        F.round(total, 4).alias("total"),
+        (F.round(total, 4) + 0.0).alias("total"),
         F.size(values).alias("dim"),
     )
 
@@ -56,7 +56,7 @@ def v1_hash_embedding(spark, sf):
 _BATCH_SQL = (
     embedding_sql(64, "substring(text, 1, 8192)")
     .replace(", 6) AS v", ", 5) AS v")
-    .replace(", 4) AS total", ", 2) AS total")
+    .replace(", 4) + 0.0 AS total", ", 2) + 0.0 AS total")
 )
 
 
@@ -65,7 +65,7 @@ def v2_batch_embed(spark, sf):
     documents = table(spark, sf, "documents").select("doc_id", "text")
     embedded = embed.embed_column(documents, embed.hash_embedder(64), "text")
     shown = _shown(embedded, 5)
-    return shown.withColumn("total", F.round("total", 2))
+    return shown.withColumn("total", F.round("total", 2) + 0.0)
 
 
 _NEAREST = (

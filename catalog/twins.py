@@ -248,5 +248,4 @@ def _mask_sql() -> str:
 
 @query("g10_mask", _mask_sql())
 def g10_mask(spark, sf):
-    masked = table(spark, sf, "documents").select("doc_id", masks.mask("text").alias("m"))
-    return masked.select("doc_id", "m.*")
+    return masks.mask_text(table(spark, sf, "documents").select("doc_id", "text"))

@@ -6,11 +6,9 @@ the one before.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import col_of
-
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
@@ -19,11 +17,23 @@ PATTERNS = {
 }
 
 
-def mask(text: Column | str) -> Column:
-    """struct(text, emails, ips, cards, phones): masked text and what was replaced."""
-    current = col_of(text)
-    counts = []
+# A text without this character cannot match, so the pattern is not tried on it.
+NEEDED = {"email": "@", "ip": ".", "phone": "("}
+
+
+def mask_text(df: DataFrame, column: str = "text") -> DataFrame:
+    """The text masked in place, and emails, ips, cards, phones: how often each was found.
+
+    Every kind is its own projection: its count and its replacement read the text the
+    last kind left, which is worked out once.
+    """
     for kind, pattern in PATTERNS.items():
-        counts.append(F.regexp_count(current, F.lit(pattern)).alias(f"{kind}s"))
-        current = F.regexp_replace(current, pattern, f"[{kind.upper()}]")
-    return F.struct(current.alias("text"), *counts)
+        current = F.col(column)
+        found = F.regexp_count(current, F.lit(pattern))
+        masked = F.regexp_replace(current, pattern, f"[{kind.upper()}]")
+        if kind in NEEDED:
+            likely = current.contains(NEEDED[kind])
+            found = F.when(likely, found).otherwise(F.when(current.isNotNull(), 0))
+            masked = F.when(likely, masked).otherwise(current)
+        df = df.withColumns({f"{kind}s": found, column: masked})
+    return df

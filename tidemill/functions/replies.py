@@ -1,7 +1,6 @@
-"""Model replies to checked values: control tokens, JSON, enums, summaries, error classes.
+"""Column expressions on model replies: control tokens, enums, summaries, error classes.
 
-Everything is a Column expression, so parsing runs next to the scan. A parse that
-can fail returns a struct whose `error` field is null on success.
+A check that can fail returns a struct whose `error` field is null on success.
 """
 
 from __future__ import annotations
@@ -12,9 +11,6 @@ from pyspark.sql import functions as F
 from tidemill.functions import fixed
 from tidemill.functions.text import col_of, strip, truncate
 
-JSON_OPTIONS = {"allowSingleQuotes": "false"}
-RAW_JSON = "map<string,string>"
-
 
 def strip_tokens(c: Column | str) -> Column:
     return F.regexp_replace(col_of(c), fixed.CONTROL_TOKEN, "")
@@ -37,29 +33,6 @@ def final_channel(c: Column | str) -> Column:
     )
 
 
-def _no_json(c: Column, limit: int) -> Column:
-    return F.concat(F.lit("No JSON found in response: "), truncate(c, limit), F.lit("..."))
-
-
-def json_part(c: Column | str) -> Column:
-    """From the first `{` on, tokens removed; null without one. Trailing text stays."""
-    clean = strip_tokens(c)
-    start = F.locate("{", clean)
-    return F.when(start > 0, F.substring(clean, start, F.length(clean)))
-
-
-def first_json(c: Column | str) -> Column:
-    """struct(fields map<string,string>, error): the first JSON object of a noisy text.
-
-    Values are given as text (nested ones as JSON text); a repeated key keeps its last value.
-    """
-    c = col_of(c)
-    part = json_part(c)
-    fields = F.from_json(part, RAW_JSON, JSON_OPTIONS)
-    error = F.when(part.isNull(), _no_json(c, 200)).when(fields.isNull(), F.lit("Invalid JSON"))
-    return F.struct(fields.alias("fields"), error.alias("error"))
-
-
 def ordinal(c: Column | str, scale: dict[str, int]) -> Column:
     """Label to number, null for an unknown label."""
     c = col_of(c)
@@ -70,89 +43,6 @@ def ordinal(c: Column | str, scale: dict[str, int]) -> Column:
     return branches
 
 
-def _ordinals(fields: Column, scales: list[dict[str, int]]) -> list[Column]:
-    names = ["monetary_stance", "trade_stance", "economic_outlook"]
-    return [ordinal(fields[name], scale) for name, scale in zip(names, scales)]
-
-
-def _label_struct(ordinals: list[Column], flag: Column, error: Column) -> Column:
-    monetary, trade, outlook = ordinals
-    ok = error.isNull()
-    values = zip(fixed.LABEL_FIELDS, [monetary, trade, flag, outlook])
-    return F.struct(
-        *[F.when(ok, value).cast("int").alias(name) for name, value in values],
-        error.alias("error"),
-    )
-
-
-def strict_labels(c: Column | str) -> Column:
-    """struct(four ordinals, error): enum strings as spelled, flag the JSON number 0 or 1.
-
-    The bigint field rejects "1", true and 1.0, and an enum never equals the text of a
-    number, list or object, so no value is coerced.
-    """
-    c = col_of(c)
-    part = json_part(c)
-    schema = "monetary_stance string, trade_stance string, tariff_mention bigint, economic_outlook string"
-    fields = F.from_json(part, schema, JSON_OPTIONS)
-    readable = F.from_json(part, RAW_JSON, JSON_OPTIONS).isNotNull()
-    ordinals = _ordinals(
-        fields, [fixed.STRICT_MONETARY, fixed.STRICT_TRADE, fixed.STRICT_OUTLOOK]
-    )
-    flag = F.when(fields["tariff_mention"].isin(0, 1), fields["tariff_mention"])
-    monetary, trade, outlook = ordinals
-    error = (
-        F.when(part.isNull(), _no_json(c, 200))
-        .when(~readable, "Invalid JSON")
-        .when(monetary.isNull(), "Invalid monetary_stance")
-        .when(trade.isNull(), "Invalid trade_stance")
-        .when(flag.isNull(), "Invalid tariff_mention")
-        .when(outlook.isNull(), "Invalid economic_outlook")
-    )
-    return _label_struct(ordinals, flag, error)
-
-
-def lenient_labels(c: Column | str) -> Column:
-    """struct(four ordinals, error): first flat `{...}`, seven spellings, flag also as text."""
-    c = col_of(c)
-    part = F.nullif(F.regexp_extract(c, r"\{[^}]+\}", 0), F.lit(""))
-    fields = F.from_json(part, RAW_JSON, JSON_OPTIONS)
-    missing = F.filter(
-        F.array(*[F.lit(name) for name in fixed.LABEL_FIELDS]),
-        lambda name: ~F.map_contains_key(F.coalesce(fields, F.create_map()), name),
-    )
-    ordinals = _ordinals(
-        fields, [fixed.LENIENT_MONETARY, fixed.LENIENT_TRADE, fixed.LENIENT_OUTLOOK]
-    )
-    monetary, trade, outlook = ordinals
-    number = F.from_json(part, "tariff_mention double", JSON_OPTIONS)["tariff_mention"]
-    boolean = F.from_json(part, "tariff_mention boolean", JSON_OPTIONS)["tariff_mention"]
-    text = fields["tariff_mention"]
-    flag = (
-        F.when(boolean.isNotNull(), boolean.cast("int"))
-        .when(number.isin(0.0, 1.0), number.cast("int"))
-        .when(text.isin("0", "1"), text.try_cast("int"))
-    )
-    invalid = lambda name: F.concat(
-        F.lit(f"Invalid {name}: "), F.coalesce(fields[name], F.lit("None"))
-    )
-    error = (
-        F.when(part.isNull(), _no_json(c, 100))
-        .when(fields.isNull(), F.lit("Invalid JSON"))
-        .when(
-            F.size(missing) > 0,
-            F.concat(
-                F.lit("Missing required fields: ['"), F.array_join(missing, "', '"), F.lit("']")
-            ),
-        )
-        .when(monetary.isNull(), invalid("monetary_stance"))
-        .when(trade.isNull(), invalid("trade_stance"))
-        .when(outlook.isNull(), invalid("economic_outlook"))
-        .when(flag.isNull(), invalid("tariff_mention"))
-    )
-    return _label_struct(ordinals, flag, error)
-
-
 def check_summary(c: Column | str) -> Column:
     """struct(summary, error): stripped, at least 50 characters, past 1500 cut and marked."""
     text = strip(c)
@@ -168,51 +58,6 @@ def check_summary(c: Column | str) -> Column:
     return F.struct(F.when(error.isNull(), kept).alias("summary"), error.alias("error"))
 
 
-def summary_object(c: Column | str) -> Column:
-    """struct(summary, error) from a reply holding `reasoning` and `summary`.
-
-    Two strings with a summary of 50 to 2000 characters pass as they are. Otherwise the
-    summary alone is rescued: a list becomes bullet lines, other values their text.
-    """
-    c = col_of(c)
-    part = json_part(c)
-    fields = F.from_json(part, RAW_JSON, JSON_OPTIONS)
-    listed = F.from_json(part, "summary array<string>", JSON_OPTIONS)["summary"]
-    parsed = F.try_parse_json(part)
-    kind = lambda name: F.schema_of_variant(
-        F.try_variant_get(parsed, f"$.{name}", "variant")
-    )
-    text = fields["summary"]
-    passes = (
-        (kind("reasoning") == "STRING")
-        & (kind("summary") == "STRING")
-        & F.length(text).between(fixed.SUMMARY_MIN_CHARS, fixed.SUMMARY_OBJECT_CHARS)
-    )
-    bullets = F.array_join(
-        F.transform(
-            F.filter(listed, lambda item: F.coalesce(item, F.lit("")) != ""),
-            lambda item: F.when(item.startswith("•"), item).otherwise(
-                F.concat(F.lit("• "), item)
-            ),
-        ),
-        "\n",
-    )
-    rescued = F.when(listed.isNotNull(), bullets).otherwise(strip(text))
-    error = (
-        F.when(part.isNull(), _no_json(c, 200))
-        .when(fields.isNull(), "Invalid JSON")
-        .when(
-            ~F.coalesce(passes, F.lit(False))
-            & (F.coalesce(F.length(rescued), F.lit(0)) < fixed.SUMMARY_MIN_CHARS),
-            "Invalid summary response",
-        )
-    )
-    value = F.when(F.coalesce(passes, F.lit(False)), text).otherwise(
-        truncate(rescued, fixed.SUMMARY_OBJECT_CHARS)
-    )
-    return F.struct(F.when(error.isNull(), value).alias("summary"), error.alias("error"))
-
-
 def error_class_of_message(message: Column | str) -> Column:
     """Timeout, then rate limit, then server codes (as whole numbers), else retryable."""
     message = col_of(message)

@@ -59,9 +59,12 @@ def twin_embed_text(title: Column | str, summary: Column | str) -> Column:
 def scrub(
     text: Column | str, title: Column | str, limit: int = fixed.EMBED_TEXT_CHARS
 ) -> Column:
-    """Drop NUL, strip, blank out what does not print, cut; too short falls back to the title."""
+    """Drop NUL, strip, blank out what does not print, cut; too short falls back to the title.
+
+    Blanking replaces one character by one, so cutting first gives the same text for less.
+    """
     without_nul = F.translate(col_of(text), "\x00", "")
-    clean = truncate(F.regexp_replace(strip(without_nul), NOT_PRINTABLE, " "), limit)
+    clean = F.regexp_replace(truncate(strip(without_nul), limit), NOT_PRINTABLE, " ")
     fallback = F.concat(F.lit("Speech: "), or_default(title, "Untitled"))
     return F.when(F.length(clean) >= 10, clean).otherwise(fallback)
 

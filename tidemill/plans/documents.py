@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.config import Layout, RunOptions
 from tidemill.functions import fixed, replies, text
-from tidemill.operators import clean, product, resume, scoring, stats
+from tidemill.operators import clean, parsing, product, resume, scoring, stats
 from tidemill.operators.skew import left_joins
 from tidemill.sources import collections, files
 
@@ -36,24 +36,21 @@ class DocumentSteps:
     embed: Step
 
 
-def label_replies(df: DataFrame, reply: Column, key: str = KEY) -> DataFrame:
+def label_replies(df: DataFrame, reply: str = "reply", key: str = KEY) -> DataFrame:
     """Label results from a column of model replies."""
-    parsed = df.select(key, replies.strict_labels(reply).alias("_parsed"))
+    parsed = parsing.parse_labels(df.select(key, reply), reply, "_parsed").drop(reply)
     return scoring.settle_parsed(parsed, "_parsed", scoring.label_fallbacks())
 
 
-def summary_replies(df: DataFrame, reply: Column, key: str = KEY) -> DataFrame:
+def summary_replies(df: DataFrame, reply: str = "reply", key: str = KEY) -> DataFrame:
     """Summary results from a column of model replies, the template where a reply is no good."""
-    described = df.withColumn("_object", replies.summary_object(reply))
-    checked = replies.check_summary(F.col("_object.summary"))
-    error = F.coalesce(F.col("_object.error"), F.col("_checked.error"))
-    parsed = described.withColumn("_checked", checked).select(
-        key,
-        F.struct(F.col("_checked.summary").alias("summary"), error.alias("error")).alias("_parsed"),
-        text.summary_fallback().alias("_fallback"),
-    )
+    template = text.summary_fallback().alias("_fallback")
+    read = parsing.parse_summary(df.select(key, reply, template), reply, "_object").drop(reply)
+    checked = read.withColumn("_checked", replies.check_summary("_object.summary"))
+    error = F.coalesce("_object.error", "_checked.error").alias("error")
+    parsed = checked.withColumn("_parsed", F.struct(F.col("_checked.summary"), error))
     settled = scoring.settle_parsed(parsed, "_parsed", {"summary": F.col("_fallback")})
-    return settled.drop("_fallback")
+    return settled.drop("_fallback", "_object", "_checked")
 
 
 def clean_step(raw: DataFrame, options: RunOptions, key: str = KEY) -> DataFrame:

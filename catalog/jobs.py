@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from catalog import inputs
@@ -11,7 +9,8 @@ from catalog.answers import SUMMARY_OBJECT_SQL, STRICT_SQL
 from catalog.inputs import RAW, SUMMARY_REPLIES, table
 from catalog.registry import query, sql_with
 from catalog.rows import CLEAN_CUSTOMERS, CUSTOMERS, customers
-from catalog.twins import GUESS_SQL, LEAK_SQL, MARGINAL_SQL
+from catalog.joins import PRODUCT
+from catalog.twins import GUESS_SQL, LEAK_MATCH, LEAK_SQL, MARGINAL_SQL, NUMERIC, TWIN_SQL
 from tidemill.config import RunOptions, TRIAL_RUN, Layout
 from tidemill.functions import vectors
 from tidemill.plans import customers as customer_job
@@ -19,6 +18,7 @@ from tidemill.plans import documents as document_job
 from tidemill.plans import twins as twin_job
 from tidemill.session import work_dir
 from tidemill.sources import files
+from tidemill.sources.versions import Repository
 
 
 def _steps(spark, sf) -> document_job.DocumentSteps:
@@ -57,7 +57,7 @@ _JOB = [
     "sums AS (SELECT doc_id, CASE WHEN length(trim(summary)) < 50 THEN NULL "
     "WHEN length(summary) > 1500 THEN substring(summary, 1, 1500) || '...' ELSE summary END "
     "AS summary FROM objects)",
-    "job AS (SELECT c.reference, c.title, c.is_gov, coalesce(s.monetary_stance, 3) "
+    "job AS (SELECT c.reference, c.date, c.central_bank, c.speaker, c.title, c.is_gov, coalesce(s.monetary_stance, 3) "
     "AS monetary_stance, coalesce(s.trade_stance, 3) AS trade_stance, "
     "coalesce(s.tariff_mention, 0) AS tariff_mention, "
     "coalesce(s.economic_outlook, 3) AS economic_outlook, "
@@ -126,27 +126,49 @@ def pl4_trial_product(spark, sf):
     return files.read_product(spark, answer["product"]).select(*_SHOWN)
 
 
-@query("pl2_twin_report")
+# the twin's own subqueries, on the product of this job
+_TWIN = [*_JOB, "product AS (SELECT * FROM job)", *TWIN_SQL[len(PRODUCT) :]]
+_ALL = ["date", "country", "author", "title", *NUMERIC, "tariff_mention", "is_gov", "summary"]
+_LEAK = LEAK_SQL.replace(LEAK_MATCH, " AND ".join(f"t.{c} IS NOT DISTINCT FROM s.{c}" for c in _ALL))
+
+
+@query(
+    "pl2_twin_report",
+    sql_with(
+        [*_TWIN, _LEAK, GUESS_SQL, MARGINAL_SQL],
+        "SELECT (SELECT count(*) FROM twin) AS num_records, "
+        "(SELECT count(*) FROM twin) AS object_count, CAST(64 AS BIGINT) AS dimensions, "
+        "round(1 - leaked_rows / twin_rows, 5) AS mia_score, "
+        "round(1 - guessed_rows / real_rows, 5) AS aia_score, "
+        "round(1 - (SELECT avg(distance) FROM gaps), 5) AS quality_score FROM leak, guesses",
+    ),
+)
 def pl2_twin_report(spark, sf):
-    """The twin of the finished product: sizes and verdicts of the job."""
-    answer, layout = _run(spark, sf, RunOptions())
-    embed = lambda rows: rows.withColumn(
-        "embedding", vectors.hash_embedding("embed_text", 64)
-    )
-    report = twin_job.run_twin(
-        files.read_product(spark, answer["product"]),
-        embed,
-        layout,
-        inputs.RUN_TIME,
-        log=lambda line: None,
-    )
+    """The twin of the finished product: sizes and scores of the job."""
+    report, _ = _twin(spark, sf)
     names = ["num_records", "object_count", "dimensions"]
     scores = ["mia_score", "aia_score", "quality_score"]
-    row = tuple(report[n] for n in names) + tuple(round(report[n], 6) for n in scores)
+    row = tuple(report[n] for n in names) + tuple(round(report[n], 5) for n in scores)
     schema = ", ".join([f"{n} bigint" for n in names] + [f"{n} double" for n in scores])
     return spark.createDataFrame([row], schema)
 
 
+@query("pl2_twin_rows", sql_with(_TWIN, f"SELECT *, '{inputs.RUN_TIME}' AS generated_at FROM twin"))
+def pl2_twin_rows(spark, sf):
+    report, layout = _twin(spark, sf)
+    return Repository(spark, layout.twin("versions")).read("documents", report["commit_id"])
+
+
+def _twin(spark, sf):
+    answer, layout = _run(spark, sf, RunOptions())
+    embed = lambda rows: rows.withColumn(
+        "embedding", vectors.hash_embedding("embed_text", 64)
+    )
+    product = files.read_product(spark, answer["product"])
+    report = twin_job.run_twin(product, embed, layout, inputs.RUN_TIME, log=lambda line: None)
+    return report, layout
+
+
 @query(
     "pl3_customer_report",
     sql_with(

@@ -68,35 +68,44 @@ def v2_batch_embed(spark, sf):
     return shown.withColumn("total", F.round("total", 2) + 0.0)
 
 
-_NEAREST = (
+# the queries: the mean vector of every label
+_CENTROIDS = (
+    "SELECT label AS query_id, list(m ORDER BY i) AS embedding FROM ("
+    "SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, "
+    "generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label"
+)
+NEAREST_SQL = (
     "SELECT query_id, vec_id, round(distance, 6) AS distance, "
     "round(1 - distance / 2, 6) AS certainty, CAST(rank AS INTEGER) AS rank FROM ("
     "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM ("
-    "SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_cosine_similarity("
-    "CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 12) AS distance "
-    "FROM embeddings v, ({queries}) q)) WHERE rank <= 10"
+    "SELECT q.query_id, v.vec_id, round(1 - list_cosine_similarity("
+    "q.embedding, CAST(v.embedding AS DOUBLE[])), 12) AS distance "
+    f"FROM embeddings v, ({_CENTROIDS}) q)) WHERE rank <= 10"
 )
 
 
-def _nearest(spark, sf, queries, **options):
-    stored = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    found = search.top_k(stored, queries, 10, **options)
+def _nearest(spark, sf, **options):
+    stored = table(spark, sf, "embeddings")
+    cells = stored.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))  # one entry per dimension
+    queries = means.groupBy(F.col("label").alias("query_id")).agg(ordered.alias("c"))
+    queries = queries.select("query_id", F.col("c.m").alias("embedding"))
+    found = search.top_k(stored.select("vec_id", "embedding"), queries, 10, **options)
     return found.withColumns(
         {"distance": F.round("distance", 6), "certainty": F.round("certainty", 6)}
     )
 
 
-@query("v3_top_k", _NEAREST.format(queries="SELECT * FROM embeddings WHERE vec_id < 10"))
+@query("v3_top_k", NEAREST_SQL)
 def v3_top_k(spark, sf):
-    queries = table(spark, sf, "embeddings").filter("vec_id < 10")
-    return _nearest(spark, sf, queries.selectExpr("vec_id AS query_id", "embedding"))
+    return _nearest(spark, sf)
 
 
-@query("v3_top_k_blocks", _NEAREST.format(queries="SELECT * FROM embeddings"))
+@query("v3_top_k_blocks", NEAREST_SQL)
 def v3_top_k_blocks(spark, sf):
-    """Every vector as a query, sent in several blocks."""
-    queries = table(spark, sf, "embeddings").selectExpr("vec_id AS query_id", "embedding")
-    return _nearest(spark, sf, queries, query_bytes=400 * 64 * 8)
+    """The same with room for four queries at a time."""
+    return _nearest(spark, sf, query_bytes=4 * 64 * 8)
 
 
 @query(

@@ -180,6 +180,26 @@ def s11_append(spark, sf):
     return stored.groupBy("reference").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query(
+    "s12_ensure_collection",
+    "SELECT true AS created, false AS created_again, count(*) AS objects FROM documents",
+)
+def s12_ensure_collection(spark, sf):
+    """Declared once; a second declaration leaves the loaded rows alone."""
+    path = Layout(work_dir(spark, "collection")).collection("documents")
+    created = collections.ensure_collection(spark, path, collections.DOCUMENT_PROPERTIES)
+    raw = inputs.raw_documents(spark, sf)
+    embedded = raw.withColumn("embedding", vectors.hash_embedding("title", 16))
+    collections.load_collection(clean.document_objects(embedded), path)
+    again = collections.ensure_collection(spark, path, {"reference": "text"})
+    stored = collections.read_collection(spark, path)
+    return stored.agg(
+        F.lit(created).alias("created"),
+        F.lit(again).alias("created_again"),
+        F.count(F.lit(1)).alias("objects"),
+    )
+
+
 @query(
     "s13_kinds",
     "SELECT * FROM (VALUES ('o_orderkey', 'int'), ('o_custkey', 'int'), ('o_orderstatus', 'text'), "

@@ -8,9 +8,13 @@ from catalog import inputs
 from catalog.inputs import JOINED, RAW, RESULTS, SUMMARIES, duck_digest, duck_uniform, table
 from catalog.joins import PRODUCT, document_product
 from catalog.registry import query, sql_with
-from tidemill.functions import masks
-from tidemill.operators import privacy, twin
+from tidemill.config import Layout
+from tidemill.functions import masks, vectors
+from tidemill.operators import clean, privacy, twin
+from tidemill.plans.documents import stored
 from tidemill.plans.twins import QUASI, TARGET, VALUES, twin_source
+from tidemill.session import work_dir
+from tidemill.sources import collections
 
 SEED = 42
 KEY = "reference"
@@ -139,10 +143,10 @@ def g7_holdout(spark, sf):
 
 
 _ATTRIBUTES = ["country", "author", "monetary_stance", "trade_stance", "tariff_mention"]
-_SAME = " AND ".join(f"t.{c} IS NOT DISTINCT FROM s.{c}" for c in _ATTRIBUTES)
+LEAK_MATCH = " AND ".join(f"t.{c} IS NOT DISTINCT FROM s.{c}" for c in _ATTRIBUTES)
 LEAK_SQL = (
     "leak AS (SELECT count(*) AS twin_rows, count(*) FILTER (WHERE EXISTS "
-    f"(SELECT 1 FROM source s WHERE {_SAME})) AS leaked_rows FROM twin t)"
+    f"(SELECT 1 FROM source s WHERE {LEAK_MATCH})) AS leaked_rows FROM twin t)"
 )
 
 
@@ -221,8 +225,10 @@ def g9_marginal(spark, sf):
     ),
 )
 def g8_report(spark, sf):
-    rows = source(spark, sf)
-    synthetic = made(spark, sf, rows)
+    # several measures read both tables, so both are stored first
+    folder = work_dir(spark, "twin-report")
+    rows = stored(source(spark, sf), f"{folder}/source")
+    synthetic = stored(made(spark, sf, rows), f"{folder}/twin")
     scored = privacy.scores(rows, synthetic, _ATTRIBUTES, QUASI, TARGET, VALUES)
     report = privacy.evaluation_report(rows, synthetic, scored, inputs.RUN_TIME, "twin-check")
     names = ["mia_score", "aia_score", "quality_score"]
@@ -249,3 +255,37 @@ def _mask_sql() -> str:
 @query("g10_mask", _mask_sql())
 def g10_mask(spark, sf):
     return masks.mask_text(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query(
+    "g11_isolation",
+    sql_with(
+        TWIN_SQL,
+        "SELECT 'documents' AS collection, count(*) AS objects, CAST(0 AS BIGINT) AS synthetic "
+        "FROM source UNION ALL SELECT 'synthetic', count(*), count(*) FILTER (WHERE is_synthetic "
+        "AND starts_with(reference, 'SYNTH-')) FROM twin",
+    ),
+)
+def g11_isolation(spark, sf):
+    """Both tables indexed: each collection holds its own kind only."""
+    layout = Layout(work_dir(spark, "isolation"))
+    rows = source(spark, sf)
+    vector = vectors.hash_embedding("title", 16).alias("embedding")
+    found = []
+    for name, objects in [
+        ("documents", clean.document_objects(rows.select("*", vector))),
+        ("synthetic", clean.twin_objects(made(spark, sf, rows).select("*", vector))),
+    ]:
+        path = layout.collection(name)
+        collections.load_collection(objects, path)
+        marked = F.col("reference").startswith("SYNTH-")
+        if name == "synthetic":
+            marked = marked & F.col("is_synthetic")
+        found.append(
+            collections.read_collection(spark, path).agg(
+                F.lit(name).alias("collection"),
+                F.count(F.lit(1)).alias("objects"),
+                F.count_if(marked).alias("synthetic"),
+            )
+        )
+    return found[0].unionByName(found[1])

@@ -107,8 +107,10 @@ def clean_customers(df: DataFrame) -> DataFrame:
     return df.withColumns({"region": text.title_case("region"), "spend": spend, "tier": tier})
 
 
-def _or_missing(df: DataFrame, name: str, default) -> Column:
-    return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
+def _or_missing(df: DataFrame, name: str, default, kind: str = "string") -> Column:
+    """A column in its stored type; null, or no such column, gives the default."""
+    fallback = F.lit(default).cast(kind)
+    return F.coalesce(F.col(name).cast(kind), fallback) if name in df.columns else fallback
 
 
 def document_objects(df: DataFrame, key: str = "reference") -> DataFrame:
@@ -116,13 +118,13 @@ def document_objects(df: DataFrame, key: str = "reference") -> DataFrame:
     governor = "is_governor" if "is_governor" in df.columns else "is_gov"
     return df.select(
         key,
-        _or_missing(df, "date", "").cast("string").alias("date"),
+        _or_missing(df, "date", "").alias("date"),
         _or_missing(df, "central_bank", "Unknown").alias("central_bank"),
         _or_missing(df, "speaker", "Unknown").alias("speaker"),
         _or_missing(df, "title", "Untitled").alias("title"),
         text.truncate(_or_missing(df, "text", ""), fixed.INDEX_TEXT_CHARS).alias("text"),
         *_label_objects(df),
-        _or_missing(df, governor, False).cast("boolean").alias("is_governor"),
+        _or_missing(df, governor, False, "boolean").alias("is_governor"),
         *_vector(df),
     )
 
@@ -131,13 +133,13 @@ def twin_objects(df: DataFrame, key: str = "reference") -> DataFrame:
     """What a synthetic collection stores: the summary instead of the text, always marked."""
     return df.select(
         key,
-        _or_missing(df, "date", "").cast("string").alias("date"),
+        _or_missing(df, "date", "").alias("date"),
         _or_missing(df, "country", "Unknown").alias("country"),
         _or_missing(df, "author", "Unknown").alias("author"),
         _or_missing(df, "title", "Untitled").alias("title"),
         text.truncate(_or_missing(df, "summary", ""), fixed.TWIN_INDEX_CHARS).alias("summary"),
         *_label_objects(df),
-        _or_missing(df, "is_gov", False).cast("boolean").alias("is_gov"),
+        _or_missing(df, "is_gov", False, "boolean").alias("is_gov"),
         F.lit(True).alias("is_synthetic"),
         *_vector(df),
     )
@@ -152,6 +154,5 @@ def _label_objects(df: DataFrame) -> list[Column]:
     columns = []
     for name in fixed.LABEL_FIELDS:
         kind = "boolean" if name == "tariff_mention" else "int"
-        value = _or_missing(df, name, fixed.LABEL_FALLBACK[name])
-        columns.append(value.cast(kind).alias(name))
+        columns.append(_or_missing(df, name, fixed.LABEL_FALLBACK[name], kind).alias(name))
     return columns

@@ -46,6 +46,14 @@ def with_synth_ids(df: DataFrame, order_by: list[str], key: str = "reference") -
     return indexed.withColumn(key, synth_id("_index")).drop("_index")
 
 
+def digits_for(rows: int) -> int:
+    """Hex digits that keep a bucket near 100,000 rows, between 4096 buckets and 16 million."""
+    digits = 3
+    while digits < 6 and rows > 100_000 * 16**digits:
+        digits += 1
+    return digits
+
+
 def scattered_index(
     df: DataFrame,
     digest: str,
@@ -56,25 +64,23 @@ def scattered_index(
     """0..n-1 in the order of an md5 column, within each value of `group` if one is given.
 
     The first hex digits of a digest split the rows into even, already ordered buckets.
-    Rows are numbered inside their bucket and moved up by the rows of all earlier buckets,
-    so one shuffle does it and the only broadcast is one row per bucket (16^hex_digits).
+    Rows are numbered inside their bucket and moved up by the rows of all earlier buckets.
+    The rows move once: the bucket starts join them on the partitioning of the numbering.
+    Digests are taken of a unique key, so that no bucket can grow out of proportion.
     """
     keys = [group] if group else []
     bucket = F.substring(digest, 1, hex_digits)
     bucketed = df.withColumn("_bucket", bucket)
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = (
-        W.partitionBy(*keys)
-        .orderBy("_bucket")
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
+    # at most 16^hex_digits rows per group
+    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(
         *keys, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start")
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(digest)
     return (
         bucketed.withColumn("_local", F.row_number().over(inside) - 1)
-        .join(F.broadcast(starts), [*keys, "_bucket"])
+        .join(starts, [*keys, "_bucket"])
         .withColumn(name, F.col("_start") + F.col("_local"))
         .drop("_bucket", "_start", "_local")
     )

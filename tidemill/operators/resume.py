@@ -62,7 +62,8 @@ def score_with_resume(
     and each chunk is its own append: a run that dies keeps all finished chunks.
     """
     spark = df.sparkSession
-    todo = remaining_rows(df, load_results(spark, path), key)
+    earlier = load_results(spark, path)
+    todo = remaining_rows(df, earlier, key)
     if chunks > 1:
         stage = work_dir(spark, "stage")
         part = F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
@@ -73,13 +74,10 @@ def score_with_resume(
         work = [todo]
     done = failed = 0
     for chunk in work:
-        if chunk.isEmpty():
-            continue
         counts = append_results(score(chunk), path)
         done, failed = done + counts["rows"], failed + counts["failed"]
         if report is not None:
             report({"processed": done, "failed": failed, "success": done - failed})
-    results = finalize_results(spark, path, key)
-    if results is None:
+    if earlier is None and done == 0:
         raise RuntimeError(f"no results at {path}: the input has no rows")
-    return results
+    return finalize_results(spark, path, key)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.functions.vectors import certainty
 
@@ -87,6 +88,8 @@ def _nearest(vectors, queries, k, key, query_key, column) -> DataFrame:
         ]
     )
 
+    arrow_schema = to_arrow_schema(schema)
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -128,7 +131,8 @@ def _nearest(vectors, queries, k, key, query_key, column) -> DataFrame:
                         query_key: [query] * len(values),
                         key: list(kept),
                         "distance": values,
-                    }
+                    },
+                    schema=arrow_schema,
                 )
 
     return vectors.select(key, column).mapInArrow(run, schema)

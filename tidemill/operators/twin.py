@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemill.functions import draws, fixed
 from tidemill.operators.clean import select_existing
-from tidemill.operators.index import scattered_index, synth_id, with_digest
+from tidemill.operators.index import digits_for, scattered_index, synth_id, with_digest
 
 
 @dataclass(frozen=True)
@@ -120,13 +120,18 @@ def permuted_columns(
 
 
 def make_twin(
-    df: DataFrame, roles: Roles, key: str = "reference", seed: int = 42, hex_digits: int = 3
+    df: DataFrame,
+    roles: Roles,
+    key: str = "reference",
+    seed: int = 42,
+    hex_digits: int | None = None,
 ) -> DataFrame:
     """The synthetic table: same size, new ids, columns treated by role, others copied.
 
     The key must be unique. Rows take their place by digest, so a new id says nothing
-    about the order of the source.
+    about the order of the source. The number of buckets follows the number of rows.
     """
+    hex_digits = hex_digits or digits_for(df.count())
     rest = perturb(df, key, roles, seed).drop(*roles.categorical)
     rest = with_digest(rest, key, seed, "row")
     placed = scattered_index(rest, "_digest", None, "position", hex_digits).drop("_digest")

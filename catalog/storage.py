@@ -12,6 +12,7 @@ from catalog.twins import TWIN_SQL, made
 from tidemill.config import TRIAL_RUN, Layout
 from tidemill.functions import vectors
 from tidemill.operators import clean, resume, stats
+from tidemill.plans import documents as document_job
 from tidemill.session import work_dir
 from tidemill.sources import collections, files
 from tidemill.sources.versions import Repository
@@ -143,7 +144,8 @@ def s10_twin_snapshot(spark, sf):
 def _objects(spark, sf):
     raw = clean.clean_documents(inputs.raw_documents(spark, sf))
     embedded = raw.withColumn("embedding", vectors.hash_embedding("title", 64))
-    return clean.document_objects(embedded)
+    path = f"{work_dir(spark, 'objects')}/objects"
+    return document_job.stored(clean.document_objects(embedded), path)
 
 
 @query(

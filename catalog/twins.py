@@ -111,8 +111,13 @@ TWIN_SQL = [
 ]
 
 
+def stored_source(spark, sf):
+    """The source written once: making and judging a twin read it several times."""
+    return stored(source(spark, sf), f"{work_dir(spark, 'twin')}/source")
+
+
 def made(spark, sf, rows=None):
-    rows = source(spark, sf) if rows is None else rows
+    rows = stored_source(spark, sf) if rows is None else rows
     return twin.make_twin(rows, twin.infer_roles(rows, KEY), KEY, SEED)
 
 
@@ -158,7 +163,7 @@ LEAK_SQL = (
     ),
 )
 def g9_leak(spark, sf):
-    rows = source(spark, sf)
+    rows = stored_source(spark, sf)
     found = privacy.leak_rate(rows, made(spark, sf, rows), _ATTRIBUTES)
     return found.withColumn("leak_rate", F.round("leak_rate", 6))
 
@@ -182,7 +187,7 @@ GUESS_SQL = (
     ),
 )
 def g9_inference(spark, sf):
-    rows = source(spark, sf)
+    rows = stored_source(spark, sf)
     found = privacy.inference_rate(rows, made(spark, sf, rows), QUASI, TARGET)
     return found.withColumn("inference_rate", F.round("inference_rate", 6))
 
@@ -204,7 +209,7 @@ MARGINAL_SQL = "gaps AS (" + " UNION ALL ".join(_distance(c) for c in VALUES) +
 
 @query("g9_marginal", sql_with([*TWIN_SQL, MARGINAL_SQL], "SELECT * FROM gaps"))
 def g9_marginal(spark, sf):
-    rows = source(spark, sf)
+    rows = stored_source(spark, sf)
     found = privacy.marginal_distances(rows, made(spark, sf, rows), VALUES)
     return found.withColumn("distance", F.round("distance", 6))
 
@@ -226,9 +231,8 @@ def g9_marginal(spark, sf):
 )
 def g8_report(spark, sf):
     # several measures read both tables, so both are stored first
-    folder = work_dir(spark, "twin-report")
-    rows = stored(source(spark, sf), f"{folder}/source")
-    synthetic = stored(made(spark, sf, rows), f"{folder}/twin")
+    rows = stored_source(spark, sf)
+    synthetic = stored(made(spark, sf, rows), f"{work_dir(spark, 'twin')}/made")
     scored = privacy.scores(rows, synthetic, _ATTRIBUTES, QUASI, TARGET, VALUES)
     report = privacy.evaluation_report(rows, synthetic, scored, inputs.RUN_TIME, "twin-check")
     names = ["mia_score", "aia_score", "quality_score"]
@@ -269,7 +273,7 @@ def g10_mask(spark, sf):
 def g11_isolation(spark, sf):
     """Both tables indexed: each collection holds its own kind only."""
     layout = Layout(work_dir(spark, "isolation"))
-    rows = source(spark, sf)
+    rows = stored_source(spark, sf)
     vector = vectors.hash_embedding("title", 16).alias("embedding")
     found = []
     for name, objects in [

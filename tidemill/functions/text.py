@@ -63,10 +63,10 @@ def scrub(
 
     Blanking replaces one character by one, so cutting first gives the same text for less.
     """
-    without_nul = F.translate(col_of(text), "\x00", "")
-    clean = F.regexp_replace(truncate(strip(without_nul), limit), NOT_PRINTABLE, " ")
+    kept = truncate(strip(F.translate(col_of(text), "\x00", "")), limit)
     fallback = F.concat(F.lit("Speech: "), or_default(title, "Untitled"))
-    return F.when(F.length(clean) >= 10, clean).otherwise(fallback)
+    clean = F.regexp_replace(kept, NOT_PRINTABLE, " ")
+    return F.when(F.length(kept) >= 10, clean).otherwise(fallback)
 
 
 def title_case(c: Column | str) -> Column:

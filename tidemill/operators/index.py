@@ -7,30 +7,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions import draws
-from tidemill.session import shared_dir
+from tidemill.session import work_dir
 
 
 def dense_index(df: DataFrame, order_by: list[str], name: str = "row_index") -> DataFrame:
     """0..n-1 in the order of a unique key.
 
-    A range sort is cut to the checkpoint folder, so that counting and numbering see the
-    same partitions; the driver holds one count per partition.
+    The sorted rows are written to the shared folder once. A row's number is its place in
+    its file plus the rows of all earlier files, so counting and numbering agree whatever
+    happens to executors in between. The file counts are one small row per file.
     """
-    shared_dir(df.sparkSession)
-    ordered = df.orderBy(*order_by).checkpoint()
-    counts = ordered.groupBy(F.spark_partition_id().alias("pid")).count().collect()
-    starts, total = {}, 0
-    for row in sorted(counts, key=lambda r: r["pid"]):
-        starts[row["pid"]], total = total, total + row["count"]
-    offsets = df.sparkSession.createDataFrame(
-        [(pid, start) for pid, start in starts.items()], "_pid int, _start bigint"
+    spark = df.sparkSession
+    path = work_dir(spark, "sorted")
+    df.orderBy(*order_by).write.parquet(path)
+    part = [
+        F.regexp_extract("_metadata.file_name", pattern, 1).cast("int")
+        for pattern in (r"^part-(\d+)", r"-c(\d+)")
+    ]
+    placed = spark.read.parquet(path).select(
+        "*",
+        part[0].alias("_part"),
+        part[1].alias("_piece"),
+        F.col("_metadata.row_index").alias("_local"),
+    )
+    sizes = placed.groupBy("_part", "_piece").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = W.orderBy("_part", "_piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(
+        "_part", "_piece", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start")
     )
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = ordered.select("*", F.spark_partition_id().alias("_pid"), local.alias("_local"))
     return (
-        numbered.join(F.broadcast(offsets), "_pid")
+        placed.join(F.broadcast(starts), ["_part", "_piece"])
         .withColumn(name, F.col("_start") + F.col("_local"))
-        .drop("_pid", "_start", "_local")
+        .drop("_part", "_piece", "_start", "_local")
     )
 
 

@@ -24,16 +24,16 @@ NEEDED = {"email": "@", "ip": ".", "phone": "("}
 def mask_text(df: DataFrame, column: str = "text") -> DataFrame:
     """The text masked in place, and emails, ips, cards, phones: how often each was found.
 
-    Every kind is its own projection: its count and its replacement read the text the
-    last kind left, which is worked out once.
+    Every kind is its own projection on the text the last kind left, which is worked out
+    once. Matches are counted only in texts that a replacement changed.
     """
     for kind, pattern in PATTERNS.items():
         current = F.col(column)
-        found = F.regexp_count(current, F.lit(pattern))
         masked = F.regexp_replace(current, pattern, f"[{kind.upper()}]")
         if kind in NEEDED:
-            likely = current.contains(NEEDED[kind])
-            found = F.when(likely, found).otherwise(F.when(current.isNotNull(), 0))
-            masked = F.when(likely, masked).otherwise(current)
-        df = df.withColumns({f"{kind}s": found, column: masked})
-    return df
+            masked = F.when(current.contains(NEEDED[kind]), masked).otherwise(current)
+        df = df.withColumn("_masked", masked)
+        found = F.when(F.col("_masked") != current, F.regexp_count(current, F.lit(pattern)))
+        found = found.otherwise(F.when(current.isNotNull(), 0))
+        df = df.withColumns({f"{kind}s": found, column: F.col("_masked")})
+    return df.drop("_masked")

@@ -63,7 +63,7 @@ def scrub(
 
     Blanking replaces one character by one, so cutting first gives the same text for less.
     """
-    kept = truncate(strip(F.translate(col_of(text), "\x00", "")), limit)
+    kept = truncate(strip(F.replace(col_of(text), F.lit("\x00"), F.lit(""))), limit)
     fallback = F.concat(F.lit("Speech: "), or_default(title, "Untitled"))
     clean = F.regexp_replace(kept, NOT_PRINTABLE, " ")
     return F.when(F.length(kept) >= 10, clean).otherwise(fallback)

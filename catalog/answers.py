@@ -269,6 +269,30 @@ def l11_backoff(spark, sf):
     )
 
 
+_DELAY = (
+    "least(pow(2.0, attempts), 60.0) * (1 + 0.2 * (2 * "
+    + inputs.duck_uniform("record_id", 42, "retry")
+    + " - 1))"
+)
+
+
+@query(
+    "l11_next_retry",
+    sql_with(
+        [*_RESOLVED, "ends_at AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id)"],
+        f"SELECT record_id, ts + to_microseconds(CAST(round({_DELAY} * 1000000) AS BIGINT)) "
+        "AS next_retry_at FROM resolved JOIN ends_at ON record_id = user_id WHERE status = 'failed'",
+    ),
+)
+def l11_next_retry(spark, sf):
+    """When each failed record is due again, counted from its last event."""
+    log = inputs.attempt_log(spark, sf)
+    resolved = scoring.resolve_attempts(log, "record_id", ["ts", "event_id"])
+    last = log.groupBy("record_id").agg(F.max("ts").alias("ts"))
+    letters = scoring.to_dead_letter(resolved).join(last, "record_id", "left")
+    return scoring.schedule_retries(letters, "record_id", "ts").select("record_id", "next_retry_at")
+
+
 @query(
     "l12_fallbacks",
     sql_with(

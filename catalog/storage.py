@@ -233,6 +233,14 @@ def s14_count_delete(spark, sf):
     return spark.createDataFrame(row, schema)
 
 
+@query("a16_object_count", "SELECT count(*) AS objects FROM embeddings")
+def a16_object_count(spark, sf):
+    path = Layout(work_dir(spark, "collection")).collection("vectors")
+    collections.load_collection(table(spark, sf, "embeddings"), path, "vec_id")
+    count = collections.count_objects(spark, path)
+    return spark.createDataFrame([(count,)], "objects bigint")
+
+
 @query(
     "s15_required_columns",
     sql_with(LABELS, "SELECT reference, monetary_stance, trade_stance FROM results"),
@@ -267,6 +275,28 @@ def k2_remaining(spark, sf):
     return resume.remaining_rows(table(spark, sf, "documents").select("doc_id"), done, "doc_id")
 
 
+@query("k5_finalize", _DOCUMENTS)
+def k5_finalize(spark, sf):
+    """One chunk stored twice, the second time with its columns in another order."""
+    store = Layout(work_dir(spark, "resume")).results("documents", "run-1")
+    rows = documents(spark, sf)
+    resume.append_results(rows, store)
+    resume.append_results(rows.select(*reversed(rows.columns)), store)
+    return resume.finalize_results(spark, store, "doc_id")
+
+
+@query(
+    "k6_cleanup",
+    "SELECT count(*) AS stored, true AS gone FROM documents",
+)
+def k6_cleanup(spark, sf):
+    store = Layout(work_dir(spark, "resume")).results("documents", "run-1")
+    stored = resume.append_results(documents(spark, sf), store)["rows"]
+    resume.cleanup_results(spark, store)
+    row = [(stored, resume.load_results(spark, store) is None)]
+    return spark.createDataFrame(row, "stored bigint, gone boolean")
+
+
 @query(
     "k7_progress",
     f"WITH {WORDS_SQL} SELECT count(*) AS processed, "

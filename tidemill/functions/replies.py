@@ -45,17 +45,16 @@ def ordinal(c: Column | str, scale: dict[str, int]) -> Column:
 
 def check_summary(c: Column | str) -> Column:
     """struct(summary, error): stripped, at least 50 characters, past 1500 cut and marked."""
+    c = col_of(c)
     text = strip(c)
     size = F.length(text)
-    too_short = size < fixed.SUMMARY_MIN_CHARS
-    kept = F.when(
-        size > fixed.SUMMARY_KEEP_CHARS,
-        F.concat(truncate(text, fixed.SUMMARY_KEEP_CHARS), F.lit("...")),
-    ).otherwise(text)
-    error = F.when(text.isNull(), F.lit("Summary missing")).when(
-        too_short, F.concat(F.lit("Summary too short ("), size.cast("string"), F.lit(" chars)"))
+    cut = F.concat(truncate(text, fixed.SUMMARY_KEEP_CHARS), F.lit("..."))
+    kept = F.when(size > fixed.SUMMARY_KEEP_CHARS, cut).when(size >= fixed.SUMMARY_MIN_CHARS, text)
+    short = F.concat(F.lit("Summary too short ("), size.cast("string"), F.lit(" chars)"))
+    error = F.when(c.isNull(), F.lit("Summary missing")).when(
+        size < fixed.SUMMARY_MIN_CHARS, short
     )
-    return F.struct(F.when(error.isNull(), kept).alias("summary"), error.alias("error"))
+    return F.struct(kept.alias("summary"), error.alias("error"))
 
 
 def error_class_of_message(message: Column | str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.product import duplicate_keys
 from tidemill.operators.skew import anti_join
 from tidemill.session import delete_path, path_exists, work_dir
 
@@ -35,9 +36,14 @@ def append_results(df: DataFrame, path: str) -> dict:
 
 
 def finalize_results(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    """All stored results, one row per key even if a chunk was written twice."""
+    """All stored results, one row per key even if a chunk was written twice.
+
+    Looking for repeated keys moves the keys only; the rows move just when there are some.
+    """
     results = load_results(spark, path)
-    return None if results is None else results.dropDuplicates([key])
+    if results is None or duplicate_keys(results, key).isEmpty():
+        return results
+    return results.dropDuplicates([key])
 
 
 def cleanup_results(spark: SparkSession, path: str) -> None:

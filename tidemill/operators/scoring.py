@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemill.functions import draws, fixed, text
+from tidemill.functions import draws, fixed, replies
 
 
 class ScoreError(Exception):
@@ -215,6 +215,17 @@ def to_dead_letter(resolved: DataFrame) -> DataFrame:
 RESOLVED_NAMES = {"status", "attempts", "fallback_used"}
 
 
+def schedule_retries(
+    letters: DataFrame, key: str, failed_at: str, seed: int = 42, jitter: bool = True
+) -> DataFrame:
+    """Failed rows with `next_retry_at`: the time of failure plus the backoff of their tries."""
+    draw = draws.uniform(key, seed, "retry") if jitter else None
+    delay = replies.call_backoff(F.col("_llm_attempts"), draw)
+    pause = F.make_dt_interval(secs=F.round(delay, 6).cast("decimal(18,6)"))
+    failed = letters.filter(F.col("_llm_status") == "failed")
+    return failed.withColumn("next_retry_at", F.col(failed_at) + pause)
+
+
 def sample_keys(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n keys picked by their digest: the same ones on every run with the same seed."""
     return df.select(key).orderBy(draws.digest(key, seed, "sample"), key).limit(n)
@@ -245,7 +256,3 @@ def enrich_sample(
         .withColumn("ai_profile", text_out)
         .drop("error", "_asked")
     )
-
-
-def profile_prompt() -> Column:
-    return text.render(fixed.PROFILE_PROMPT, {})

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog import inputs
 from catalog.inputs import LABELS, RAW, SUMMARIES, table
-from catalog.joins import PRODUCT, document_product
+from catalog.joins import PRODUCT, document_product, heavy
 from catalog.registry import query, sql_with
 from catalog.rows import CLEAN_CUSTOMERS, CUSTOMERS, customers
-from tidemill.operators import clean, stats
+from tidemill.operators import clean, product, stats
 
 
 @query(
@@ -61,10 +61,10 @@ FLAGSHIP_SQL = sql_with(
 @query("a5_success_summary", FLAGSHIP_SQL)
 def a5_success_summary(spark, sf):
     """Clean the documents, bring in label results, report how many succeeded."""
-    from tidemill.operators import product
-
     documents = clean.clean_documents(inputs.raw_documents(spark, sf))
-    return stats.success_summary(product.join_labels(documents, inputs.label_results(spark, sf)))
+    results = inputs.label_results(spark, sf)
+    joined = product.join_labels(documents, results, heavy=heavy(spark, sf))
+    return stats.success_summary(joined)
 
 
 _CLASSES = (

@@ -8,8 +8,7 @@ from catalog import inputs
 from catalog.inputs import DOCS, JOINED, RAW, RESULTS, SUMMARIES, table
 from catalog.registry import query, sql_with
 from tidemill.functions import fixed, vectors
-from tidemill.operators import clean, product
-from tidemill.operators.skew import anti_join
+from tidemill.operators import clean, product, skew
 
 # what is left of the results once only labelled documents count: misses become visible
 _LABELLED = "labelled AS (SELECT * FROM results WHERE _llm_status = 'success')"
@@ -21,6 +20,11 @@ def cleaned(spark, sf):
     return clean.clean_documents(inputs.raw_documents(spark, sf))
 
 
+def heavy(spark, sf):
+    """Heavy references, looked for where they cost one narrow column, not the texts."""
+    return skew.heavy_keys(inputs.raw_documents(spark, sf).select("reference"), "reference")
+
+
 def labelled(spark, sf):
     return inputs.label_results(spark, sf).filter(F.col("_llm_status") == "success")
 
@@ -37,7 +41,9 @@ def good_summaries(spark, sf):
     ),
 )
 def j1_summary_join(spark, sf):
-    return product.join_summaries(cleaned(spark, sf), good_summaries(spark, sf))
+    return product.join_summaries(
+        cleaned(spark, sf), good_summaries(spark, sf), heavy=heavy(spark, sf)
+    )
 
 
 @query(
@@ -53,7 +59,9 @@ def j1_summary_join(spark, sf):
     ),
 )
 def j2_label_join(spark, sf):
-    return product.join_labels(cleaned(spark, sf), labelled(spark, sf))
+    return product.join_labels(
+        cleaned(spark, sf), labelled(spark, sf), heavy=heavy(spark, sf)
+    )
 
 
 PRODUCT_SQL = (
@@ -78,6 +86,7 @@ def document_product(spark, sf):
         inputs.label_results(spark, sf),
         inputs.summary_results(spark, sf),
         inputs.RUN_TIME,
+        heavy=heavy(spark, sf),
     )
 
 
@@ -95,7 +104,9 @@ def j3_product(spark, sf):
     ),
 )
 def j4_index_join(spark, sf):
-    return product.join_index_labels(cleaned(spark, sf), labelled(spark, sf))
+    return product.join_index_labels(
+        cleaned(spark, sf), labelled(spark, sf), heavy=heavy(spark, sf)
+    )
 
 
 @query(
@@ -131,7 +142,7 @@ def j5_vector_align(spark, sf):
 )
 def j6_remaining(spark, sf):
     documents = table(spark, sf, "documents").select("doc_id", "text")
-    return anti_join(documents, table(spark, sf, "labels"), "doc_id")
+    return skew.anti_join(documents, table(spark, sf, "labels"), "doc_id")
 
 
 @query(
@@ -149,8 +160,6 @@ def j_duplicate_keys(spark, sf):
 )
 def j_split_heavy_keys(spark, sf):
     """The salted join: with a low threshold here, so that keys really are split."""
-    from tidemill.operators.skew import left_joins
-
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     suppliers = table(spark, sf, "supplier").selectExpr("s_suppkey AS l_suppkey", "s_name")
-    return left_joins(lines, [suppliers], "l_suppkey", min_rows=100)
+    return skew.left_joins(lines, [suppliers], "l_suppkey", min_rows=100)

@@ -25,14 +25,18 @@ def require_unique(df: DataFrame, key: str = KEY) -> DataFrame:
     return df
 
 
-def join_summaries(documents: DataFrame, summaries: DataFrame, key: str = KEY) -> DataFrame:
+def join_summaries(
+    documents: DataFrame, summaries: DataFrame, key: str = KEY, heavy: dict | None = None
+) -> DataFrame:
     """Documents with their summary, null where there is none."""
-    return left_joins(documents, [summaries.select(key, "summary")], key)
+    return left_joins(documents, [summaries.select(key, "summary")], key, heavy=heavy)
 
 
-def join_labels(documents: DataFrame, results: DataFrame, key: str = KEY) -> DataFrame:
+def join_labels(
+    documents: DataFrame, results: DataFrame, key: str = KEY, heavy: dict | None = None
+) -> DataFrame:
     """Documents with labels and status columns in their stored types."""
-    return left_joins(documents, [narrow_results(results, key)], key)
+    return left_joins(documents, [narrow_results(results, key)], key, heavy=heavy)
 
 
 def assemble_product(
@@ -41,6 +45,7 @@ def assemble_product(
     summaries: DataFrame,
     processed_at: str,
     key: str = KEY,
+    heavy: dict | None = None,
 ) -> DataFrame:
     """Documents, labels and summaries in one table with one `summary` column.
 
@@ -57,19 +62,24 @@ def assemble_product(
     )
     taken = (set(label_side.columns) | set(summary_side.columns)) - {key}
     plain = documents.drop(*[name for name in documents.columns if name in taken])
-    return left_joins(plain, [label_side, summary_side], key).withColumn(
-        "processed_at", F.lit(processed_at)
-    )
+    joined = left_joins(plain, [label_side, summary_side], key, heavy=heavy)
+    return joined.withColumn("processed_at", F.lit(processed_at))
 
 
-def join_index_labels(documents: DataFrame, labels: DataFrame, key: str = KEY) -> DataFrame:
+def join_index_labels(
+    documents: DataFrame, labels: DataFrame, key: str = KEY, heavy: dict | None = None
+) -> DataFrame:
     """Documents with the four label columns only."""
-    return left_joins(documents, [labels.select(key, *fixed.LABEL_FIELDS)], key)
+    return left_joins(documents, [labels.select(key, *fixed.LABEL_FIELDS)], key, heavy=heavy)
 
 
 def align_vectors(
-    documents: DataFrame, vectors: DataFrame, fallback: Column, key: str = KEY
+    documents: DataFrame,
+    vectors: DataFrame,
+    fallback: Column,
+    key: str = KEY,
+    heavy: dict | None = None,
 ) -> DataFrame:
     """Documents with their vector; rows without one get the fallback expression."""
-    joined = left_joins(documents, [vectors.select(key, "embedding")], key)
+    joined = left_joins(documents, [vectors.select(key, "embedding")], key, heavy=heavy)
     return joined.withColumn("embedding", F.coalesce("embedding", fallback))

@@ -17,8 +17,10 @@ def load_results(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
-def remaining_rows(df: DataFrame, results: DataFrame | None, key: str) -> DataFrame:
-    return df if results is None else anti_join(df, results, key)
+def remaining_rows(
+    df: DataFrame, results: DataFrame | None, key: str, heavy: dict | None = None
+) -> DataFrame:
+    return df if results is None else anti_join(df, results, key, heavy=heavy)
 
 
 def append_results(df: DataFrame, path: str) -> dict:
@@ -61,6 +63,7 @@ def score_with_resume(
     key: str = "reference",
     chunks: int = 1,
     report: Callable[[dict], None] | None = None,
+    heavy: dict | None = None,
 ) -> DataFrame:
     """Score what the store at `path` lacks and return everything stored.
 
@@ -69,7 +72,7 @@ def score_with_resume(
     """
     spark = df.sparkSession
     earlier = load_results(spark, path)
-    todo = remaining_rows(df, earlier, key)
+    todo = remaining_rows(df, earlier, key, heavy)
     if chunks > 1:
         stage = work_dir(spark, "stage")
         part = F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")

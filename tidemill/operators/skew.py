@@ -57,14 +57,20 @@ def salt_right(df: DataFrame, key: str, heavy: dict) -> DataFrame:
 
 
 def left_joins(
-    left: DataFrame, rights: list[DataFrame], key: str, min_rows: int = 1_000_000
+    left: DataFrame,
+    rights: list[DataFrame],
+    key: str,
+    min_rows: int = 1_000_000,
+    heavy: dict | None = None,
 ) -> DataFrame:
     """left join of several tables on one key.
 
     All joins share the partitioning on the key, so the left side moves once. Catalyst may
-    still broadcast a right side that is small by its statistics.
+    still broadcast a right side that is small by its statistics. `heavy` saves the look at
+    the key column: pass what `heavy_keys` found on a cheaper table with the same keys, or
+    an empty dict for a key that is known to be unique.
     """
-    heavy = heavy_keys(left, key, min_rows)
+    heavy = heavy_keys(left, key, min_rows) if heavy is None else heavy
     if not heavy:
         return reduce(lambda df, right: df.join(right, key, "left"), rights, left)
     salted = reduce(
@@ -76,11 +82,15 @@ def left_joins(
 
 
 def anti_join(
-    left: DataFrame, done: DataFrame, key: str, min_rows: int = 1_000_000
+    left: DataFrame,
+    done: DataFrame,
+    key: str,
+    min_rows: int = 1_000_000,
+    heavy: dict | None = None,
 ) -> DataFrame:
     """Rows of `left` whose key is not in `done`."""
     keys = done.select(key).distinct()
-    heavy = heavy_keys(left, key, min_rows)
+    heavy = heavy_keys(left, key, min_rows) if heavy is None else heavy
     if not heavy:
         return left.join(keys, key, "left_anti")
     return (

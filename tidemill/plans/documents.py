@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.config import Layout, RunOptions
-from tidemill.functions import fixed, replies, text
+from tidemill.functions import replies, text
 from tidemill.operators import clean, parsing, product, resume, scoring, stats
+from tidemill.operators.search import require_one_dim
 from tidemill.operators.skew import left_joins
 from tidemill.sources import collections, files
 
@@ -57,25 +58,31 @@ def clean_step(raw: DataFrame, options: RunOptions, key: str = KEY) -> DataFrame
     return clean.clean_documents(clean.head_sample(raw, [key], options.sample_size))
 
 
-def embed_inputs(documents: DataFrame, summaries: DataFrame, key: str = KEY) -> DataFrame:
+def embed_inputs(
+    documents: DataFrame, summaries: DataFrame, key: str = KEY, heavy: dict | None = None
+) -> DataFrame:
     """Documents with their summary and the scrubbed text that gets embedded."""
-    joined = product.join_summaries(documents, summaries, key)
+    joined = product.join_summaries(documents, summaries, key, heavy)
     combined = text.embed_text("title", "summary")
     return joined.withColumn("embed_text", text.scrub(combined, "title"))
 
 
 def index_objects(
-    documents: DataFrame, labels: DataFrame, vectors: DataFrame, key: str = KEY
+    enriched: DataFrame, vectors: DataFrame, key: str = KEY, heavy: dict | None = None
 ) -> DataFrame:
-    """Search objects with their vector, from one shared partitioning on the key."""
-    joined = left_joins(
-        documents,
-        [labels.select(key, *fixed.LABEL_FIELDS), vectors.select(key, "embedding")],
-        key,
-    )
+    """Search objects with their vector. The product holds the labels already."""
+    joined = left_joins(enriched, [vectors.select(key, "embedding")], key, heavy=heavy)
     return clean.document_objects(joined, key)
 
 
+def check_vectors(documents: DataFrame, vectors: DataFrame) -> int:
+    """One vector of one size for every document; gives the size."""
+    wanted, found = documents.count(), vectors.count()
+    if wanted != found:
+        raise ValueError(f"DataFrame has {wanted} rows but got {found} embeddings")
+    return require_one_dim(vectors)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write a stage and go on from the stored copy."""
     files.write_product(df, path)
@@ -99,10 +106,11 @@ def run_documents(
     at = lambda stage: layout.product(stage, options)
     documents = stored(clean_step(raw, options), at("cleaned"))
     product.require_unique(documents, KEY)
+    even = {}  # a unique key has no heavy values, so no join needs to look for them
 
     def scored(stage: str, rows: DataFrame, step: Step) -> DataFrame:
         store = layout.results(f"{trial}{stage}", run_id)
-        results = resume.score_with_resume(rows, step, store, KEY, chunks)
+        results = resume.score_with_resume(rows, step, store, KEY, chunks, heavy=even)
         kept = stored(results, at(stage))
         resume.cleanup_results(spark, store)
         return kept
@@ -111,15 +119,16 @@ def run_documents(
     stats.require_success(labels, "Classification")
     summaries = scored("summaries", documents, steps.summary)
     stats.require_success(summaries, "Summarization")
-    inputs = embed_inputs(documents, summaries).select(KEY, "embed_text")
+    inputs = embed_inputs(documents, summaries, heavy=even).select(KEY, "embed_text")
     vectors = scored("embeddings", inputs, lambda rows: steps.embed(rows).select(KEY, "embedding"))
+    dim = check_vectors(documents, vectors)
 
-    enriched = stored(
-        product.assemble_product(documents, labels, summaries, processed_at), at("enriched")
-    )
+    joined = product.assemble_product(documents, labels, summaries, processed_at, heavy=even)
+    enriched = stored(joined, at("enriched"))
     summary = stats.product_stats(enriched).first().asDict()
     path = layout.collection(name, options)
     collections.ensure_collection(spark, path, collections.DOCUMENT_PROPERTIES)
-    indexed = collections.load_collection(index_objects(documents, labels, vectors), path, KEY)
+    objects = index_objects(enriched, vectors, heavy=even)
+    indexed = collections.load_collection(objects, path, KEY, dim=dim, heavy=even)
     log(f"{name}: {summary['num_records']} records, {indexed['object_count']} indexed")
     return {**summary, **indexed, "product": at("enriched"), "is_trial": options.is_trial}

@@ -91,26 +91,30 @@ def ensure_collection(
 
 
 def load_collection(
-    objects: DataFrame, path: str, key: str = "reference", mode: str = "idempotent"
+    objects: DataFrame,
+    path: str,
+    key: str = "reference",
+    mode: str = "idempotent",
+    dim: int | None = None,
+    heavy: dict | None = None,
 ) -> dict:
     """Add objects with their `embedding`; every row needs a vector and all have one size.
 
     `idempotent` adds only keys that are not there, `append` adds all rows again on a
-    rerun, `overwrite` replaces the collection.
+    rerun, `overwrite` replaces the collection. A caller that has checked the vectors
+    already gives their `dim`; `heavy` is as in `anti_join`.
     """
     spark = objects.sparkSession
-    dim = require_one_dim(objects)
-    exists = path_exists(spark, path)
-    rows = objects
-    if exists and mode != "overwrite":
+    dim = require_one_dim(objects) if dim is None else dim
+    rows = objects.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    if mode != "overwrite" and path_exists(spark, path):
         stored = spark.read.parquet(path)
-        rows = objects.select(
+        rows = rows.select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.schema.fields]
         )
-        if mode == "idempotent":
-            rows = anti_join(rows, stored, key)
-    writer = rows.withColumn("embedding", F.col("embedding").cast("array<float>")).write
-    writer.mode("overwrite" if mode == "overwrite" else "append").parquet(path)
+        if mode == "idempotent" and not stored.isEmpty():
+            rows = anti_join(rows, stored, key, heavy=heavy)
+    rows.write.mode("overwrite" if mode == "overwrite" else "append").parquet(path)
     return {"collection": path, "object_count": count_objects(spark, path), "vector_dimensions": dim}
 
 

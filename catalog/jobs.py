@@ -12,7 +12,7 @@ from catalog.rows import CLEAN_CUSTOMERS, CUSTOMERS, customers
 from catalog.joins import PRODUCT
 from catalog.twins import GUESS_SQL, LEAK_MATCH, LEAK_SQL, MARGINAL_SQL, NUMERIC, TWIN_SQL
 from tidemill.config import RunOptions, TRIAL_RUN, Layout
-from tidemill.functions import vectors
+from tidemill.functions import masks, vectors
 from tidemill.plans import customers as customer_job
 from tidemill.plans import documents as document_job
 from tidemill.plans import twins as twin_job
@@ -127,7 +127,18 @@ def pl4_trial_product(spark, sf):
 
 
 # the twin's own subqueries, on the product of this job
-_TWIN = [*_JOB, "product AS (SELECT * FROM job)", *TWIN_SQL[len(PRODUCT) :]]
+def _masked_sql(column: str) -> str:
+    for kind, pattern in masks.PATTERNS.items():
+        column = f"regexp_replace({column}, '{pattern}', '[{kind.upper()}]', 'g')"
+    return column
+
+
+_TWIN = [
+    *_JOB,
+    f"product AS (SELECT * REPLACE ({_masked_sql('title')} AS title, "
+    f"{_masked_sql('summary')} AS summary) FROM job)",
+    *TWIN_SQL[len(PRODUCT) :],
+]
 _ALL = ["date", "country", "author", "title", *NUMERIC, "tariff_mention", "is_gov", "summary"]
 _LEAK = LEAK_SQL.replace(LEAK_MATCH, " AND ".join(f"t.{c} IS NOT DISTINCT FROM s.{c}" for c in _ALL))
 

@@ -131,7 +131,8 @@ def s8_report(spark, sf):
 )
 def s9_snapshot(spark, sf):
     rows = documents(spark, sf).select("doc_id", vectors.hash_embedding("text", 64).alias("embedding"))
-    return files.write_snapshot(rows, f"{work_dir(spark, 'snapshot')}/embeddings", "doc_id")
+    path = f"{work_dir(spark, 'snapshot')}/embeddings"
+    return files.write_snapshot(rows, path, "doc_id").drop("size_mb")
 
 
 @query("s10_twin_snapshot", sql_with(TWIN_SQL, "SELECT * FROM twin"))

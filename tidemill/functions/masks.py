@@ -6,7 +6,7 @@ the one before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PATTERNS = {
@@ -21,6 +21,14 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "phone": "("}
 
 
+def masked(column: str) -> Column:
+    """The text with every identifier replaced by its kind in brackets."""
+    text = F.col(column)
+    for kind, pattern in PATTERNS.items():
+        text = F.regexp_replace(text, pattern, f"[{kind.upper()}]")
+    return text
+
+
 def mask_text(df: DataFrame, column: str = "text") -> DataFrame:
     """The text masked in place, and emails, ips, cards, phones: how often each was found.
 

@@ -13,7 +13,9 @@ from tidemill.functions.text import col_of, strip, truncate
 
 
 def strip_tokens(c: Column | str) -> Column:
-    return F.regexp_replace(col_of(c), fixed.CONTROL_TOKEN, "")
+    """All control tokens removed; the pattern is only tried on texts that can hold one."""
+    c = col_of(c)
+    return F.when(c.contains("<|"), F.regexp_replace(c, fixed.CONTROL_TOKEN, "")).otherwise(c)
 
 
 def final_channel(c: Column | str) -> Column:

@@ -10,15 +10,18 @@ from tidemill.functions import draws
 from tidemill.session import work_dir
 
 
-def dense_index(df: DataFrame, order_by: list[str], name: str = "row_index") -> DataFrame:
+def dense_index(
+    df: DataFrame, order_by: list[str], name: str = "row_index", path: str | None = None
+) -> DataFrame:
     """0..n-1 in the order of a unique key.
 
     The sorted rows are written to the shared folder once. A row's number is its place in
     its file plus the rows of all earlier files, so counting and numbering agree whatever
-    happens to executors in between. The file counts are one small row per file.
+    happens to executors in between. The file counts are one small row per file. The
+    result reads the sorted copy, which the caller may place and remove by `path`.
     """
     spark = df.sparkSession
-    path = work_dir(spark, "sorted")
+    path = path or work_dir(spark, "sorted")
     df.orderBy(*order_by).write.parquet(path)
     part = [
         F.regexp_extract("_metadata.file_name", pattern, 1).cast("int")

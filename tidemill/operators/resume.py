@@ -73,20 +73,26 @@ def score_with_resume(
     spark = df.sparkSession
     earlier = load_results(spark, path)
     todo = remaining_rows(df, earlier, key, heavy)
-    if chunks > 1:
-        stage = work_dir(spark, "stage")
-        part = F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
-        todo.withColumn("_chunk", part).write.partitionBy("_chunk").parquet(stage)
-        staged = spark.read.parquet(stage)
-        work = [staged.filter(F.col("_chunk") == n).drop("_chunk") for n in range(chunks)]
-    else:
-        work = [todo]
-    done = failed = 0
-    for chunk in work:
-        counts = append_results(score(chunk), path)
-        done, failed = done + counts["rows"], failed + counts["failed"]
-        if report is not None:
-            report({"processed": done, "failed": failed, "success": done - failed})
+    stage = work_dir(spark, "stage") if chunks > 1 else None
+    try:
+        done = failed = 0
+        for chunk in _chunks(todo, key, chunks, stage):
+            counts = append_results(score(chunk), path)
+            done, failed = done + counts["rows"], failed + counts["failed"]
+            if report is not None:
+                report({"processed": done, "failed": failed, "success": done - failed})
+    finally:
+        if stage:
+            cleanup_results(spark, stage)
     if earlier is None and done == 0:
         raise RuntimeError(f"no results at {path}: the input has no rows")
     return finalize_results(spark, path, key)
+
+
+def _chunks(todo: DataFrame, key: str, chunks: int, stage: str | None) -> list[DataFrame]:
+    if stage is None:
+        return [todo]
+    part = F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
+    todo.withColumn("_chunk", part).write.partitionBy("_chunk").parquet(stage)
+    staged = todo.sparkSession.read.parquet(stage)
+    return [staged.filter(F.col("_chunk") == n).drop("_chunk") for n in range(chunks)]

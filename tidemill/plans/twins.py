@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.config import Layout, RunOptions
-from tidemill.functions import fixed, text
+from tidemill.functions import fixed, masks, text
 from tidemill.operators import clean, privacy, stats, twin
-from tidemill.plans.documents import KEY, stored
+from tidemill.plans.documents import KEY, check_vectors, stored
 from tidemill.sources import collections, files
 from tidemill.sources.versions import Repository
 
 ALIASES = {"central_bank": "country", "speaker": "author"}
+FREE_TEXT = ["title", "summary"]
 QUASI = ["country", "is_gov"]
 TARGET = "monetary_stance"
 VALUES = ["country", "author", *fixed.LABEL_FIELDS, "is_gov"]
 
 
-def twin_source(product: DataFrame) -> DataFrame:
+def twin_source(product: DataFrame, mask_personal: bool = False) -> DataFrame:
     """The checked product, renamed and cut down to what a twin is made from."""
     clean.require_columns(product, fixed.REQUIRED_FOR_TWIN, "Run the document job first.")
-    return twin.select_for_twin(clean.apply_aliases(product, ALIASES))
+    source = twin.select_for_twin(clean.apply_aliases(product, ALIASES))
+    texts = [name for name in FREE_TEXT if name in source.columns] if mask_personal else []
+    return source.withColumns({name: masks.masked(name) for name in texts})
 
 
 def run_twin(
@@ -35,18 +38,25 @@ def run_twin(
     run_id: str = "run",
     name: str = "synthetic_documents",
     seed: int = 42,
+    mask_personal: bool = True,
     log: Callable[[str], None] = print,
 ) -> dict:
-    """Real and synthetic rows never share a path or a collection."""
+    """Real and synthetic rows never share a path or a collection.
+
+    The twin is committed as a snapshot before it is judged, embedded and published, so
+    every later step reads the same rows.
+    """
     spark = product.sparkSession
-    source = twin_source(product)
+    repository = Repository(spark, layout.twin("versions", options))
+    source = stored(twin_source(product, mask_personal), layout.snapshot("source", options))
     quality = stats.input_quality(product).first()
     if quality["high_failure_rate"]:
         log(f"{quality['failed_any']} of {quality['total_records']} input rows hold fallbacks")
     roles = twin.infer_roles(source, KEY)
-    made = stored(
-        twin.make_twin(source, roles, KEY, seed), layout.snapshot("summaries", options)
+    snapshot = repository.write(
+        twin.make_twin(source, roles, KEY, seed), "summaries", run_id, snapshot_type="summaries"
     )
+    made = repository.read("summaries", snapshot["commit_id"])
     present = lambda names: [n for n in names if n in source.columns]
     attributes = [c for c in source.columns if c != KEY]
     scored = privacy.scores(
@@ -56,21 +66,23 @@ def run_twin(
     files.write_report(report, layout.twin("validation_report", options), generated_at[:10])
 
     inputs = made.select(KEY, text.twin_embed_text("title", "summary").alias("embed_text"))
-    snapshot = layout.snapshot("embeddings", options)
-    counts = files.write_snapshot(embed(inputs), snapshot, KEY).first()
-    vectors = files.read_product(spark, snapshot)
+    vector_path = layout.snapshot("embeddings", options)
+    counts = files.write_snapshot(embed(inputs), vector_path, KEY).first()
+    vectors = files.read_product(spark, vector_path)
+    dim = check_vectors(made, vectors)
 
     final = made.withColumn("generated_at", F.lit(generated_at))
-    repository = Repository(spark, layout.twin("versions", options))
     commit = repository.write(final, "documents", run_id, is_synthetic="true")
     path = layout.collection(name, options)
     collections.ensure_collection(spark, path, collections.TWIN_PROPERTIES)
     objects = clean.twin_objects(made.join(vectors, KEY, "left"), KEY)
-    indexed = collections.load_collection(objects, path, KEY, mode="overwrite")
+    indexed = collections.load_collection(objects, path, KEY, mode="overwrite", dim=dim)
     return {
         **scored,
         **indexed,
         "num_records": commit["num_rows"],
         "commit_id": commit["commit_id"],
+        "snapshot_id": snapshot["commit_id"],
         "dimensions": counts["dimensions"],
+        "size_mb": counts["size_mb"],
     }

@@ -60,3 +60,10 @@ def list_files(spark: SparkSession, folder: str) -> list[str]:
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     statuses = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
     return sorted(status.getPath().getName() for status in statuses)
+
+
+def path_size(spark: SparkSession, path: str) -> int:
+    """Bytes below a folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getContentSummary(target).getLength()

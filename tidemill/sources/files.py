@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.session import list_files
+from tidemill.session import list_files, path_size
 
 
 def read_csv_folder(
@@ -68,9 +68,12 @@ def read_report(spark: SparkSession, folder: str, stamp: str = "latest") -> dict
 
 
 def write_snapshot(df: DataFrame, path: str, key: str = "reference") -> DataFrame:
-    """(key, embedding) as Parquet, and a one-row frame of its counts."""
+    """(key, embedding) as Parquet, and a one-row frame of its counts and size."""
     df.select(key, "embedding").write.mode("overwrite").parquet(path)
-    stored = df.sparkSession.read.parquet(path)
-    return stored.agg(
-        F.count(F.lit(1)).alias("num_records"), F.max(F.size("embedding")).alias("dimensions")
+    spark = df.sparkSession
+    size = path_size(spark, path) / 1024 / 1024
+    return spark.read.parquet(path).agg(
+        F.count(F.lit(1)).alias("num_records"),
+        F.max(F.size("embedding")).alias("dimensions"),
+        F.lit(size).alias("size_mb"),
     )

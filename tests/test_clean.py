@@ -189,3 +189,19 @@ def test_null_keys_stay_in_left_joins(spark):
     right = spark.createDataFrame([("a", 9)], "key string, w int")
     rows = {row["v"]: row["w"] for row in skew.left_joins(left, [right], "key").collect()}
     assert rows == {1: None, 2: 9}
+
+
+def test_heavy_null_keys_are_split(spark):
+    left = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, NULL, id) AS key")
+    right = left.selectExpr("key", "key + 1 AS other").filter("key IS NULL OR key % 2 = 0")
+    heavy = skew.heavy_keys(left, "key", min_rows=100)
+    assert list(heavy) == [None] and heavy[None] >= 2
+    joined = skew.left_joins(left, [right], "key", min_rows=100)
+    plain = left.join(right, "key", "left")
+    assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+    rest = skew.anti_join(left, right, "key", min_rows=100)
+    assert rest.count() == left.join(right, "key", "left_anti").count() == 2000
+
+
+def test_no_rows_no_heavy_keys(spark):
+    assert skew.heavy_keys(spark.range(0), "id") == {}

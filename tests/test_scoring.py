@@ -73,7 +73,7 @@ def test_threads_and_partitions_change_nothing(documents):
     wanted = None
     for partitions, workers in [(1, 1), (2, 5), (8, 2)]:
         scored = scoring.score_rows(
-            documents.repartition(partitions), score, VALUE, lambda row: {"value": 0}, workers=workers
+            documents, score, VALUE, lambda row: {"value": 0}, workers=workers, partitions=partitions
         )
         got = {k: r["value"] for k, r in by_key(scored).items()}
         wanted = wanted or got

@@ -44,14 +44,16 @@ def score_rows(
     max_attempts: int = 5,
     pause: Callable[[int], float] | None = None,
     workers: int = 1,
+    partitions: int | None = None,
 ) -> DataFrame:
     """key, the scorer's values and the status columns, one row per input row.
 
     The scorer sees one row as a dict and returns a dict with the fields of `values`. An
     error never fails the task: a retryable one is tried again up to `max_attempts`,
     "service unavailable" and unknown errors stop at once, and the row then takes the
-    fallback. Partitions run in parallel; `workers` threads serve scorers that wait for
-    I/O, and `pause(attempt)` gives seconds to wait between tries.
+    fallback. Partitions run in parallel: a slow scorer wants more of them than a scan
+    gives, which `partitions` sets. `workers` threads serve scorers that wait for I/O, and
+    `pause(attempt)` gives seconds to wait between tries.
     """
     schema = T.StructType([df.schema[key], *values.fields, *RESULT_FIELDS])
     arrow_schema = to_arrow_schema(schema)
@@ -113,7 +115,8 @@ def score_rows(
                 yield pa.RecordBatch.from_pylist(scored, schema=arrow_schema)
 
     wanted = list(dict.fromkeys([key, *(inputs or df.columns)]))
-    return df.select(*wanted).mapInArrow(run, schema)
+    rows = df.select(*wanted)
+    return (rows.repartition(partitions) if partitions else rows).mapInArrow(run, schema)
 
 
 def label_fallback(row: dict) -> dict:

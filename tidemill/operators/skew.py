@@ -19,27 +19,30 @@ def heavy_keys(
 
     One pass over the key column with a frequent-items sketch: no shuffle by key, and at
     most 1000 values come back. A value the sketch misjudges is only split needlessly, or
-    left to the adaptive skew join.
+    left to the adaptive skew join. Null counts as a value: such rows match nothing, but a
+    left join would still send them all to one task.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = df.agg(
-        F.count(key).alias("n"), F.expr(f"approx_top_k(`{key}`, 1000, {tracked})").alias("top")
+        F.count(F.lit(1)).alias("n"),
+        F.count(key).alias("set"),
+        F.expr(f"approx_top_k(`{key}`, 1000, {tracked})").alias("top"),
     ).first()
-    if not row["n"]:
-        return {}
+    counts = {hit["item"]: hit["count"] for hit in row["top"] or []}
+    counts[None] = row["n"] - row["set"]
     fair = max(min_rows, row["n"] / partitions)
     return {
-        hit["item"]: min(4096, max(2, round(hit["count"] * partitions / row["n"])))
-        for hit in row["top"] or []
-        if hit["count"] > fair
+        value: min(4096, max(2, round(count * partitions / row["n"])))
+        for value, count in counts.items()
+        if count > fair
     }
 
 
 def _ways(key: str, heavy: dict) -> Column:
-    branches = None
+    branches = F.when(F.lit(False), 1)
     for value, ways in heavy.items():
-        hit = F.col(key) == F.lit(value)
-        branches = F.when(hit, ways) if branches is None else branches.when(hit, ways)
+        hit = F.col(key).isNull() if value is None else F.col(key) == F.lit(value)
+        branches = branches.when(hit, ways)
     return branches.otherwise(1)
 
 
@@ -52,8 +55,8 @@ def salt_left(df: DataFrame, key: str, heavy: dict) -> DataFrame:
 
 
 def salt_right(df: DataFrame, key: str, heavy: dict) -> DataFrame:
-    """One copy per salt for the heavy keys, one copy for all others."""
-    return df.withColumn(SALT, F.explode(F.sequence(F.lit(0), _ways(key, heavy) - 1)))
+    """One copy per salt for the heavy keys, one copy for all others; null never matches."""
+    return df.filter(F.col(key).isNotNull()).withColumn(SALT, F.explode(F.sequence(F.lit(0), _ways(key, heavy) - 1)))
 
 
 def left_joins(

@@ -70,9 +70,12 @@ def embed_inputs(
 def index_objects(
     enriched: DataFrame, vectors: DataFrame, key: str = KEY, heavy: dict | None = None
 ) -> DataFrame:
-    """Search objects with their vector. The product holds the labels already."""
-    joined = left_joins(enriched, [vectors.select(key, "embedding")], key, heavy=heavy)
-    return clean.document_objects(joined, key)
+    """Search objects with their vector.
+
+    The product holds the labels already, and its text is cut before the rows move.
+    """
+    objects = clean.document_objects(enriched, key)
+    return left_joins(objects, [vectors.select(key, "embedding")], key, heavy=heavy)
 
 
 def check_vectors(documents: DataFrame, vectors: DataFrame) -> int:

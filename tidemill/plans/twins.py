@@ -75,7 +75,7 @@ def run_twin(
     commit = repository.write(final, "documents", run_id, is_synthetic="true")
     path = layout.collection(name, options)
     collections.ensure_collection(spark, path, collections.TWIN_PROPERTIES)
-    objects = clean.twin_objects(made.join(vectors, KEY, "left"), KEY)
+    objects = clean.twin_objects(made, KEY).join(vectors, KEY, "left")
     indexed = collections.load_collection(objects, path, KEY, mode="overwrite", dim=dim)
     return {
         **scored,

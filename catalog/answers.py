@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog import inputs
-from catalog.inputs import JOINED, LABELS, LOG, RAW, REPLIES, SUMMARIES, SUMMARY_REPLIES, WHITE, table
+from catalog.inputs import LOG, RAW, REPLIES, SUMMARY_REPLIES, WHITE, table
 from catalog.registry import query, sql_with
 from catalog.rows import CLEAN_CUSTOMERS, CUSTOMERS, customers
 from tidemill.functions import draws, replies, text

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs
 from catalog.answers import SUMMARY_OBJECT_SQL, STRICT_SQL
-from catalog.inputs import RAW, SUMMARY_REPLIES, table
+from catalog.inputs import SUMMARY_REPLIES
 from catalog.registry import query, sql_with
 from catalog.rows import CLEAN_CUSTOMERS, CUSTOMERS, customers
 from catalog.joins import PRODUCT

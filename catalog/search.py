@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import inputs
 from catalog.inputs import table
 from catalog.registry import query
 from tidemill.functions import vectors

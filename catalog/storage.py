@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs
 from catalog.answers import WORDS_SQL, score_words
-from catalog.inputs import JOINED, LABELS, RAW, RESULTS, table
+from catalog.inputs import LABELS, table
 from catalog.registry import query, sql_with
 from catalog.twins import TWIN_SQL, made
 from tidemill.config import TRIAL_RUN, Layout

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import inputs
-from catalog.inputs import JOINED, RAW, RESULTS, SUMMARIES, duck_digest, duck_uniform, table
+from catalog.inputs import duck_digest, duck_uniform, table
 from catalog.joins import PRODUCT, document_product
 from catalog.registry import query, sql_with
 from tidemill.config import Layout

@@ -109,10 +109,13 @@ def score_rows(
         import pyarrow as pa
 
         with ThreadPoolExecutor(max_workers=workers) as pool:
+            apply = pool.map if workers > 1 else map
             for batch in batches:
-                rows = batch.to_pylist()
-                scored = list(pool.map(score_one, rows) if workers > 1 else map(score_one, rows))
-                yield pa.RecordBatch.from_pylist(scored, schema=arrow_schema)
+                # few rows at a time as Python objects: texts may be long
+                for start in range(0, batch.num_rows, 256):
+                    rows = batch.slice(start, 256).to_pylist()
+                    scored = list(apply(score_one, rows))
+                    yield pa.RecordBatch.from_pylist(scored, schema=arrow_schema)
 
     wanted = list(dict.fromkeys([key, *(inputs or df.columns)]))
     rows = df.select(*wanted)

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemill.functions.vectors import certainty
 
 QUERY_BYTES = 64 * 1024 * 1024
+CELLS = 4_000_000  # distances held at a time, 32 MB
 
 
 def vector_dims(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -89,6 +90,12 @@ def _nearest(vectors, queries, k, key, query_key, column) -> DataFrame:
     )
 
     arrow_schema = to_arrow_schema(schema)
+    cells = CELLS
+
+    def pieces(batches, step):
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                yield batch.slice(start, step)
 
     def run(batches):
         import numpy as np
@@ -100,9 +107,9 @@ def _nearest(vectors, queries, k, key, query_key, column) -> DataFrame:
         lengths = np.linalg.norm(queried, axis=1, keepdims=True)
         unit = queried / np.where(lengths == 0, np.nan, lengths)
         best = [(np.empty(0), None) for _ in ids]
-        for batch in batches:
-            keep = pc.is_valid(batch.column(column))
-            batch = batch.filter(keep)
+        step = max(1, cells // max(1, len(ids)))
+        for batch in pieces(batches, step):
+            batch = batch.filter(pc.is_valid(batch.column(column)))
             if batch.num_rows == 0 or not ids:
                 continue
             flat = batch.column(column).flatten().to_numpy(zero_copy_only=False)

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from catalog import QUERIES
 from tools.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def tables():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
     verdict = compare(spark, tables, name, entry_points.queries()[name], ORACLES.get(name), SF)
     assert verdict.startswith("ok") and "but" not in verdict, verdict

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import language, mixing, neardup, quality, scoring, tokens, warc
+from tidemill.llm import decontaminate, language, mixing, neardup, pii, quality, scoring, suffixes, tokens, warc
 from tidemill.llm.common import table
 from tidemill.session import work_dir
 
@@ -48,6 +48,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find_leaks(documents, "doc_id", "text", benchmark, "item_id", "text")
+
+
 @query("op4_warc")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "warc")
@@ -73,6 +79,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", neardup.NearSettings(shingle=4))
 
 
+@query("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query("op8_repeated_strings")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op9_mixing", mixing.mix_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source")

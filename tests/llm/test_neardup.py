@@ -64,8 +64,8 @@ def test_chains_groups_and_edges_of_the_threshold(spark):
     rows += [(3000 + i, " ".join(fresh(40) + passage + fresh(20))) for i in range(100)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for size in (4, 5):
-        got = neardup.near_duplicates(df, "doc_id", "text", neardup.NearSettings(shingle=size)).collect()
+    for size, held in ((4, 24 << 20), (5, 0)):  # sets looked up, sets joined
+        got = neardup.near_duplicates(df, "doc_id", "text", neardup.NearSettings(shingle=size, held=held)).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute(rows, size)
 
 

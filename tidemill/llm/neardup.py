@@ -40,7 +40,7 @@ from tidemill.llm.common import components, materialize
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-SKETCH = 64  # values of the 1-bit signature
+SKETCHES = ["k0", "k1", "k2"]  # 64 values of the 1-bit signature each
 
 
 @dataclass(frozen=True)
@@ -51,9 +51,10 @@ class NearSettings:
     width: int = 6  # values in a chunk
     errors: int = 2  # values of a chunk that may differ
     bits: int = 16  # of a signature value
-    sketch_distance: int = 19  # of 64 bits; 0.8 differs in 6.4 +- 2.4
+    sketch_distance: int = 43  # of 192 bits; 0.8 differs in 19 +- 4, 0.3 in 67 +- 7
     pivots: int = 2  # rounds of comparing with one member
     listed: int = 1_000_000  # ids that may be broadcast; more go through a shuffle
+    held: int = 24 << 20  # bytes of sets that may be broadcast; more go through a shuffle
     seed: int = 5
 
     @property
@@ -93,7 +94,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 def _seeds(settings: NearSettings) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(settings.seed)
-    n = settings.values + SKETCH
+    n = settings.values + 64 * len(SKETCHES)
     return rng.integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
@@ -125,14 +126,15 @@ def signatures(docs: DataFrame, key: str, text: str, settings: NearSettings) ->
                 sketches.append(np.packbits((least[s.values :] & np.uint64(1)).astype(np.uint8)))
             flat = np.concatenate([*values, np.zeros(0, np.int32)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * s.values), pa.array(flat))
-            sketch = np.concatenate([*sketches, np.zeros(0, np.uint8)]).view("<i8")
+            sketch = np.concatenate([*sketches, np.zeros(0, np.uint8)]).view("<i8").reshape(-1, len(SKETCHES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(d, pa.int64()) for d in digests), lists, pa.array(sketch)],
-                names=["doc_id", "n", "d0", "d1", "signature", "sketch"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(d, pa.int64()) for d in digests), lists,
+                 *(pa.array(np.ascontiguousarray(k)) for k in sketch.T)],
+                names=["doc_id", "n", "d0", "d1", "signature", *SKETCHES],
             )
 
     rows = _documents(docs, key, text)
-    return rows.mapInArrow(measure, "doc_id long, n long, d0 long, d1 long, signature array<int>, sketch long")
+    return rows.mapInArrow(measure, "doc_id long, n long, d0 long, d1 long, signature array<int>, k0 long, k1 long, k2 long")
 
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -162,39 +164,62 @@ def _sets(docs: DataFrame, ids: DataFrame, settings: NearSettings) -> DataFrame:
     return docs.join(listed, "doc_id", "left_semi").mapInArrow(measure, "doc_id long, codes binary")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small) or 100 * len(small) < similarity * len(large):
+        return False
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * common >= similarity * (len(x) + len(y) - common)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
     """Of the pairs (a, b): those whose sets are similar enough."""
     s = settings
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = materialize(_sets(docs, ids, s), "sets")
+    size = sets.agg(F.sum(F.octet_length("codes") + 8)).first()[0] or 0
+    if size <= s.held:
+        rows = sets.toArrow()
+        found: dict[int, list[bytes]] = {}
+        for doc_id, codes in zip(rows.column("doc_id").to_pylist(), rows.column("codes").to_pylist()):
+            found.setdefault(doc_id, []).append(codes)
+        shared = docs.sparkSession.sparkContext.broadcast(found)
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = {k: [np.frombuffer(c, "<u8") for c in v] for k, v in shared.value.items()}
+            for batch in batches:
+                flags = [
+                    any(_similar(x, y, s.similarity) for x in known.get(a, []) for y in known.get(b, []))
+                    for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+                ]
+                yield batch.filter(pa.array(flags, pa.bool_()))
+
+        return pairs.select("a", "b").mapInArrow(look_up, "a long, b long")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
-                common = int((large[at] == small).sum()) if len(small) else 0
-                flags.append(100 * common >= s.similarity * (len(x) + len(y) - common) and common > 0)
+            flags = [
+                _similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), s.similarity)
+                for x, y in zip(batch.column("x"), batch.column("y"))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(flags, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets(docs, ids, s), "sets")
     left = sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("y"))
     right = sets.select(F.col("doc_id").alias("a"), F.col("codes").alias("x"))
     # the pivots' side repeats: adaptive execution splits a pivot that many rows point at
-    return pairs.join(left, "b").join(right, "a").mapInArrow(similar, "a long, b long")
+    return pairs.join(left, "b").join(right, "a").mapInArrow(compare, "a long, b long")
 
 
 def _representatives(signed: DataFrame) -> DataFrame:
     """One row per distinct non-empty set, with the smallest doc id that has it."""
     return signed.filter("n > 0").groupBy("n", "d0", "d1").agg(
-        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("signature", "sketch"))
+        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("signature", *SKETCHES))
     )
 
 
 def _pivot_pairs(keyed: DataFrame, settings: NearSettings, turn: int) -> DataFrame:
     """(a, b): each member of a key's group against the group's pivot, where components differ."""
-    rank = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("r"), "doc_id", "component", "n", "sketch")
+    rank = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("r"), "doc_id", "component", "n", *SKETCHES)
     groups = keyed.groupBy("key").agg(F.min(rank).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     groups = groups.filter("lo <> hi").select("key", "p")
     near = keyed.join(groups, "key").filter("component <> p.component").filter(_close(settings, "", "p."))
@@ -204,7 +229,7 @@ def _pivot_pairs(keyed: DataFrame, settings: NearSettings, turn: int) -> DataFra
 def _close(settings: NearSettings, left: str, right: str):
     """Sizes and 1-bit sketches allow the similarity."""
     a, b = F.col(f"{left}n"), F.col(f"{right}n")
-    distance = F.bit_count(F.col(f"{left}sketch").bitwiseXOR(F.col(f"{right}sketch")))
+    distance = sum(F.bit_count(F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in SKETCHES)
     return (100 * F.least(a, b) >= settings.similarity * F.greatest(a, b)) & (distance <= settings.sketch_distance)
 
 
@@ -225,7 +250,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, settings: NearSettings
     unique = materialize(_representatives(signed), "representatives")
     keyed = index_keys(unique, s)
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    keyed = keyed.join(shared.select("key"), "key").join(unique.select("doc_id", "n", "sketch"), "doc_id")
+    keyed = keyed.join(shared.select("key"), "key").join(unique.select("doc_id", "n", *SKETCHES), "doc_id")
     keyed = materialize(keyed.withColumn("component", F.col("doc_id")), "index")
     named = None  # (node, component) of what is linked so far
     for turn in range(s.pivots + 1):

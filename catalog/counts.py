@@ -71,10 +71,9 @@ _CLASSES = (
     "classes AS (SELECT *, CASE WHEN contains(_llm_error, 'ValidationError') THEN 'ValidationError' "
     "WHEN contains(_llm_error, 'LLMTimeoutError') OR contains(lower(_llm_error), 'timeout') "
     "THEN 'LLMTimeoutError' "
-    "WHEN contains(_llm_error, 'LLMRateLimitError') OR contains(_llm_error, '429') "
+    "WHEN contains(_llm_error, 'LLMRateLimitError') OR regexp_matches(_llm_error, '(^|[^0-9])429([^0-9]|$)') "
     "THEN 'LLMRateLimitError' WHEN contains(_llm_error, 'LLMServerError') "
-    "OR contains(_llm_error, '500') OR contains(_llm_error, '502') OR contains(_llm_error, '503') "
-    "OR contains(_llm_error, '504') THEN 'LLMServerError' ELSE 'unexpected_error' END AS kind "
+    "OR regexp_matches(_llm_error, '(^|[^0-9])50[0234]([^0-9]|$)') THEN 'LLMServerError' ELSE 'unexpected_error' END AS kind "
     "FROM results WHERE _llm_status = 'failed')"
 )
 _KINDS = [

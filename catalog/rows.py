@@ -194,8 +194,7 @@ _DIRTY = (
     "chr(10) || ' ' || chr(7) || text || chr(173) || title || chr(160) || 'end' || chr(10) END"
 )
 _SCRUBBED = (
-    f"substring(replace(replace(replace(trim(dirty, {WHITE}), chr(7), ' '), chr(173), ' '), "
-    "chr(160), ' '), 1, 1500)"
+    f"replace(replace(replace(trim(dirty, {WHITE}), chr(7), ' '), chr(173), ' '), chr(160), ' ')"
 )
 
 

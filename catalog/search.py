@@ -51,9 +51,9 @@ def v1_hash_embedding(spark, sf):
     return _shown(documents.withColumn("embedding", vectors.hash_embedding("text")))
 
 
-# the embedder takes at most 8192 characters; stored as float, so fewer places agree
+# stored as float, so fewer places agree
 _BATCH_SQL = (
-    embedding_sql(64, "substring(text, 1, 8192)")
+    embedding_sql(64, "text")
     .replace(", 6) AS v", ", 5) AS v")
     .replace(", 4) + 0.0 AS total", ", 2) + 0.0 AS total")
 )
@@ -122,7 +122,7 @@ def v4_dims(spark, sf):
     "SELECT conv_id, turn, round("
     + _value("digest", 0)
     + ", 5) AS v0, CAST(64 AS INTEGER) AS dim FROM (SELECT conv_id, turn, "
-    "sha256('query: ' || substring(text, 1, 8192)) AS digest FROM conversations)",
+    "sha256('query: ' || text) AS digest FROM conversations)",
 )
 def v5_query_embedding(spark, sf):
     plain = embed.hash_embedder(64)

@@ -27,11 +27,11 @@ def test_paths_and_names():
 def test_csv_folder(spark, folder):
     text = 'reference,text,n\n"a","line one\nline ""two"", end",1\nb,plain,2\n'
     spark.createDataFrame([(text.rstrip("\n"),)], "v string").coalesce(1).write.text(f"{folder}/b.csv")
-    spark.createDataFrame([("x\n1",)], "v string").coalesce(1).write.text(f"{folder}/c.csv")
+    spark.createDataFrame([("reference,text,n\nc,more,3",)], "v string").coalesce(1).write.text(f"{folder}/c.csv")
     rows = files.read_csv_folder(spark, folder).orderBy("n").collect()
     assert rows[0]["text"] == 'line one\nline "two", end' and rows[1]["n"] == 2
     typed = files.read_csv_folder(spark, folder, "reference string, text string, n bigint")
-    assert dict(typed.dtypes)["n"] == "bigint" and typed.count() == 2
+    assert dict(typed.dtypes)["n"] == "bigint" and typed.count() == 3
     with pytest.raises(ValueError, match="No CSV files"):
         files.read_csv_folder(spark, f"{folder}/b.csv")
 

@@ -76,7 +76,7 @@ def test_twin_is_the_same_for_any_partitioning(source):
 def test_holdout(source):
     training, held = twin.holdout_split(source)
     assert held.count() > 0 and training.count() + held.count() == 600
-    training, held = twin.holdout_split(source.limit(499))
+    training, held = twin.holdout_split(source.limit(499), minimum=500)
     assert held.count() == 0 and training.count() == 499
 
 
@@ -158,7 +158,7 @@ def test_documents_then_twin(spark, documents, folder):
     repository = Repository(spark, layout.twin("versions"))
     assert repository.read("documents", made["commit_id"]).count() == 60
     report = files.read_report(spark, layout.twin("validation_report"))
-    assert report["total_records"] == 60 and report["holdout_disabled"] is True
+    assert report["total_records"] == 60 and report["holdout_disabled"] is False
     with pytest.raises(ValueError, match="summary"):
         twins.twin_source(product.drop("summary"))
 

@@ -45,6 +45,11 @@ def ordinal(c: Column | str, scale: dict[str, int]) -> Column:
     return branches
 
 
+#: codes count as whole numbers everywhere
+RATE_CODE = r"(^|[^0-9])429([^0-9]|$)"
+SERVER_CODE = r"(^|[^0-9])50[0234]([^0-9]|$)"
+
+
 def check_summary(c: Column | str) -> Column:
     """struct(summary, error): stripped, at least 50 characters, past 1500 cut and marked."""
     c = col_of(c)
@@ -66,11 +71,11 @@ def error_class_of_message(message: Column | str) -> Column:
     return (
         F.when(F.contains(lower, F.lit("timeout")), fixed.TIMEOUT)
         .when(
-            F.regexp_like(message, F.lit(r"(^|[^0-9])429([^0-9]|$)"))
+            F.regexp_like(message, F.lit(RATE_CODE))
             | F.contains(lower, F.lit("rate")),
             fixed.RATE_LIMIT,
         )
-        .when(F.regexp_like(message, F.lit(r"(^|[^0-9])50[0234]([^0-9]|$)")), fixed.SERVER)
+        .when(F.regexp_like(message, F.lit(SERVER_CODE)), fixed.SERVER)
         .otherwise(fixed.RETRYABLE)
     )
 
@@ -93,10 +98,8 @@ def failure_class(message: Column | str) -> Column:
     return (
         F.when(has(fixed.VALIDATION), fixed.VALIDATION)
         .when(has(fixed.TIMEOUT) | F.contains(F.lower(message), F.lit("timeout")), fixed.TIMEOUT)
-        .when(has(fixed.RATE_LIMIT) | has("429"), fixed.RATE_LIMIT)
-        .when(
-            has(fixed.SERVER) | has("500") | has("502") | has("503") | has("504"), fixed.SERVER
-        )
+        .when(has(fixed.RATE_LIMIT) | F.regexp_like(message, F.lit(RATE_CODE)), fixed.RATE_LIMIT)
+        .when(has(fixed.SERVER) | F.regexp_like(message, F.lit(SERVER_CODE)), fixed.SERVER)
         .otherwise(fixed.UNEXPECTED)
     )
 

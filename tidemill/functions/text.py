@@ -57,13 +57,15 @@ def twin_embed_text(title: Column | str, summary: Column | str) -> Column:
 
 
 def scrub(
-    text: Column | str, title: Column | str, limit: int = fixed.EMBED_TEXT_CHARS
+    text: Column | str, title: Column | str, limit: int | None = None
 ) -> Column:
-    """Drop NUL, strip, blank out what does not print, cut; too short falls back to the title.
+    """Drop NUL, strip, blank out what does not print; too short falls back to the title.
 
-    Blanking replaces one character by one, so cutting first gives the same text for less.
+    With a `limit` the text is cut to it. Blanking replaces one character by one, so cutting
+    first gives the same text for less.
     """
-    kept = truncate(strip(F.replace(col_of(text), F.lit("\x00"), F.lit(""))), limit)
+    kept = strip(F.replace(col_of(text), F.lit("\x00"), F.lit("")))
+    kept = kept if limit is None else truncate(kept, limit)
     fallback = F.concat(F.lit("Speech: "), or_default(title, "Untitled"))
     clean = F.regexp_replace(kept, NOT_PRINTABLE, " ")
     return F.when(F.length(kept) >= 10, clean).otherwise(fallback)

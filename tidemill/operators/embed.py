@@ -16,10 +16,12 @@ def embed_column(
     target: str = "embedding",
     batch: int = fixed.EMBED_BATCH,
     mode: str = "passage",
+    limit: int | None = None,
 ) -> DataFrame:
     """Adds a vector per row; the embedder gets at most `batch` texts per call, in row order.
 
-    Texts are cut to what an embedder takes. `mode` is passed on: passages and queries may
+    Texts are passed whole; an embedder that takes only so many characters gets them cut to
+    `limit` (`fixed.EMBEDDER_INPUT_CHARS` for the usual one). `mode` is passed on: passages and queries may
     be embedded differently. An embedder error fails the task, which Spark then retries.
     """
 
@@ -38,8 +40,8 @@ def embed_column(
             yield pd.Series(vectors, dtype=object)
 
     call = F.pandas_udf(run, "array<float>")
-    short = text.truncate(F.coalesce(F.col(source), F.lit("")), fixed.EMBEDDER_INPUT_CHARS)
-    return df.withColumn(target, call(short))
+    whole = F.coalesce(F.col(source), F.lit(""))
+    return df.withColumn(target, call(whole if limit is None else text.truncate(whole, limit)))
 
 
 def hash_embedder(dim: int = fixed.EMBEDDING_DIM) -> Callable[[list, str], list]:

@@ -110,7 +110,7 @@ def scores(
 
 
 def evaluation_report(
-    real: DataFrame, twin: DataFrame, scored: dict, generated_at: str, job_id: str = ""
+    real: DataFrame, twin: DataFrame, scored: dict, generated_at: str, job_id: str = "", least_holdout: int = 0
 ) -> DataFrame:
     """One row: sizes, scores (a missing one is 0), the verdict, columns and version tags."""
     inputs, total = real.count(), twin.count()
@@ -126,7 +126,7 @@ def evaluation_report(
         "synthesis_type": "metadata-classification-summary-based",
         "synthesis_columns": list(real.columns),
         "includes_summary": "summary" in real.columns,
-        "holdout_disabled": inputs < 500,
+        "holdout_disabled": inputs < least_holdout,
         "report_version": "3.0",
         "report_type": "synthetic-twin-evaluation",
     }

@@ -6,10 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SALT = "_salt"
-HASHABLE = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.ArrayType)
 
 
 def heavy_keys(
@@ -39,19 +37,20 @@ def heavy_keys(
 
 
 def _ways(key: str, heavy: dict) -> Column:
-    branches = F.when(F.lit(False), 1)
-    for value, ways in heavy.items():
-        hit = F.col(key).isNull() if value is None else F.col(key) == F.lit(value)
-        branches = branches.when(hit, ways)
-    return branches.otherwise(1)
+    """The number of ways of each row's key, from one literal map."""
+    pairs = [F.lit(x) for value, ways in heavy.items() if value is not None for x in (value, ways)]
+    known = F.element_at(F.create_map(*pairs), F.col(key)) if pairs else F.lit(None).cast("int")
+    null = F.lit(heavy.get(None, 1))
+    return F.when(F.col(key).isNull(), null).otherwise(F.coalesce(known, F.lit(1)))
 
 
 def salt_left(df: DataFrame, key: str, heavy: dict) -> DataFrame:
-    """Spread a heavy key's rows by a hash of the whole row, so a retried task agrees."""
-    columns = [f.name for f in df.schema.fields if isinstance(f.dataType, HASHABLE)]
-    return df.withColumn(
-        SALT, F.pmod(F.xxhash64(*columns), _ways(key, heavy).cast("bigint")).cast("int")
-    )
+    """Spread a heavy key's rows by a hash of their place, so that equal rows spread too.
+
+    The key's partner rows are there under every salt, so any salt gives the same result.
+    """
+    place = F.xxhash64(F.monotonically_increasing_id())
+    return df.withColumn(SALT, F.pmod(place, _ways(key, heavy).cast("bigint")).cast("int"))
 
 
 def salt_right(df: DataFrame, key: str, heavy: dict) -> DataFrame:

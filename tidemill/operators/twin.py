@@ -148,10 +148,10 @@ def select_for_twin(df: DataFrame) -> DataFrame:
 
 
 def holdout_split(
-    df: DataFrame, key: str = "reference", seed: int = 42, share: float = 0.05, minimum: int = 500
+    df: DataFrame, key: str = "reference", seed: int = 42, share: float = 0.05, minimum: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """(training, holdout): no holdout below the minimum, else the same rows on every run."""
-    if df.count() < minimum:
+    """(training, holdout): the same rows on every run; none below a `minimum`, if given."""
+    if minimum and df.count() < minimum:
         return df, df.limit(0)
     held = draws.uniform(key, seed, "holdout") < share
     return df.filter(~held), df.filter(held)

@@ -109,14 +109,13 @@ def run_documents(
     at = lambda stage: layout.product(stage, options)
     documents = stored(clean_step(raw, options), at("cleaned"))
     product.require_unique(documents, KEY)
+    stores = []  # kept until the job is done: a rerun finds finished stages in them
     even = {}  # a unique key has no heavy values, so no join needs to look for them
 
     def scored(stage: str, rows: DataFrame, step: Step) -> DataFrame:
         store = layout.results(f"{trial}{stage}", run_id)
-        results = resume.score_with_resume(rows, step, store, KEY, chunks, heavy=even)
-        kept = stored(results, at(stage))
-        resume.cleanup_results(spark, store)
-        return kept
+        stores.append(store)
+        return stored(resume.score_with_resume(rows, step, store, KEY, chunks, heavy=even), at(stage))
 
     labels = scored("labels", documents, steps.label)
     stats.require_success(labels, "Classification")
@@ -133,5 +132,7 @@ def run_documents(
     collections.ensure_collection(spark, path, collections.DOCUMENT_PROPERTIES)
     objects = index_objects(enriched, vectors, heavy=even)
     indexed = collections.load_collection(objects, path, KEY, dim=dim, heavy=even)
+    for store in stores:
+        resume.cleanup_results(spark, store)
     log(f"{name}: {summary['num_records']} records, {indexed['object_count']} indexed")
     return {**summary, **indexed, "product": at("enriched"), "is_trial": options.is_trial}

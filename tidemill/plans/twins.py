@@ -63,7 +63,7 @@ def run_twin(
         source, made, attributes, present(QUASI), TARGET, present(VALUES)
     )
     report = privacy.evaluation_report(source, made, scored, generated_at, f"twin-{run_id}")
-    files.write_report(report, layout.twin("validation_report", options), generated_at[:10])
+    files.write_report(report, layout.twin("validation_report", options), "".join(c for c in generated_at if c.isalnum()))
 
     inputs = made.select(KEY, text.twin_embed_text("title", "summary").alias("embed_text"))
     vector_path = layout.snapshot("embeddings", options)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.operators.skew import anti_join
+from tidemill.operators.product import duplicate_keys
 from tidemill.operators.search import require_one_dim
-from tidemill.session import delete_path, path_exists
+from tidemill.operators.skew import anti_join
+from tidemill.session import delete_path, path_exists, work_dir
 
 # Property names and kinds of the two collections.
 DOCUMENT_PROPERTIES = {
@@ -101,23 +102,47 @@ def load_collection(
     """Add objects with their `embedding`; every row needs a vector and all have one size.
 
     `idempotent` adds only keys that are not there, `append` adds all rows again on a
-    rerun, `overwrite` replaces the collection. A caller that has checked the vectors
-    already gives their `dim`; `heavy` is as in `anti_join`.
+    rerun, `replace` puts the new row in the place of a stored one with its key,
+    `overwrite` replaces the collection. Except with `append`, a key that the load holds
+    twice counts once, with the row of the largest digest. A caller that knows the size
+    gives it as `dim`; vectors that are null or of another size are refused all the same.
+    `heavy` is as in `anti_join`.
     """
     spark = objects.sparkSession
-    dim = require_one_dim(objects) if dim is None else dim
+    if dim is None:
+        dim = require_one_dim(objects)
+    elif not objects.filter(~F.coalesce(F.size("embedding") == dim, F.lit(False))).isEmpty():
+        raise ValueError(f"every object needs a vector of size {dim}")
     rows = objects.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    if mode != "append":
+        rows = one_per_key(rows, key)
     if mode != "overwrite" and path_exists(spark, path):
         stored = spark.read.parquet(path)
         rows = rows.select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.schema.fields]
         )
+        if mode == "replace":
+            # the kept rows are written elsewhere first: a table cannot be read and replaced at once
+            kept = anti_join(stored, rows, key, heavy={}).unionByName(rows)
+            spare = work_dir(spark, "replace")
+            kept.write.parquet(spare)
+            spark.read.schema(stored.schema).parquet(spare).write.mode("overwrite").parquet(path)
+            delete_path(spark, spare)
+            return {"collection": path, "object_count": count_objects(spark, path), "vector_dimensions": dim}
         if mode == "idempotent" and not stored.isEmpty():
             rows = anti_join(rows, stored, key, heavy=heavy)
     rows.write.mode("overwrite" if mode == "overwrite" else "append").parquet(path)
     return {"collection": path, "object_count": count_objects(spark, path), "vector_dimensions": dim}
 
 
+def one_per_key(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key: of several the one with the largest digest. Rows move only if there are some."""
+    if duplicate_keys(rows, key).isEmpty():
+        return rows
+    chosen = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("_row"))
+    return chosen.select("_row.*")
+
+
 def load_pair(objects: DataFrame, vectors: DataFrame, path: str, key: str = "reference", **options):
     """The same from two tables that must hold the same number of rows."""
     left, right = objects.count(), vectors.count()

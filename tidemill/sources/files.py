@@ -14,20 +14,24 @@ from tidemill.session import list_files, path_size
 
 
 def read_csv_folder(
-    spark: SparkSession, folder: str, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType | str | None = None,
+    quoted_newlines: bool = True,
 ) -> DataFrame:
-    """The first CSV file of a folder by name: header, quoted newlines, doubled quotes.
+    """All CSV files of a folder, each with a header: quoted newlines, doubled quotes.
 
-    Quoted newlines keep the reader from splitting the file, so turn a large CSV into
-    Parquet once. Without a schema the types are inferred, which reads the file twice.
+    Quoted newlines keep the reader from splitting a file; say that there are none and large
+    files are read by many tasks. Without a schema the types are inferred, which reads the
+    files twice.
     """
     files = list_files(spark, folder)
     found = [name for name in files if name.endswith(".csv")]
     if not found:
         raise ValueError(f"No CSV files found in {folder}. Available files: {files}")
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", quoted_newlines).option("escape", '"')
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
-    return reader.csv(f"{folder}/{found[0]}")
+    return reader.csv([f"{folder}/{name}" for name in found])
 
 
 def write_product(df: DataFrame | None, path: str, log=print) -> str | None:

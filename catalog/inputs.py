@@ -47,6 +47,14 @@ def _document_columns(engine: str) -> dict[str, str]:
     }
 
 
+# identifiers for the SQL side, written apart from the library's own patterns
+IDENTIFIERS = {
+    "email": r"[a-zA-Z0-9_.%+-]+@[a-zA-Z0-9-]+(\.[a-zA-Z0-9-]+)+",
+    "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
+    "card": r"\d([ -]?\d){12,18}",
+    "phone": r"(\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}([ .-]?\d{2,4}){2,4}|\d{3}[ .-]\d{3}[ .-]\d{4}",
+}
+
 RAW = f"raw AS (SELECT {_select(_document_columns('duck'))} FROM documents)"
 CLEAN = (
     "cleaned AS (SELECT doc_id, reference, date, title, central_bank, "

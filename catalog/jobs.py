@@ -128,7 +128,7 @@ def pl4_trial_product(spark, sf):
 
 # the twin's own subqueries, on the product of this job
 def _masked_sql(column: str) -> str:
-    for kind, pattern in masks.PATTERNS.items():
+    for kind, pattern in inputs.IDENTIFIERS.items():
         column = f"regexp_replace({column}, '{pattern}', '[{kind.upper()}]', 'g')"
     return column
 

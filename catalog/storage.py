@@ -205,13 +205,20 @@ def s12_ensure_collection(spark, sf):
 
 @query(
     "s13_kinds",
-    "SELECT * FROM (VALUES ('o_orderkey', 'int'), ('o_custkey', 'int'), ('o_orderstatus', 'text'), "
-    "('o_totalprice', 'number'), ('o_orderdate', 'text'), ('o_orderpriority', 'text')) "
-    "t(property, kind)",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS property, '{kind}' AS kind, count({name}) AS filled FROM orders"
+        for name, kind in [
+            ("o_orderkey", "int"),
+            ("o_custkey", "int"),
+            ("o_orderstatus", "text"),
+            ("o_totalprice", "number"),
+            ("o_orderdate", "text"),
+            ("o_orderpriority", "text"),
+        ]
+    ),
 )
 def s13_kinds(spark, sf):
-    kinds = collections.infer_properties(table(spark, sf, "orders"))
-    return spark.createDataFrame(list(kinds.items()), "property string, kind string")
+    return collections.describe_properties(table(spark, sf, "orders"))
 
 
 @query(

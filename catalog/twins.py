@@ -32,17 +32,23 @@ def source(spark, sf):
 
 @query(
     "g1_roles",
-    "SELECT * FROM (VALUES ('date', 'categorical', NULL, NULL), "
-    "('country', 'categorical', NULL, NULL), ('author', 'categorical', NULL, NULL), "
-    "('title', 'categorical', NULL, NULL), ('summary', 'categorical', NULL, NULL), "
-    "('monetary_stance', 'numeric', 1.0::DOUBLE, 5.0::DOUBLE), "
-    "('trade_stance', 'numeric', 1.0, 5.0), "
-    "('economic_outlook', 'numeric', 1.0, 5.0), ('tariff_mention', 'binary', NULL, NULL), "
-    "('is_gov', 'binary', NULL, NULL)) t(\"column\", role, low, high)",
+    sql_with(
+        SOURCE,
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS \"column\", '{role}' AS role, {bounds}, count({name}) AS filled, "
+            + ("NULL::DOUBLE AS least, NULL::DOUBLE AS most" if role == "categorical" else f"min({name}::INT)::DOUBLE AS least, max({name}::INT)::DOUBLE AS most")
+            + " FROM source"
+            for name, role, bounds in [
+                *((n, "categorical", "NULL::DOUBLE AS low, NULL::DOUBLE AS high") for n in ("date", "country", "author", "title", "summary")),
+                *((n, "numeric", "1.0::DOUBLE AS low, 5.0::DOUBLE AS high") for n in ("monetary_stance", "trade_stance", "economic_outlook")),
+                *((n, "binary", "NULL::DOUBLE AS low, NULL::DOUBLE AS high") for n in ("tariff_mention", "is_gov")),
+            ]
+        ),
+    ),
 )
 def g1_roles(spark, sf):
     rows = source(spark, sf)
-    return twin.roles_table(rows, twin.infer_roles(rows, KEY))
+    return twin.observed_roles(rows, twin.infer_roles(rows, KEY))
 
 
 def _permuted(column: str) -> str:
@@ -244,7 +250,7 @@ def g8_report(spark, sf):
 def _mask_sql() -> str:
     steps, previous = [], "documents"
     counts = []
-    for kind, pattern in masks.PATTERNS.items():
+    for kind, pattern in inputs.IDENTIFIERS.items():
         steps.append(
             f"after_{kind} AS (SELECT * REPLACE (regexp_replace(text, '{pattern}', "
             f"'[{kind.upper()}]', 'g') AS text), "

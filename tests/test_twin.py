@@ -116,6 +116,12 @@ def test_masks(spark):
     assert (row["emails"], row["ips"], row["cards"], row["phones"]) == (2, 1, 2, 1)
 
 
+def test_phones_without_brackets(spark):
+    texts = ["at 555-123-4567 now", "or +44 20 7946 0958.", "not 12-34 or 2024-01-02"]
+    rows = masks.mask_text(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [r["text"] for r in rows] == ["at [PHONE] now", "or [PHONE].", "not 12-34 or 2024-01-02"]
+
+
 REPLY = (
     '<|channel|>final<|message|>{"monetary_stance": "hawkish", "trade_stance": "neutral", '
     '"tariff_mention": 1, "economic_outlook": "positive"}<|return|>'

@@ -13,12 +13,13 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
+    r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}",
 }
 
 
 # A text without this character cannot match, so the pattern is not tried on it.
-NEEDED = {"email": "@", "ip": ".", "phone": "("}
+NEEDED = {"email": "@", "ip": "."}
 
 
 def masked(column: str) -> Column:

@@ -55,6 +55,22 @@ def infer_roles(df: DataFrame, key: str, skip: tuple[str, ...] = ()) -> Roles:
     return Roles(categorical, numeric, binary, bounds)
 
 
+def observed_roles(df: DataFrame, roles: Roles) -> DataFrame:
+    """`roles_table` with the number of filled rows and, of columns that are not text, the range."""
+    names = [*roles.categorical, *roles.numeric, *roles.binary]
+    texts = set(roles.categorical)
+
+    def seen(name: str):
+        value = F.lit(None).cast("double") if name in texts else F.col(name).cast("int").cast("double")
+        value = F.col(name).cast("double") if name in roles.numeric else value
+        return F.struct(
+            F.lit(name).alias("column"), F.count(name).alias("filled"), F.min(value).alias("least"), F.max(value).alias("most")
+        )
+
+    found = df.agg(F.array(*map(seen, names)).alias("rows")).select(F.inline("rows"))
+    return roles_table(df, roles).join(found, "column")
+
+
 def roles_table(df: DataFrame, roles: Roles) -> DataFrame:
     """(column, role, low, high), one row per column that has a role."""
     rows = [(name, "categorical", None, None) for name in roles.categorical]

@@ -66,6 +66,16 @@ def infer_properties(df: DataFrame) -> dict[str, str]:
     return {field.name: property_kind(field.dataType) for field in df.schema.fields}
 
 
+def describe_properties(df: DataFrame) -> DataFrame:
+    """property, kind and in how many rows it is filled, one row per column."""
+    kinds = infer_properties(df)
+    each = [
+        F.struct(F.lit(name).alias("property"), F.lit(kind).alias("kind"), F.count(name).alias("filled"))
+        for name, kind in kinds.items()
+    ]
+    return df.agg(F.array(*each).alias("rows")).select(F.inline("rows"))
+
+
 def collection_schema(
     properties: dict[str, str], comments: dict[str, str] | None = None
 ) -> T.StructType:

@@ -88,9 +88,10 @@ def test_scrub_steps(spark):
         "Speech: T",
         "Speech: Untitled",
         "Speech: Untitled",
-        "y" * 1500,
+        "y" * 2000,
         "keeps\nlines\tand tabs  x",
     ]
+    assert values(df.select(text.scrub("text", "title", 1500).alias("v")), "v")[4] == "y" * 1500
 
 
 def test_scrub_agrees_with_python_on_many_characters(spark):

@@ -12,8 +12,11 @@ Links are confirmed on the full shingle sets, and no group is ever compared pair
 while it hangs together: (1) documents with equal sets are one; (2) in each key's group
 everything is compared with one pivot only, several times with other pivots, and components
 are formed; (3) what then shares a key across components is compared, filtered by size and
-by a second, 1-bit signature before any set is fetched. Group sizes therefore do not square:
-a group of copies costs one comparison for each member and round.
+by 1-bit signatures before any set is fetched: a short one of every document, then a long one
+that only the documents left in such groups get. At a similarity of 0.8 the long one rules a
+pair out once in fifty million. Of all keys that a pair shares only the first one emits it.
+So pairs are never emitted for a group, only those that the signatures hold for similar; a
+group of copies costs one comparison for each member and round.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing
 and stays. Fewer words than a shingle make one shingle of all words. Rows that repeat a doc
@@ -52,6 +55,8 @@ class NearSettings:
     errors: int = 2  # values of a chunk that may differ
     bits: int = 16  # of a signature value
     sketch_distance: int = 43  # of 192 bits; 0.8 differs in 19 +- 4, 0.3 in 67 +- 7
+    fine: int = 2048  # bits of the long signature
+    fine_distance: int = 280  # of them that may differ; 0.8 differs in 205 +- 14, 0.7 in 307 +- 16
     pivots: int = 2  # rounds of comparing with one member
     listed: int = 1_000_000  # ids that may be broadcast; more go through a shuffle
     held: int = 24 << 20  # bytes of sets that may be broadcast; more go through a shuffle
@@ -61,6 +66,11 @@ class NearSettings:
     def values(self) -> int:
         return self.chunks * self.width
 
+    @property
+    def slots(self) -> list[tuple[int, tuple[int, ...]]]:
+        """(chunk, values kept of it) of every key, in order."""
+        return [(c, kept) for c in range(self.chunks) for kept in combinations(range(self.width), self.width - self.errors)]
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -92,9 +102,8 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(_mix(mixed))
 
 
-def _seeds(settings: NearSettings) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(settings.seed)
-    n = settings.values + 64 * len(SKETCHES)
+def _seeds(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     return rng.integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
@@ -107,12 +116,16 @@ def minima(codes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.nda
     return _mix(least.astype(np.uint64) + np.uint64(1))
 
 
+def _digest(codes: np.ndarray, salt: np.uint64) -> int:
+    return int(_mix(codes * salt + salt).sum(dtype=np.uint64).astype(np.int64))
+
+
 def signatures(docs: DataFrame, key: str, text: str, settings: NearSettings) -> DataFrame:
     """doc_id, n_shingles, the set's digest, the b-bit signature and the 1-bit sketch."""
     s = settings
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors, shifts = _seeds(s)
+        factors, shifts = _seeds(s.seed, s.values + 64 * len(SKETCHES))
         mask = np.uint64((1 << s.bits) - 1)
         for batch in batches:
             sizes, digests, values, sketches = [], ([], []), [], []
@@ -121,7 +134,7 @@ def signatures(docs: DataFrame, key: str, text: str, settings: NearSettings) ->
                 least = minima(codes, factors, shifts)
                 sizes.append(len(codes))
                 for digest, salt in zip(digests, (PRIME, np.uint64(0xD6E8FEB86659FD93))):
-                    digest.append(int(_mix(codes * salt + salt).sum(dtype=np.uint64).astype(np.int64)))
+                    digest.append(_digest(codes, salt))
                 values.append((least[: s.values] & mask).astype(np.int32))
                 sketches.append(np.packbits((least[s.values :] & np.uint64(1)).astype(np.uint8)))
             flat = np.concatenate([*values, np.zeros(0, np.int32)])
@@ -142,13 +155,39 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def index_keys(signed: DataFrame, settings: NearSettings) -> DataFrame:
-    """(doc_id, key): every chunk with every choice of `errors` of its values left out."""
-    s, keys = settings, []
-    for chunk in range(s.chunks):
-        for kept in combinations(range(s.width), s.width - s.errors):
-            parts = [F.col("signature")[chunk * s.width + i] for i in kept]
-            keys.append(F.xxhash64(F.lit(chunk * 1000 + sum(1 << i for i in kept)), *parts))
-    return signed.select("doc_id", F.explode(F.array(*keys)).alias("key"))
+    """(doc_id, slot, key): every chunk with every choice of `errors` of its values left out."""
+    keys = []
+    for chunk, kept in settings.slots:
+        parts = [F.col("signature")[chunk * settings.width + i] for i in kept]
+        keys.append(F.xxhash64(F.lit(chunk * 1000 + sum(1 << i for i in kept)), *parts))
+    return signed.select("doc_id", F.posexplode(F.array(*keys)).alias("slot", "key"))
+
+
+def _fine(docs: DataFrame, ids: DataFrame, settings: NearSettings) -> DataFrame:
+    """(doc_id, d0, fine) of the documents in `ids`: the long signature, told apart by the set's digest."""
+    s = settings
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, shifts = _seeds(s.seed + 1, s.fine)
+        for batch in batches:
+            digests, bits = [], [np.zeros(0, np.uint8)]
+            for value in batch.column("text"):
+                codes = shingle_set(value.as_py(), s.shingle)
+                digests.append(_digest(codes, PRIME))
+                bits.append(np.packbits((minima(codes, factors, shifts) & np.uint64(1)).astype(np.uint8)))
+            flat = pa.array(np.concatenate(bits).view("<i8"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(digests) + 1, dtype=np.int32) * (s.fine // 64)), flat)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(digests, pa.int64()), lists], names=["doc_id", "d0", "fine"]
+            )
+
+    rows = _listed(docs, ids, s).mapInArrow(measure, "doc_id long, d0 long, fine array<long>")
+    return rows.dropDuplicates()
+
+
+def _listed(docs: DataFrame, ids: DataFrame, settings: NearSettings) -> DataFrame:
+    """The documents in `ids`; a counted list may be broadcast, a longer one is joined through a shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= settings.listed else ids, "doc_id", "left_semi")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, settings: NearSettings) -> DataFrame:
@@ -159,9 +198,7 @@ def _sets(docs: DataFrame, ids: DataFrame, settings: NearSettings) -> DataFrame:
             codes = [shingle_set(value.as_py(), settings.shingle).astype("<u8").tobytes() for value in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.binary())], names=["doc_id", "codes"])
 
-    # a counted list of ids may be broadcast, a longer one is joined through a shuffle
-    listed = F.broadcast(ids) if ids.count() <= settings.listed else ids
-    return docs.join(listed, "doc_id", "left_semi").mapInArrow(measure, "doc_id long, codes binary")
+    return _listed(docs, ids, settings).mapInArrow(measure, "doc_id long, codes binary")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
@@ -233,13 +270,38 @@ def _close(settings: NearSettings, left: str, right: str):
     return (100 * F.least(a, b) >= settings.similarity * F.greatest(a, b)) & (distance <= settings.sketch_distance)
 
 
-def _cross_pairs(keyed: DataFrame, settings: NearSettings) -> DataFrame:
+def _first_shared(settings: NearSettings):
+    """The row's slot is the first one whose key both signatures share.
+
+    A chunk before it must differ in too many values, and in its own chunk the values kept must
+    be the first that agree.
+    """
+    s, first = settings, F.lit(True)
+    skipped = [sum(1 << i for i in range(kept[-1]) if i not in kept) for _, kept in s.slots]
+    chunk = F.element_at(F.array(*(F.lit(c) for c, _ in s.slots)), F.col("a.slot") + 1)
+    skip = F.element_at(F.array(*map(F.lit, skipped)), F.col("a.slot") + 1)
+    for c in range(s.chunks):
+        same = (F.col("a.signature")[c * s.width + i] == F.col("b.signature")[c * s.width + i] for i in range(s.width))
+        agree = sum((F.when(x, 1 << i).otherwise(0) for i, x in enumerate(same)), F.lit(0))
+        own, before = agree.bitwiseAND(skip) == 0, F.bit_count(agree) < s.width - s.errors
+        first = first & F.when(chunk == c, own).when(chunk > c, before).otherwise(True)
+    return first
+
+
+def _cross_pairs(keyed: DataFrame, unique: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
     """(a, b): members of one key's group in different components, filtered before they are emitted."""
     groups = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rows = keyed.join(groups.select("key"), "key")
+    rows = materialize(keyed.join(groups.select("key"), "key"), "apart")
+    ids = materialize(rows.select("doc_id").distinct(), "apart-ids")
+    fine = materialize(_fine(docs, ids, settings), "fine")
+    fine = unique.select("doc_id", "d0", "signature").join(fine, ["doc_id", "d0"])
+    rows = rows.join(fine, ["doc_id", "d0"])
     a, b = rows.alias("a"), rows.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
-    pairs = a.join(b, apart & _close(settings, "a.", "b."))
+    words = range(settings.fine // 64)
+    distance = sum(F.bit_count(F.col("a.fine")[i].bitwiseXOR(F.col("b.fine")[i])) for i in words)
+    near = _close(settings, "a.", "b.") & (distance <= settings.fine_distance) & _first_shared(settings)
+    pairs = a.join(b, apart & near)
     return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
 
@@ -250,11 +312,11 @@ def near_duplicates(docs: DataFrame, key: str, text: str, settings: NearSettings
     unique = materialize(_representatives(signed), "representatives")
     keyed = index_keys(unique, s)
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    keyed = keyed.join(shared.select("key"), "key").join(unique.select("doc_id", "n", *SKETCHES), "doc_id")
+    keyed = keyed.join(shared.select("key"), "key").join(unique.select("doc_id", "n", "d0", *SKETCHES), "doc_id")
     keyed = materialize(keyed.withColumn("component", F.col("doc_id")), "index")
     named = None  # (node, component) of what is linked so far
     for turn in range(s.pivots + 1):
-        pairs = materialize(_pivot_pairs(keyed, s, turn) if turn < s.pivots else _cross_pairs(keyed, s), "pairs")
+        pairs = materialize(_pivot_pairs(keyed, s, turn) if turn < s.pivots else _cross_pairs(keyed, unique, rows, s), "pairs")
         if pairs.isEmpty():
             continue
         found = materialize(_confirmed(pairs, rows, s), "links")

@@ -149,8 +149,7 @@ def l6_lenient(spark, sf):
     "l7_summary_check",
     sql_with(
         [f"stripped AS (SELECT doc_id, trim(text, {WHITE}) AS body FROM documents)"],
-        "SELECT doc_id, CASE WHEN length(body) > 1500 THEN substring(body, 1, 1500) || '...' "
-        "WHEN length(body) >= 50 THEN body END AS summary, CASE WHEN length(body) < 50 THEN "
+        "SELECT doc_id, CASE WHEN length(body) >= 50 THEN body END AS summary, CASE WHEN length(body) < 50 THEN "
         "'Summary too short (' || CAST(length(body) AS VARCHAR) || ' chars)' END AS error "
         "FROM stripped",
     ),
@@ -165,8 +164,8 @@ _BULLETS = (
     "ELSE '• ' || safe || chr(10) END || '• ' || lang"
 )
 _OBJECT = (
-    f"CASE doc_id % 5 WHEN 0 THEN substring({_BULLETS}, 1, 2000) WHEN 1 THEN "
-    "CAST(doc_id AS VARCHAR) ELSE substring(safe, 1, 2000) END"
+    f"CASE doc_id % 5 WHEN 0 THEN {_BULLETS} WHEN 1 THEN "
+    "CAST(doc_id AS VARCHAR) ELSE safe END"
 )
 SUMMARY_OBJECT_SQL = (
     f"objects AS (SELECT doc_id, {_OBJECT} AS summary FROM summary_replies)"
@@ -297,7 +296,7 @@ def l11_next_retry(spark, sf):
     "l12_fallbacks",
     sql_with(
         [RAW],
-        "SELECT reference, '* Topic: ' || substring(coalesce(nullif(title, ''), 'Untitled'), 1, 100)"
+        "SELECT reference, '* Topic: ' || coalesce(nullif(title, ''), 'Untitled')"
         " || chr(10) || '* Speaker: ' || coalesce(nullif(speaker, ''), 'Unknown') || chr(10) || "
         "'* Bank: ' || coalesce(nullif(central_bank, ''), 'Unknown') AS summary, "
         "3 AS monetary_stance, 3 AS trade_stance, 0 AS tariff_mention, 3 AS economic_outlook "

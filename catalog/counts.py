@@ -129,7 +129,7 @@ def a7_mean_attempts(spark, sf):
     "a8_failed_references",
     sql_with(
         LABELS,
-        "SELECT reference FROM results WHERE _llm_status = 'failed' ORDER BY reference LIMIT 100",
+        "SELECT reference FROM results WHERE _llm_status = 'failed'",
     ),
 )
 def a8_failed_references(spark, sf):
@@ -274,7 +274,7 @@ def a14_error_sample(spark, sf):
     sql_with(
         LABELS,
         "SELECT error FROM (SELECT DISTINCT reference, reference || ': ' || "
-        "substring(_llm_error, 1, 100) AS error FROM results WHERE _llm_status = 'failed') "
+        "_llm_error AS error FROM results WHERE _llm_status = 'failed') "
         "ORDER BY reference DESC, error DESC LIMIT 5",
     ),
 )

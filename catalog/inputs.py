@@ -132,7 +132,7 @@ SUMMARIES = (
     "CASE WHEN length(body) < 50 THEN '* Topic: ' || coalesce(nullif(title, ''), 'Untitled') "
     "|| chr(10) || '* Speaker: ' || coalesce(nullif(speaker, ''), 'Unknown') "
     "|| chr(10) || '* Bank: ' || coalesce(nullif(central_bank, ''), 'Unknown') "
-    "WHEN length(body) > 1500 THEN substring(body, 1, 1500) || '...' ELSE body END AS summary, "
+    "ELSE body END AS summary, "
     "CASE WHEN length(body) < 50 THEN 'failed' ELSE 'success' END AS _llm_status, "
     "CASE WHEN length(body) < 50 THEN 'Summary too short (' || CAST(length(body) AS VARCHAR) "
     "|| ' chars)' ELSE '' END AS _llm_error, "

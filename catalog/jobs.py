@@ -55,7 +55,7 @@ _JOB = [
     *SUMMARY_REPLIES,
     SUMMARY_OBJECT_SQL,
     "sums AS (SELECT doc_id, CASE WHEN length(trim(summary)) < 50 THEN NULL "
-    "WHEN length(summary) > 1500 THEN substring(summary, 1, 1500) || '...' ELSE summary END "
+    "ELSE summary END "
     "AS summary FROM objects)",
     "job AS (SELECT c.reference, c.date, c.central_bank, c.speaker, c.title, c.is_gov, coalesce(s.monetary_stance, 3) "
     "AS monetary_stance, coalesce(s.trade_stance, 3) AS trade_stance, "

@@ -341,7 +341,7 @@ def p20_column_defaults(spark, sf):
     sql_with(
         [*DOCS, inputs.JOINED, inputs.RESULTS],
         "SELECT c.reference, c.date, c.central_bank, c.speaker, c.title, "
-        "substring(c.text, 1, 10000) AS text, r.monetary_stance, r.trade_stance, "
+        "c.text, r.monetary_stance, r.trade_stance, "
         "r.tariff_mention = 1 AS tariff_mention, r.economic_outlook, c.is_gov AS is_governor "
         "FROM cleaned c JOIN results r ON c.reference = r.reference",
     ),
@@ -358,7 +358,7 @@ def p21_search_object(spark, sf):
         [RAW, SUMMARIES],
         "SELECT r.reference, r.date, r.central_bank AS country, "
         "coalesce(r.speaker, 'Unknown') AS author, r.title, "
-        "substring(s.summary, 1, 2000) AS summary, 3 AS monetary_stance, 3 AS trade_stance, "
+        "s.summary, 3 AS monetary_stance, 3 AS trade_stance, "
         "false AS tariff_mention, 3 AS economic_outlook, coalesce(r.is_gov, false) AS is_gov, "
         "true AS is_synthetic FROM raw r JOIN summaries s ON r.reference = s.reference",
     ),
@@ -374,7 +374,7 @@ def p21_twin_object(spark, sf):
 @query(
     "p22_label_prompt",
     "SELECT doc_id, 'Analyze this central bank speech:' || chr(10) || chr(10) || "
-    "substring(text, 1, 4000) AS prompt FROM documents",
+    "text AS prompt FROM documents",
 )
 def p22_label_prompt(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.label_prompt("text").alias("prompt"))
@@ -387,7 +387,7 @@ def p22_label_prompt(spark, sf):
         "SELECT reference, 'Summarize this central bank speech in a few bullet points.' || "
         "chr(10) || chr(10) || 'Speech: ' || coalesce(nullif(title, ''), 'Untitled') || chr(10) || "
         "'Speaker: ' || coalesce(nullif(speaker, ''), 'Unknown') || ' (' || central_bank || ')' || "
-        "chr(10) || chr(10) || 'Text excerpt:' || chr(10) || substring(text, 1, 10000) || chr(10) "
+        "chr(10) || chr(10) || 'Text excerpt:' || chr(10) || text || chr(10) "
         "|| chr(10) || 'Provide your reasoning first, then a bullet-point summary of the key "
         "points.' || chr(10) || 'The summary should be a single text string with bullet points "
         "(using • or -), not a JSON array.' AS prompt FROM raw",

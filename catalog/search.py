@@ -107,6 +107,37 @@ def v3_top_k_blocks(spark, sf):
     return _nearest(spark, sf, query_bytes=4 * 64 * 8)
 
 
+def _floats(digest: str) -> str:
+    return "[" + ", ".join(f"CAST(CAST({_value(digest, i)} AS FLOAT) AS DOUBLE)" for i in range(32)) + "]"
+
+
+OBJECTS_SQL = (
+    f"WITH d AS (SELECT doc_id, lang, source, {_floats('digest')} AS v FROM "
+    "(SELECT *, sha256(coalesce(text, '')) AS digest FROM documents)), "
+    f"q AS (SELECT n_nationkey AS query_id, {_floats('digest')} AS v FROM "
+    "(SELECT *, sha256(n_name) AS digest FROM nation)), "
+    "near AS (SELECT query_id, doc_id, lang, source, "
+    "round(1 - list_cosine_similarity(q.v, d.v), 12) AS distance FROM d, q), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM near) "
+    "SELECT query_id, doc_id, lang, source, round(distance, 6) AS distance, "
+    "round(1 - distance / 2, 6) AS certainty, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"
+)
+
+
+@query("v3_search_objects", OBJECTS_SQL)
+def v3_search_objects(spark, sf):
+    """Texts in, stored objects out."""
+    embedder = embed.hash_embedder(64)
+    documents = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    objects = embed.embed_column(documents, embedder, "text").drop("text")
+    asked = table(spark, sf, "nation").selectExpr("n_nationkey AS query_id", "n_name AS query")
+    found = search.search_objects(objects, asked, embedder, 10, key="doc_id")
+    return found.select(
+        "query_id", "doc_id", "lang", "source", F.round("distance", 6).alias("distance"),
+        F.round("certainty", 6).alias("certainty"), "rank",
+    )
+
+
 @query(
     "v4_dims",
     "SELECT CAST(min(len(embedding)) AS INTEGER) AS min_dim, "

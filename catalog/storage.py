@@ -153,7 +153,7 @@ def _objects(spark, sf):
     "s11_collection",
     sql_with(
         inputs.DOCS,
-        "SELECT reference, date, central_bank, speaker, title, substring(text, 1, 10000) AS text, "
+        "SELECT reference, date, central_bank, speaker, title, text, "
         "3 AS monetary_stance, 3 AS trade_stance, false AS tariff_mention, 3 AS economic_outlook, "
         "is_gov AS is_governor, CAST(64 AS INTEGER) AS dim FROM cleaned",
     ),

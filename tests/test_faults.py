@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.config import Layout
-from tidemill.operators import embed, resume, skew
+from tidemill.operators import clean, embed, resume, search, skew
 from tidemill.plans.documents import DocumentSteps, label_replies, run_documents, summary_replies
 from tidemill.session import list_files
 from tidemill.sources import collections
@@ -76,3 +76,35 @@ def test_the_same_row_survives_in_any_order(spark, folder):
     x, y = (sorted(map(tuple, resume.finalize_results(spark, f"{folder}/{n}", "reference").collect())) for n in "xy")
     assert x == y and len(x) == 2
     assert list_files(spark, folder) == ["x", "y"]
+
+
+def test_sample_reads_keys_first(spark, tmp_path):
+    rows = [(i if i % 7 else None, f"text {i}") for i in range(1, 200)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "k int, text string").write.parquet(path)
+    df = spark.read.parquet(path)
+    for n in (5, 28, 40, 500):  # nulls alone, all nulls, nulls and keys, everything
+        got = [r["k"] for r in clean.head_sample(df, ["k", "text"], n).collect()]
+        assert got == [r["k"] for r in df.orderBy("k", "text").limit(n).collect()]
+    plan = clean.head_sample(df, ["k"], 40)._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(k," in plan
+    assert clean.head_sample(df.limit(0), ["k"], 3).count() == 0
+
+
+def test_staged_chunks_have_few_files(spark, tmp_path):
+    todo = spark.range(4000).withColumn("x", F.lit("t")).repartition(16)
+    stage = str(tmp_path / "stage")
+    parts = resume._chunks(todo, "id", 8, stage)
+    assert sum(p.count() for p in parts) == 4000
+    assert len(list((tmp_path / "stage").glob("*/*.parquet"))) <= 8
+
+
+def test_objects_found_by_text(spark):
+    embedder = embed.hash_embedder(32)
+    stored = embed.embed_column(
+        spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "reference string, text string"), embedder, "text"
+    )
+    asked = spark.createDataFrame([(1, "x"), (2, "y")], "query_id int, query string")
+    hits = search.search_objects(stored, asked, embedder, 2).orderBy("query_id", "rank").collect()
+    assert [(h["query_id"], h["reference"], h["text"]) for h in hits if h["rank"] == 1] == [(1, "a", "x"), (2, "b", "y")]
+    assert len(hits) == 4 and hits[0]["distance"] == 0.0 and "embedding" not in hits[0].asDict()

@@ -168,7 +168,7 @@ def test_lenient_labels_errors(spark):
 
 @pytest.mark.parametrize("size, kept", [(49, None), (50, 50), (1500, 1500), (1501, 1503)])
 def test_summary_check_bounds(spark, size, kept):
-    got = column(spark, [" \n" + "s" * size + "\t"], replies.check_summary("reply"))[0]
+    got = column(spark, [" \n" + "s" * size + "\t"], replies.check_summary("reply", 1500))[0]
     if kept is None:
         assert got["summary"] is None and got["error"] == "Summary too short (49 chars)"
     else:
@@ -188,7 +188,7 @@ def test_summary_object(spark):
         "none",
         json.dumps({"reasoning": "r", "summary": "[1, 2] " + long}),
     ]
-    got = parsed(spark, texts, parsing.parse_summary)
+    got = parsed(spark, texts, lambda df, reply: parsing.parse_summary(df, reply, limit=2000))
     assert got[0]["summary"] == " " + long
     assert got[1]["summary"] == long
     assert got[2]["summary"] == f"{long}\n• second\n• third"

@@ -88,7 +88,7 @@ def test_recent_errors(spark, results):
     lines = [r[0] for r in stats.recent_errors(twice, limit=3).collect()]
     assert lines == ["F: Unknown error", "E: HTTP 503", "D: HTTP 429"]
     long = results.filter("reference = 'B'").withColumn("_llm_error", F.lit("x" * 300))
-    assert stats.recent_errors(long).first()[0] == "B: " + "x" * 100
+    assert stats.recent_errors(long, chars=100).first()[0] == "B: " + "x" * 100
 
 
 QUALITY = "reference string, _llm_status_class string, _llm_status_summary string"

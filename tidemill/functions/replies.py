@@ -50,13 +50,17 @@ RATE_CODE = r"(^|[^0-9])429([^0-9]|$)"
 SERVER_CODE = r"(^|[^0-9])50[0234]([^0-9]|$)"
 
 
-def check_summary(c: Column | str) -> Column:
-    """struct(summary, error): stripped, at least 50 characters, past 1500 cut and marked."""
+def check_summary(c: Column | str, limit: int | None = None) -> Column:
+    """struct(summary, error): stripped, at least 50 characters, past a `limit` cut and marked.
+
+    The usual limit is `fixed.SUMMARY_KEEP_CHARS`; without one the summary stays whole.
+    """
     c = col_of(c)
     text = strip(c)
     size = F.length(text)
-    cut = F.concat(truncate(text, fixed.SUMMARY_KEEP_CHARS), F.lit("..."))
-    kept = F.when(size > fixed.SUMMARY_KEEP_CHARS, cut).when(size >= fixed.SUMMARY_MIN_CHARS, text)
+    kept = F.when(size >= fixed.SUMMARY_MIN_CHARS, text)
+    if limit is not None:
+        kept = F.when(size > limit, F.concat(truncate(text, limit), F.lit("..."))).otherwise(kept)
     short = F.concat(F.lit("Summary too short ("), size.cast("string"), F.lit(" chars)"))
     error = F.when(c.isNull(), F.lit("Summary missing")).when(
         size < fixed.SUMMARY_MIN_CHARS, short

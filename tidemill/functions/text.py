@@ -25,9 +25,9 @@ def strip(c: Column | str) -> Column:
     return F.btrim(col_of(c), F.lit(WHITESPACE))
 
 
-def truncate(c: Column | str, limit: int) -> Column:
-    """First `limit` characters (code points)."""
-    return F.substring(col_of(c), 1, limit)
+def truncate(c: Column | str, limit: int | None) -> Column:
+    """First `limit` characters (code points); all of them without a limit."""
+    return col_of(c) if limit is None else F.substring(col_of(c), 1, limit)
 
 
 def longer_than(c: Column | str, limit: int = fixed.MIN_TEXT_CHARS) -> Column:
@@ -45,7 +45,7 @@ def embed_text(title: Column | str, summary: Column | str, limit: int | None = N
     has_summary = F.coalesce(summary, F.lit("")) != ""
     both = F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), summary)
     text = F.when(has_summary, both).otherwise(or_default(title, "Untitled speech"))
-    return text if limit is None else truncate(text, limit)
+    return truncate(text, limit)
 
 
 def twin_embed_text(title: Column | str, summary: Column | str) -> Column:
@@ -127,8 +127,9 @@ def render(template: str, columns: dict[str, Column | str]) -> Column:
     return F.concat(*parts)
 
 
-def label_prompt(text: Column | str = "text") -> Column:
-    return render(fixed.LABEL_PROMPT, {"text": truncate(text, fixed.LABEL_TEXT_CHARS)})
+def label_prompt(text: Column | str = "text", limit: int | None = None) -> Column:
+    """The whole text, or its first `limit` characters (`fixed.LABEL_TEXT_CHARS` is usual)."""
+    return render(fixed.LABEL_PROMPT, {"text": truncate(text, limit)})
 
 
 def summary_prompt(
@@ -136,14 +137,16 @@ def summary_prompt(
     speaker: Column | str = "speaker",
     central_bank: Column | str = "central_bank",
     text: Column | str = "text",
+    limit: int | None = None,
 ) -> Column:
+    """The whole text, or its first `limit` characters (`fixed.SUMMARY_TEXT_CHARS` is usual)."""
     return render(
         fixed.SUMMARY_PROMPT,
         {
             "title": or_default(title, "Untitled"),
             "speaker": or_default(speaker, "Unknown"),
             "central_bank": or_default(central_bank, "Unknown"),
-            "text": truncate(text, fixed.SUMMARY_TEXT_CHARS),
+            "text": truncate(text, limit),
         },
     )
 
@@ -152,11 +155,12 @@ def summary_fallback(
     title: Column | str = "title",
     speaker: Column | str = "speaker",
     central_bank: Column | str = "central_bank",
+    limit: int | None = None,
 ) -> Column:
-    """Three starred lines made from the row itself."""
+    """Three starred lines made from the row itself, the title whole or cut to `limit`."""
     return F.concat(
         F.lit("* Topic: "),
-        truncate(or_default(title, "Untitled"), 100),
+        truncate(or_default(title, "Untitled"), limit),
         F.lit("\n* Speaker: "),
         or_default(speaker, "Unknown"),
         F.lit("\n* Bank: "),

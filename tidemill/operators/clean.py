@@ -41,8 +41,18 @@ def clean_documents(
 
 
 def head_sample(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
-    """First n rows in key order; 0 keeps everything."""
-    return df.orderBy(*order_by).limit(n) if n > 0 else df
+    """First n rows in key order, nulls first; 0 keeps everything.
+
+    A first pass reads the leading key column alone and finds how far the n rows reach; the
+    second is filtered by that key, so a scan skips the files and row groups beyond it. `df`
+    is read twice, so it has to be stored or cheap to compute.
+    """
+    if n <= 0:
+        return df
+    lead = order_by[0]
+    last = df.select(lead).orderBy(lead).limit(n).agg(F.max(lead)).first()[0]
+    reached = F.col(lead).isNull() if last is None else F.col(lead).isNull() | (F.col(lead) <= F.lit(last))
+    return df.filter(reached).orderBy(*order_by).limit(n)
 
 
 def select_existing(df: DataFrame, wanted: list[str]) -> DataFrame:
@@ -113,8 +123,11 @@ def _or_missing(df: DataFrame, name: str, default, kind: str = "string") -> Colu
     return F.coalesce(F.col(name).cast(kind), fallback) if name in df.columns else fallback
 
 
-def document_objects(df: DataFrame, key: str = "reference") -> DataFrame:
-    """What a document search collection stores, one row per document."""
+def document_objects(df: DataFrame, key: str = "reference", limit: int | None = None) -> DataFrame:
+    """What a document search collection stores, one row per document.
+
+    Texts are whole, or their first `limit` characters (`fixed.INDEX_TEXT_CHARS` is usual).
+    """
     governor = "is_governor" if "is_governor" in df.columns else "is_gov"
     return df.select(
         key,
@@ -122,22 +135,25 @@ def document_objects(df: DataFrame, key: str = "reference") -> DataFrame:
         _or_missing(df, "central_bank", "Unknown").alias("central_bank"),
         _or_missing(df, "speaker", "Unknown").alias("speaker"),
         _or_missing(df, "title", "Untitled").alias("title"),
-        text.truncate(_or_missing(df, "text", ""), fixed.INDEX_TEXT_CHARS).alias("text"),
+        text.truncate(_or_missing(df, "text", ""), limit).alias("text"),
         *_label_objects(df),
         _or_missing(df, governor, False, "boolean").alias("is_governor"),
         *_vector(df),
     )
 
 
-def twin_objects(df: DataFrame, key: str = "reference") -> DataFrame:
-    """What a synthetic collection stores: the summary instead of the text, always marked."""
+def twin_objects(df: DataFrame, key: str = "reference", limit: int | None = None) -> DataFrame:
+    """What a synthetic collection stores: the summary instead of the text, always marked.
+
+    Summaries are whole, or their first `limit` characters (`fixed.TWIN_INDEX_CHARS` is usual).
+    """
     return df.select(
         key,
         _or_missing(df, "date", "").alias("date"),
         _or_missing(df, "country", "Unknown").alias("country"),
         _or_missing(df, "author", "Unknown").alias("author"),
         _or_missing(df, "title", "Untitled").alias("title"),
-        text.truncate(_or_missing(df, "summary", ""), fixed.TWIN_INDEX_CHARS).alias("summary"),
+        text.truncate(_or_missing(df, "summary", ""), limit).alias("summary"),
         *_label_objects(df),
         _or_missing(df, "is_gov", False, "boolean").alias("is_gov"),
         F.lit(True).alias("is_synthetic"),

@@ -132,11 +132,14 @@ def parse_labels_leniently(df: DataFrame, reply: str, into: str = "parsed") -> D
     return _label_result(error, into, read)
 
 
-def parse_summary(df: DataFrame, reply: str, into: str = "parsed") -> DataFrame:
+def parse_summary(
+    df: DataFrame, reply: str, into: str = "parsed", limit: int | None = None
+) -> DataFrame:
     """Adds struct(summary, error) from a reply holding `reasoning` and `summary`.
 
-    Two strings with a summary of 50 to 2000 characters pass as they are. Otherwise the
-    summary alone is rescued: a list becomes bullet lines, other values their text.
+    Two strings with a summary of 50 to `limit` characters pass as they are. Otherwise the
+    summary alone is rescued: a list becomes bullet lines, other values their text, cut to
+    `limit` (`fixed.SUMMARY_OBJECT_CHARS` is usual). Without a limit nothing is too long.
     """
     read = _with_fields(_with_part(df, reply)).withColumn("_variant", F.try_parse_json("_part"))
 
@@ -164,7 +167,8 @@ def parse_summary(df: DataFrame, reply: str, into: str = "parsed") -> DataFrame:
     passes = F.coalesce(
         (kinds["reasoning"] == "STRING")
         & (kinds["summary"] == "STRING")
-        & F.length(text).between(fixed.SUMMARY_MIN_CHARS, fixed.SUMMARY_OBJECT_CHARS),
+        & (F.length(text) >= fixed.SUMMARY_MIN_CHARS)
+        & (F.lit(True) if limit is None else F.length(text) <= limit),
         F.lit(False),
     )
     rescued = F.col("_rescued")
@@ -174,7 +178,7 @@ def parse_summary(df: DataFrame, reply: str, into: str = "parsed") -> DataFrame:
         .when(F.col("_fields").isNull(), F.lit("Invalid JSON"))
         .when(~passes & too_short, F.lit("Invalid summary response"))
     )
-    value = F.when(passes, text).otherwise(truncate(rescued, fixed.SUMMARY_OBJECT_CHARS))
+    value = F.when(passes, text).otherwise(truncate(rescued, limit))
     judged = read.withColumn("_error", error).withColumn("_value", value)
     result = F.struct(
         F.when(F.col("_error").isNull(), F.col("_value")).alias("summary"),

@@ -96,6 +96,10 @@ def _chunks(todo: DataFrame, key: str, chunks: int, stage: str | None) -> list[D
     if stage is None:
         return [todo]
     part = F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
-    todo.withColumn("_chunk", part).write.partitionBy("_chunk").parquet(stage)
+    # a chunk's rows meet in a few tasks, so that the stage has few files and none is too large
+    ways = max(1, int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions")) // chunks)
+    spread = F.pmod(F.xxhash64(key, F.lit("stage")), F.lit(ways))
+    chunked = todo.withColumn("_chunk", part).repartition("_chunk", spread)
+    chunked.write.partitionBy("_chunk").parquet(stage)
     staged = todo.sparkSession.read.parquet(stage)
     return [staged.filter(F.col("_chunk") == n).drop("_chunk") for n in range(chunks)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.functions.vectors import certainty
+from tidemill.operators import embed
+from tidemill.session import work_dir
 
 QUERY_BYTES = 64 * 1024 * 1024
 CELLS = 4_000_000  # distances held at a time, 32 MB
@@ -48,35 +50,67 @@ def top_k(
 
     A task turns its Arrow batches into matrix products and hands on only its own best k
     per query. The queries travel to the tasks in blocks of at most `query_bytes`; more
-    queries than fit in one block take one pass over the vectors per block. Distances are
-    kept to 12 places, so that equal vectors tie wherever they lie; ties go to the smaller
+    queries than fit in one block take one pass over the vectors per block, and each pass is
+    written before the next block is read, so the driver never holds more than one. Distances
+    are kept to 12 places, so that equal vectors tie wherever they lie; ties go to the smaller
     key. Vectors of length zero have no direction and are left out.
     """
-    blocks = _query_blocks(queries.select(query_key, column), query_key, column, query_bytes)
-    passes = [_nearest(vectors, block, k, key, query_key, column) for block in blocks]
-    found = reduce(DataFrame.unionByName, passes)
-    rank = F.row_number().over(W.partitionBy(query_key).orderBy("distance", key))
-    best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return best.select(query_key, key, "distance", certainty("distance").alias("certainty"), "rank")
+    def ranked(block: DataFrame):
+        found, sent = _nearest(vectors, block, k, key, query_key, column)
+        rank = F.row_number().over(W.partitionBy(query_key).orderBy("distance", key))
+        best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+        shown = certainty("distance").alias("certainty")
+        return best.select(query_key, key, "distance", shown, "rank"), sent
+
+    parts, blocks = _query_blocks(queries.select(query_key, column), query_key, column, query_bytes)
+    if parts == 1:
+        return ranked(next(blocks))[0]
+    path = work_dir(vectors.sparkSession, "nearest")
+    for block in blocks:
+        best, sent = ranked(block)
+        schema = best.schema
+        best.write.mode("append").parquet(path)
+        sent.destroy()
+    return vectors.sparkSession.read.schema(schema).parquet(path)
+
+
+def search_objects(
+    objects: DataFrame,
+    queries: DataFrame,
+    embedder,
+    k: int = 10,
+    key: str = "reference",
+    query_key: str = "query_id",
+    text: str = "query",
+    column: str = "embedding",
+) -> DataFrame:
+    """Query texts in, the nearest stored objects out: hits with all properties but the vector.
+
+    The texts go to the embedder as queries. Only the hits, k for a query, meet the
+    collection again; keys of objects are unique there.
+    """
+    asked = embed.embed_queries(queries.select(query_key, text), embedder, text, target=column)
+    hits = top_k(objects, asked, k, key, query_key, column)
+    return hits.join(objects.drop(column), key)
 
 
-def _query_blocks(queries, query_key, column, query_bytes) -> list[DataFrame]:
+def _query_blocks(queries, query_key, column, query_bytes) -> tuple[int, Iterator[DataFrame]]:
     """The queries as they are if they fit, else split by a hash until every part fits."""
     size = queries.agg(F.max(F.size(column)).alias("d"), F.count(F.lit(1)).alias("n")).first()
     fits = max(1, query_bytes // (8 * max(1, size["d"] or 1)))
     if size["n"] <= fits:
-        return [queries]
+        return 1, iter([queries])
     parts = 1
     largest = size["n"]
     while largest > fits:
         parts *= 2
         part = F.pmod(F.xxhash64(query_key), F.lit(parts))
         largest = queries.groupBy(part.alias("part")).count().agg(F.max("count")).first()[0]
-    return [queries.filter(part == n) for n in range(parts)]
+    return parts, (queries.filter(part == n) for n in range(parts))
 
 
-def _nearest(vectors, queries, k, key, query_key, column) -> DataFrame:
-    """The best k per query within each task's own vectors."""
+def _nearest(vectors, queries, k, key, query_key, column):
+    """The best k per query within each task's own vectors, and the block as it was sent."""
     rows = queries.collect()  # one block, bounded by query_bytes
     sent = vectors.sparkSession.sparkContext.broadcast(
         ([row[query_key] for row in rows], [list(row[column]) for row in rows])
@@ -142,4 +176,4 @@ def _nearest(vectors, queries, k, key, query_key, column) -> DataFrame:
                     schema=arrow_schema,
                 )
 
-    return vectors.select(key, column).mapInArrow(run, schema)
+    return vectors.select(key, column).mapInArrow(run, schema), sent

@@ -64,18 +64,16 @@ def mean_attempts(results: DataFrame, column: str = "_llm_attempts") -> DataFram
     )
 
 
-def failed_references(results: DataFrame, key: str = "reference", limit: int = 100) -> DataFrame:
-    """The first failed keys in key order, at most `limit`."""
-    return (
-        results.filter(_is("_llm_status", "failed"))
-        .select(F.col(key).cast("string").alias(key))
-        .orderBy(key)
-        .limit(limit)
-    )
+def failed_references(
+    results: DataFrame, key: str = "reference", limit: int | None = None
+) -> DataFrame:
+    """All failed keys, or the first `limit` in key order."""
+    failed = results.filter(_is("_llm_status", "failed")).select(F.col(key).cast("string").alias(key))
+    return failed if limit is None else failed.orderBy(key).limit(limit)
 
 
 def failed_reference_list(results: DataFrame, key: str = "reference", limit: int = 100):
-    """The same as one row holding a sorted array."""
+    """The first `limit` as one row holding a sorted array; the limit bounds that row."""
     first = failed_references(results, key, limit)
     return first.agg(F.array_sort(F.collect_list(key)).alias("failed_references"))
 
@@ -197,9 +195,11 @@ def error_sample(
     return failed.select(key, message.alias("error")).orderBy(key).limit(limit)
 
 
-def recent_errors(results: DataFrame, key: str = "reference", limit: int = 5) -> DataFrame:
-    """The last distinct `id: message` lines, message cut to 100 characters."""
-    message = text.truncate(F.coalesce("_llm_error", F.lit("Unknown error")), 100)
+def recent_errors(
+    results: DataFrame, key: str = "reference", limit: int = 5, chars: int | None = None
+) -> DataFrame:
+    """The last distinct `id: message` lines, messages whole or cut to `chars`."""
+    message = text.truncate(F.coalesce("_llm_error", F.lit("Unknown error")), chars)
     line = F.concat(F.col(key).cast("string"), F.lit(": "), message)
     return (
         results.filter(_is("_llm_status", "failed"))

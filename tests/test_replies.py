@@ -188,7 +188,7 @@ def test_summary_object(spark):
         "none",
         json.dumps({"reasoning": "r", "summary": "[1, 2] " + long}),
     ]
-    got = parsed(spark, texts, lambda df, reply: parsing.parse_summary(df, reply, limit=2000))
+    got = parsed(spark, texts, lambda *x: parsing.parse_summary(*x, limit=2000))
     assert got[0]["summary"] == " " + long
     assert got[1]["summary"] == long
     assert got[2]["summary"] == f"{long}\n• second\n• third"
@@ -229,3 +229,10 @@ def test_backoff(spark):
     )
     assert low == pytest.approx([c * 0.8 for c in call])
     assert high == pytest.approx([c * 1.2 for c in call])
+
+
+def test_texts_are_whole_without_a_limit(spark):
+    long = "z" * 30_000
+    assert column(spark, [long], replies.check_summary("reply"))[0]["summary"] == long
+    for shape in ({"reasoning": "r", "summary": long}, {"summary": long}):
+        assert parsed(spark, [json.dumps(shape)], parsing.parse_summary)[0]["summary"] == long

@@ -90,3 +90,36 @@ def test_signature_distance_is_guaranteed():
         other = np.zeros(s.values, bool)
         other[rng.choice(s.values, distance, replace=False)] = True
         assert (other.reshape(s.chunks, s.width).sum(axis=1) <= s.errors).any()
+
+
+def test_long_signature_keeps_pairs_at_the_threshold():
+    """At a similarity of just 0.8 the distances lie about 205 and stay well below the cutoff."""
+    s, rng = neardup.NearSettings(), np.random.default_rng(2)
+    factors, shifts = neardup._seeds(s.seed + 1, s.fine)
+    distances = []
+    for size in (40, 180, 900):
+        for _ in range(40):
+            codes = rng.integers(0, 1 << 63, size + size // 4, dtype=np.uint64)
+            apart = size // 8  # size shared, apart on each side: 100 * size = 80 * (size + 2 * apart)
+            sets = codes[: size + apart], np.concatenate([codes[:size], codes[size + apart : size + 2 * apart]])
+            x, y = (neardup.minima(np.unique(c), factors, shifts) & np.uint64(1) for c in sets)
+            distances.append(int((x != y).sum()))
+    assert abs(np.mean(distances) - 205) < 6 and max(distances) < s.fine_distance - 20
+
+
+def test_a_pair_comes_from_one_key_only(spark):
+    """Whatever values differ, exactly one shared slot counts as the first."""
+    s, rng, rows = neardup.NearSettings(), np.random.default_rng(3), []
+    for pair in range(60):
+        a = rng.integers(0, 1000, s.values)
+        differ = rng.choice(s.values, rng.integers(0, 15), replace=False)
+        b = a.copy()
+        b[differ] += 1000
+        rows.append((pair, a.tolist(), b.tolist()))
+    pairs = spark.createDataFrame(rows, "pair long, x array<int>, y array<int>")
+    left = neardup.index_keys(pairs.selectExpr("pair AS doc_id", "x AS signature"), s)
+    right = neardup.index_keys(pairs.selectExpr("pair AS doc_id", "y AS signature"), s)
+    left = left.join(pairs.selectExpr("pair AS doc_id", "x AS signature"), "doc_id").alias("a")
+    right = right.join(pairs.selectExpr("pair AS doc_id", "y AS signature"), "doc_id").alias("b")
+    met = left.join(right, ["doc_id", "key"]).filter(neardup._first_shared(s)).groupBy("doc_id").count()
+    assert {r["doc_id"]: r["count"] for r in met.collect()} == {i: 1 for i in range(60)}

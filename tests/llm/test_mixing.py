@@ -52,6 +52,19 @@ def test_odd_rows(odd, empty, spark):
     assert {r["doc_id"]: r["n"] for r in emitted.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {k: v for k, v in copies.items() if v}
 
 
+def test_emit_counts_rows_that_share_a_key(spark):
+    rows = [(None, f"w{i} " * (i % 3 + 1), "a") for i in range(20)] + [(1, f"v{i}", "b") for i in range(20)] + [(2, "same", "b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = mixing.mix(docs, "doc_id", "text", "source").groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    emitted = mixing.emit(docs, "doc_id", "text", "source")
+    assert emitted.columns == docs.columns
+    assert {r["doc_id"]: r["n"] for r in emitted.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {r["doc_id"]: r["n"] for r in copies}
+    distinct = emitted.filter("doc_id is null or doc_id = 1").groupBy("doc_id", "text").count()
+    assert distinct.agg(F.max("count")).first()[0] <= 3
+    again = mixing.emit(docs.repartition(5), "doc_id", "text", "source")
+    assert sorted(map(str, emitted.collect())) == sorted(map(str, again.collect()))
+
+
 def test_weights_are_a_setting(spark, tmp_path, odd):
     settings = mixing.MixSettings(weights=(1.0, 5.0), most_copies=2.0)
     odd.filter("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/documents.parquet")

@@ -25,6 +25,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """`df`, written, with a number `_row` of its own for every row; a column key may be null or repeated."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))

@@ -15,7 +15,8 @@ inside its own cell.
 Defined results: a null text has size 0 and is emitted like any other of its source without
 adding words; a null source is a source of its own, last in the order of weights; a source
 without words has target 0. Repeated rows each count. An empty table gives an empty result.
-Everything is decided by digests of keys, so reruns agree on any cluster.
+Everything is decided by digests of keys, so reruns agree on any cluster; rows that share a
+key are told apart by a digest of their text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WORD
+from tidemill.llm.common import WORD, numbered
 
 
 @dataclass(frozen=True)
@@ -66,11 +67,11 @@ def source_targets(sizes: DataFrame, settings: MixSettings | None = None) -> Dat
     return sources.select("source", "source_size", F.coalesce(target, F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, key: str, text: str, source: str, settings: MixSettings | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of `docs`."""
+def mix(docs: DataFrame, key: str, text: str, source: str, settings: MixSettings | None = None, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and what is `carried` for every row of `docs`."""
     s = settings or MixSettings()
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *carried)
     rows = rows.withColumn("band", F.floor(F.log2(F.col("size") + 1) * 4).cast("int")).withColumn(
         "bucket", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, 3)
     )
@@ -78,15 +79,16 @@ def mix(docs: DataFrame, key: str, text: str, source: str, settings: MixSettings
 
 
 def place_copies(rows: DataFrame, targets: DataFrame, s: MixSettings) -> DataFrame:
+    carried = [c for c in rows.columns if c not in ("doc_id", "source", "size", "band", "bucket")]
     cells = rows.groupBy("source", "band", "bucket").agg(F.count("*").alias("n"))
     running = W.partitionBy("source").orderBy("band", "bucket").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
     cells = cells.join(targets, cells["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    cell = W.partitionBy("source", "band", "bucket").orderBy("size", "doc_id")
+    cell = W.partitionBy("source", "band", "bucket").orderBy("size", "doc_id", *carried)
     ranked = rows.withColumn("rank", F.row_number().over(cell) - 1)
     same = ranked["source"].eqNullSafe(cells["source"]) & (ranked["band"] == cells["band"]) & (ranked["bucket"] == cells["bucket"])
     placed = ranked.join(cells, same).select(
-        "doc_id", ranked["source"], "size", "source_size", "target", (F.col("before") + F.col("rank")).alias("place")
+        "doc_id", ranked["source"], "size", "source_size", "target", *carried, (F.col("before") + F.col("rank")).alias("place")
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = draw(F.lit(str(s.seed)), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
@@ -95,10 +97,12 @@ def place_copies(rows: DataFrame, targets: DataFrame, s: MixSettings) -> DataFra
 
 
 def emit(docs: DataFrame, key: str, text: str, source: str, settings: MixSettings | None = None) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it; `key` must be unique."""
-    chosen = mix(docs, key, text, source, settings).filter("copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("_key"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return docs.join(chosen, docs[key].eqNullSafe(chosen["_key"])).drop("_key", "_copy")
+    """The rows of `docs`, each as often as the mix takes it; keys may be null or repeated."""
+    rows = numbered(docs, "mix-rows")
+    digest = F.xxhash64(F.col(text)).alias("_digest")
+    chosen = mix(rows, key, text, source, settings, (digest, F.col("_row"))).filter("copies > 0")
+    chosen = chosen.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return rows.join(chosen, "_row").drop("_row", "_copy")
 
 
 def mix_sql(s: MixSettings | None = None) -> str:

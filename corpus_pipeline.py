@@ -5,10 +5,14 @@ written and read again, so a lost executor never costs more than one stage.
 
 1. Language: documents go whose language cannot be told (no text or letter) or is told with a
    score below 0.5.
-2. Near-duplicates: of each group of similar documents the one with the smallest doc id stays.
+2. Near-duplicates: of each group of similar documents the one with the smallest doc id stays,
+   a null one last, and of equal ids the one with the least digest of its columns.
 3. Decontamination: documents go that hold a benchmark item.
 4. Mixing: documents are repeated or left out so that sources meet their target weights.
 5. Tokens: ids are written to files and read back, one row per document.
+
+Stages tell rows apart, not doc ids: rows whose ids are null or repeated are documents of
+their own, and each goes or stays by its own text.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, language, mixing, neardup, tokens
-from tidemill.llm.common import materialize, table
+from tidemill.llm.common import materialize, numbered, table
 from tidemill.llm.queries import token_settings
 from tidemill.session import work_dir
 
@@ -32,14 +36,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(docs, "doc_id", "text")
-    gone = materialize(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return _without(docs, gone).dropDuplicates(["doc_id"])
+    rows = numbered(docs, "near-rows")
+    found = neardup.near_duplicates(rows, "_row", "text").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row").alias("order")
+    ranked = found.join(rows.select("_row", order), "_row")
+    groups = ranked.groupBy("component_id").agg(F.count("*").alias("n"), F.min("order").alias("first")).filter("n > 1")
+    gone = ranked.join(groups, "component_id").filter(F.col("_row") != F.col("first._row")).select("_row")
+    return _without(rows, materialize(gone, "gone")).drop("_row")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.find_leaks(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return _without(docs, materialize(leaks.select("doc_id").distinct(), "gone"))
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))  # equal rows go or stay together
+    leaks = decontaminate.find_leaks(rows, "_row", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    gone = materialize(leaks.select(F.col("doc_id").alias("_row")).distinct(), "gone")
+    return _without(rows, gone).drop("_row")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +63,9 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame, listed: int = 1_000_000) -> DataFrame:
-    """Rows of `docs` whose id is not in `gone`; a counted short list is broadcast."""
+    """Rows of `docs` whose `_row` is not in `gone`; a counted short list is broadcast."""
     gone = F.broadcast(gone) if gone.count() <= listed else gone
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "_row", "left_anti")
 
 
 STAGES = [

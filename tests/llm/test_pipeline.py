@@ -55,3 +55,30 @@ def test_run_takes_the_stages_in_order(spark, sf, documents):
     assert result.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert result.select(F.sum("n_tokens")).first()[0] == result.select(F.max(F.col("start") + F.col("n_tokens"))).first()[0]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near-duplicates", "decontamination", "mixing", "tokens"]
+
+
+def odd_ids(spark, documents):
+    """Rows with null and repeated ids: copies, a near copy, and texts of their own."""
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in ("oak", "elm", "fir", "yew", "ash", "may")]
+    ids = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (3, texts[3] + " more"),
+           (5, texts[4]), (5, texts[5]), (5, texts[5]), (6, texts[4]), (4, texts[4]), (None, None), (None, None)]
+    df = spark.createDataFrame(ids, "doc_id long, text string")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in documents.schema if f.name not in ("doc_id", "text")]
+    return texts, df.select("doc_id", "text", *rest).select(documents.columns)
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark, sf, documents):
+    texts, docs = odd_ids(spark, documents)
+    stayed = corpus_pipeline.near_duplicate_stage(spark, docs, sf)
+    assert stayed.columns == documents.columns
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[3] + " more"), (4, texts[4]), (5, texts[5]), (None, None), (None, None)]
+    assert rows_of(stayed.select("doc_id", "text")) == sorted(want, key=str)
+
+
+def test_decontamination_with_null_and_repeated_ids(spark, sf, documents):
+    texts, docs = odd_ids(spark, documents)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    leaked = docs.limit(1).withColumn("text", F.lit(item))
+    docs = docs.union(leaked).union(leaked.withColumn("doc_id", F.lit(5).cast("long")))
+    stayed = corpus_pipeline.decontamination_stage(spark, docs, sf)
+    assert rows_of(stayed.select("doc_id", "text")) == rows_of(docs.filter(~F.col("text").eqNullSafe(item)).select("doc_id", "text"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, language, mixing, neardup, tokens
 from tidemill.llm.common import materialize, numbered, table
-from tidemill.llm.queries import token_settings
+from tidemill.llm.queries import leak_settings, token_settings
 from tidemill.session import work_dir
 
 LEAST_SCORE = 0.5
@@ -47,7 +47,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))  # equal rows go or stay together
-    leaks = decontaminate.find_leaks(rows, "_row", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    leaks = decontaminate.find_leaks(rows, "_row", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", leak_settings())
     gone = materialize(leaks.select(F.col("doc_id").alias("_row")).distinct(), "gone")
     return _without(rows, gone).drop("_row")
 

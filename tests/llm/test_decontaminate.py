@@ -76,3 +76,40 @@ def test_empty_tables(spark, odd, empty):
     assert decontaminate.find_leaks(odd, "doc_id", "text", bench.limit(0), "item_id", "text").count() == 0
     found = decontaminate.find_leaks(odd, "doc_id", "text", bench, "item_id", "text").collect()
     assert {r["doc_id"] for r in found} == {6, 7} and len(found) == 2
+
+
+def brute_short(docs, items, size=5, least=0.8):
+    """Documents shorter than an item against it, each as a whole."""
+    own = {i: t.split() for i, t in items}
+    grams = {i: [tuple(w[k : k + size]) for k in range(len(w) - size + 1)] for i, w in own.items()}
+    df = Counter(h for g in grams.values() for h in set(g))
+    weight = lambda c: sum(n * math.log1p(len(items) / df.get(h, 1)) for h, n in c.items())
+    out = {}
+    for d, text in docs:
+        w = text.split()
+        doc = Counter(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
+        for i, g in grams.items():
+            if sum(doc.values()) < len(g):
+                similarity = weight(doc & Counter(g)) / weight(doc | Counter(g))
+                if similarity >= least - 1e-9:
+                    out[d, i] = similarity
+    return out
+
+
+def test_documents_shorter_than_an_item(spark, tmp_path, sf):
+    texts = [[f"{name}{i}" for i in range(n)] for name, n in (("oak", 59), ("elm", 80), ("fir", 30))]
+    # half of the last item is in all of the others' like: by weight 0.8 is reached with less by count
+    common = [f"c{i}" for i in range(24)]
+    items = [(k, " ".join(w)) for k, w in enumerate(texts)] + [(10 + k, " ".join([*common, *(f"t{k}x{i}" for i in range(40))])) for k in range(30)]
+    docs = [(1, texts[0][:-1]), (2, texts[0][1:]), (3, texts[1][:-10]), (4, texts[1][:-30]), (5, texts[2][2:-1]), (6, texts[2][:20]),
+            (7, [f"t3x{i}" for i in range(40)]), (8, texts[0]), (9, [*texts[0][:40], "x", *texts[0][41:58]])]
+    docs = [(d, " ".join(w)) for d, w in docs]
+    want = brute_short(docs, items)
+    assert {d for d, _ in want} == {1, 2, 3, 5, 7, 9}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]): r for r in QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()}
+    assert {k: r["similarity"] for k, r in got.items()} == pytest.approx(want | {(8, 0): 1.0})
+    assert got[1, 0]["n_words"] == 58 and got[1, 0]["first_word"] == 0 and got[8, 0]["n_words"] == 59

@@ -15,8 +15,11 @@ size are broadcast, larger ones are joined through a shuffle.
 Weights are ln(1 + items / items with the shingle); shingles of no item weigh like those of
 one. Words are compared in lower case (A-Z).
 
-Defined results: null or empty documents, and documents with fewer words than an item, match
-nothing. Items that are null or shorter than a shingle match nothing. Rows that repeat a doc
+With `short_documents` a document with fewer words than an item is one window as a whole,
+unless its shingles weigh too little for any item of that size; without it, it does not
+match that item.
+
+Defined results: null or empty documents match nothing. Items that are null or shorter than a shingle match nothing. Rows that repeat a doc
 id or an item id are reported together, a pair once. Of equal similarities the first window
 counts. Texts are read whole; empty tables give an empty result.
 """
@@ -40,6 +43,7 @@ class LeakSettings:
     similarity: float = 0.8
     errors: int = 3  # per block; finds all fingerprints within BLOCKS * (errors + 1) - 1 bits
     listed: int = 1_000_000  # rows of a side table that may be broadcast
+    short_documents: bool = False  # compare a document that is shorter than an item as a whole
 
     @property
     def radius(self) -> int:
@@ -115,9 +119,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_
     # only pairs of numbers leave the explosion: benchmark shingles are looked up on the spot
     # (their number is a column before that: else each of the rows would carry the array)
     each = rows.withColumn("all", F.size("hashes")).select("row", "all", F.posexplode_outer("hashes").alias("at", "h"))
-    hits = each.join(_size_checked(sizes, s.listed), "h").filter(F.col("n") <= F.col("all"))
-    starts = hits.select("row", "n", F.least(F.col("at"), F.col("all") - F.col("n")).alias("at")).distinct()
-    starts = materialize(starts, "leak-windows")
+    hits = each.join(_size_checked(sizes, s.listed), "h").select("row", "all", "at", "n", "w")
+    starts = materialize(_starts(materialize(hits, "leak-hits"), items, s), "leak-windows")
     found = _size_checked(starts.select("row").distinct(), s.listed)
     weights = _size_checked(sizes.select("h", "w").distinct(), s.listed)
     alone = items.select("item").distinct().agg(F.log1p(F.count("*").cast("double")).alias("alone"))
@@ -125,7 +128,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_
     near = near.join(weights, "h", "left").crossJoin(F.broadcast(alone))
     near = near.select("doc_id", "row", F.struct("at", "h", F.coalesce("w", "alone").alias("w")).alias("x"))
     near = near.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("x")).alias("x"))
-    windows = near.join(starts, "row").select("doc_id", "row", "at", "n", F.slice("x", F.col("at") + 1, F.col("n")).alias("s"))
+    windows = near.join(starts, "row").select("doc_id", "row", F.size("x").alias("all"), "at", "n", F.slice("x", F.col("at") + 1, F.col("n")).alias("s"))
     windows = materialize(windows.withColumn("print", fingerprint("s")), "leak-prints")
     slots = F.array(*(_slot(F.col("n"), F.lit(b), _block(F.col("print"), b)) for b in range(BLOCKS)))
     probes = windows.select("row", "at", "n", "print", F.explode(slots).alias("slot"))
@@ -135,6 +138,19 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_
     return _verified(candidates, windows, items, s)
 
 
+def _starts(hits: DataFrame, items: DataFrame, s: LeakSettings) -> DataFrame:
+    """(row, n, at): where the windows for items with n shingles begin."""
+    own = hits.filter(F.col("n") <= F.col("all"))
+    starts = own.select("row", "n", F.least(F.col("at"), F.col("all") - F.col("n")).alias("at"))
+    if s.short_documents:
+        whole = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"])
+        least = _size_checked(items.groupBy("n").agg(F.min(whole).alias("least")), s.listed)
+        short = hits.filter(F.col("n") > F.col("all")).groupBy("row", "n").agg(F.sum("w").alias("most")).join(least, "n")
+        short = short.filter(F.col("most") >= (s.similarity - 1e-6) * F.col("least"))
+        starts = starts.unionByName(short.select("row", "n", F.lit(0).alias("at")))
+    return starts.distinct()
+
+
 def _verified(candidates: DataFrame, windows: DataFrame, items: DataFrame, s: LeakSettings) -> DataFrame:
     pair = ["row", "at", "n", "item"]
     counted = candidates.join(windows.dropDuplicates(["row", "at", "n"]), ["row", "at", "n"]).select(*pair, F.explode("s").alias("x"))
@@ -150,8 +166,8 @@ def _verified(candidates: DataFrame, windows: DataFrame, items: DataFrame, s: Le
     )
     similar = similar.filter(F.col("similarity") >= s.similarity - 1e-9)
     names = items.select("item", "item_id").distinct()
-    ids = windows.select("row", "doc_id").distinct()
-    best = F.max_by(F.struct("similarity", "at", "n"), F.struct("similarity", -F.col("at"))).alias("best")
+    ids = windows.select("row", "doc_id", "all").distinct()
+    best = F.max_by(F.struct("similarity", "at", F.least("n", "all").alias("n")), F.struct("similarity", -F.col("at"))).alias("best")
     matched = similar.join(names, "item").join(ids, "row").groupBy("doc_id", "item_id").agg(best)
     return matched.select(
         "doc_id", "item_id", F.least(F.col("best.similarity"), F.lit(1.0)).alias("similarity"),

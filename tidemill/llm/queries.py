@@ -51,7 +51,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontaminate.find_leaks(documents, "doc_id", "text", benchmark, "item_id", "text")
+    return decontaminate.find_leaks(documents, "doc_id", "text", benchmark, "item_id", "text", leak_settings())
+
+
+def leak_settings() -> decontaminate.LeakSettings:
+    return decontaminate.LeakSettings(short_documents=True)
 
 
 @query("op4_warc")

@@ -113,3 +113,14 @@ def test_documents_shorter_than_an_item(spark, tmp_path, sf):
     got = {(r["doc_id"], r["item_id"]): r for r in QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()}
     assert {k: r["similarity"] for k, r in got.items()} == pytest.approx(want | {(8, 0): 1.0})
     assert got[1, 0]["n_words"] == 58 and got[1, 0]["first_word"] == 0 and got[8, 0]["n_words"] == 59
+
+
+def test_window_that_begins_with_a_shingle_of_other_sizes(spark):
+    item, shared = [f"t{i}" for i in range(60)], [f"p{i}" for i in range(10)]
+    items = [(0, " ".join(item))] + [(k, " ".join([*shared, *(f"o{k}x{i}" for i in range(20))])) for k in range(1, 41)]
+    docs = [(1, " ".join(["a", "b", *shared[3:], *item[:53], *(f"z{i}" for i in range(30))]))]
+    want = brute(docs, items)
+    assert set(want) == {(1, 0)}
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(df, "doc_id", "text", bench, "item_id", "text").collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == pytest.approx(want)

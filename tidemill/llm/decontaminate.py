@@ -6,10 +6,10 @@ under every value within three bit errors of each of its four 16-bit blocks, so
 pigeonhole all fingerprints within a distance of 15 meet. What meets is verified by the exact
 weighted Jaccard similarity of the two multisets of shingles.
 
-Windows begin where a shingle of an item of that size occurs, or end with the document. No
-match is lost by that: shifting a window whose first shingle is not the item's to the right
-drops a shingle that is not shared and has the largest weight there is, so its similarity
-does not fall. Everything runs as DataFrame expressions; only benchmark tables of a counted
+Windows begin where a shingle of an item of that size occurs, or end with the document, or
+begin less than a window before such a shingle with one that several items of other sizes
+have. No match is lost by that: any other first shingle is not shared and has the largest
+weight there is, so shifting the window to the right does not lower its similarity. Everything runs as DataFrame expressions; only benchmark tables of a counted
 size are broadcast, larger ones are joined through a shuffle.
 
 Weights are ln(1 + items / items with the shingle); shingles of no item weigh like those of
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import lower_ascii, materialize, words
@@ -76,19 +77,19 @@ def _size_checked(df: DataFrame, most: int) -> DataFrame:
 
 
 def _items(benchmark: DataFrame, key: str, text: str, s: LeakSettings) -> tuple[DataFrame, DataFrame]:
-    """(item_id, n, shingles (h, w), fingerprint), and (h, w, n) for each size of items with h."""
+    """(item_id, n, shingles (h, w), fingerprint), and (h, w, df, n) for each size of items with h."""
     rows = _with_hashes(benchmark.select(F.col(key).alias("item_id"), F.col(text).alias("text")), s.shingle)
     rows = rows.filter(F.size("hashes") > 0).withColumn("item", F.xxhash64("item_id", "hashes"))
     each = rows.withColumn("n", F.size("hashes")).select("item_id", "item", "n", F.posexplode_outer("hashes").alias("at", "h"))
     total = rows.select("item").distinct().agg(F.count("*").alias("total"))
     weights = each.groupBy("h").agg(F.count_distinct("item").alias("df")).crossJoin(F.broadcast(total))
-    weights = weights.select("h", F.log1p(F.col("total") / F.col("df")).alias("w"))
+    weights = weights.select("h", "df", F.log1p(F.col("total") / F.col("df")).alias("w"))
     listed = materialize(each.join(weights, "h"), "leak-items")
     whole = listed.groupBy("item_id", "item", "n").agg(
         F.transform(F.sort_array(F.collect_set(F.struct("at", "h", "w"))), lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"))).alias("s")
     )
     whole = materialize(whole.withColumn("print", fingerprint("s")), "leak-prints")
-    return whole, listed.select("h", "w", "n").distinct()
+    return whole, listed.select("h", "w", "df", "n").distinct()
 
 
 def _block(print_: Column, b: int) -> Column:
@@ -119,7 +120,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_
     # only pairs of numbers leave the explosion: benchmark shingles are looked up on the spot
     # (their number is a column before that: else each of the rows would carry the array)
     each = rows.withColumn("all", F.size("hashes")).select("row", "all", F.posexplode_outer("hashes").alias("at", "h"))
-    hits = each.join(_size_checked(sizes, s.listed), "h").select("row", "all", "at", "n", "w")
+    hits = each.join(_size_checked(sizes, s.listed), "h").select("row", "all", "at", "n", "w", "df")
     starts = materialize(_starts(materialize(hits, "leak-hits"), items, s), "leak-windows")
     found = _size_checked(starts.select("row").distinct(), s.listed)
     weights = _size_checked(sizes.select("h", "w").distinct(), s.listed)
@@ -141,7 +142,15 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_
 def _starts(hits: DataFrame, items: DataFrame, s: LeakSettings) -> DataFrame:
     """(row, n, at): where the windows for items with n shingles begin."""
     own = hits.filter(F.col("n") <= F.col("all"))
-    starts = own.select("row", "n", F.least(F.col("at"), F.col("all") - F.col("n")).alias("at"))
+    # shingles of several items may weigh less than what a shift to the right takes in
+    light = hits.filter("df > 1").select("row", "all", "at").distinct().join(own.select("row", "n").distinct(), "row")
+    both = own.select("row", "all", "at", "n", F.col("at").alias("hit"))
+    both = both.unionByName(light.withColumn("hit", F.lit(None).cast("int")))
+    # the next hit, read backwards so that the frame only grows
+    onwards = W.partitionBy("row", "n").orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("next", F.last("hit", ignorenulls=True).over(onwards))
+    both = both.filter(F.col("hit").isNotNull() | (F.col("next") - F.col("at") < F.col("n")))
+    starts = both.select("row", "n", F.least(F.col("at"), F.col("all") - F.col("n")).alias("at"))
     if s.short_documents:
         whole = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"])
         least = _size_checked(items.groupBy("n").agg(F.min(whole).alias("least")), s.listed)

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from tidemill.llm import scoring
+from tidemill.llm.queries import QUERIES
 
 
 def brute(rows, targets, d=0.5):
@@ -78,3 +79,66 @@ def test_odd_rows(spark, odd, empty):
     assert scoring.score(empty, "doc_id", "text", marks, "doc_id").count() == 0
     none = scoring.score(odd, "doc_id", "text", marks.limit(0), "doc_id").filter("n_tokens > 0").collect()
     assert all(r["target_loss"] == pytest.approx(8.0) for r in none)
+
+
+def brute_words(rows, targets, order, d=0.5):
+    def grams(text):
+        own = [None] * (order - 1) + (text or "").split()
+        return [tuple(own[i : i + order]) for i in range(len(own) - order + 1)]
+
+    words = {w for _, t in rows for w in (t or "").split()}
+
+    def model(texts):
+        seen = [Counter(g[order - n :] for t in texts for g in grams(t)) for n in range(1, order + 1)]
+
+        def p(g):
+            out = 1 / len(words)
+            for n in range(1, order + 1):
+                own = {k: v for k, v in seen[n - 1].items() if k[:-1] == g[order - n : -1]}
+                if own:
+                    size = sum(own.values())
+                    out = max(own.get(g[order - n :], 0) - d, 0) / size + d * len(own) / size * out
+            return out
+
+        return p
+
+    models = [model([t for i, t in rows if (i in targets) == mine]) for mine in (True, False)]
+    return {i: [-sum(math.log2(p(x)) for x in grams(t)) / len(grams(t)) if grams(t) else None for p in models] for i, t in rows}
+
+
+@pytest.mark.parametrize(("order", "frequent"), [(1, 4), (2, 1 << 20), (2, 1), (2, 8), (3, 8)])
+def test_words_against_brute_force(spark, order, frequent):
+    rows = [(1, "a b a b c é"), (2, "b a b a"), (3, None), (4, " \n"), (5, "a b c\ta"), (6, "zz a b"), (7, "b a b a"), (8, "zz")]
+    df = spark.createDataFrame([*rows, (7, "b a b a")], "doc_id long, text string").selectExpr("*", "'x' AS target", "'y' AS n", "'z' AS g")
+    marks = spark.createDataFrame([(1,), (5,), (5,), (None,)], "doc_id long")
+    settings = scoring.LmSettings(order=order, frequent=frequent)
+    got = scoring.score_words(df, "doc_id", "text", marks, "doc_id", settings).collect()
+    want = brute_words([*rows, (7, "b a b a")], {1, 5}, order)
+    assert len(got) == len(rows) + 1
+    for r in got:
+        assert r["n_tokens"] == len((dict(rows)[r["doc_id"]] or "").split())
+        if r["n_tokens"]:
+            assert [r["target_loss"], r["background_loss"]] == pytest.approx(want[r["doc_id"]])
+            assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"])
+        else:
+            assert r["target_loss"] is None and r["score"] is None
+
+
+def test_query_tells_word_order_apart(spark, tmp_path):
+    """Both kinds have the same words, most with the same letters at their ends; only their order differs."""
+    words = [f"a{i}bcdefghijklmnop{i}z" for i in range(12)]
+    text = lambda i, step: " ".join(words[(i + k * step) % 12] for k in range(40))
+    rows = [(i, text(i, 5 if i % 2 else 7)) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op10_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert all(got[i]["n_tokens"] == 40 for i in got)
+    # held-out odd documents look like the target by bits a word, even ones like the background
+    assert max(got[i]["score"] for i in range(41, 60, 2)) < -0.5 < 0.5 < min(got[i]["score"] for i in range(40, 60, 2))
+
+
+def test_words_of_odd_rows(spark, odd, empty):
+    marks = spark.createDataFrame([(6,)], "doc_id long")
+    assert len(scoring.score_words(odd, "doc_id", "text", marks, "doc_id").collect()) == odd.count()
+    assert scoring.score_words(empty, "doc_id", "text", marks, "doc_id").count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - `slices` uses it on executors that import nothing else
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

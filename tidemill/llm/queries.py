@@ -107,4 +107,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_scoring")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").filter("quality = 1")
-    return scoring.score(table(spark, sf_dir, "documents"), "doc_id", "text", target, "doc_id")
+    return scoring.score_words(table(spark, sf_dir, "documents"), "doc_id", "text", target, "doc_id")

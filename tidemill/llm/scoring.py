@@ -1,14 +1,18 @@
 """Language-model scoring by cross-entropy difference.
 
-A target model and a background model of the same order count n-grams of the same tokens:
-UTF-8 bytes, a vocabulary of 256 that both share by construction, with a start mark before
-each text. Both are smoothed alike (interpolated absolute discounting down to the uniform
+A target model and a background model of the same order count n-grams of the same tokens,
+with a start mark before each text: words (`score_words`), or UTF-8 bytes, a vocabulary of 256
+that both share by construction (`score`). Both are smoothed alike (interpolated absolute discounting down to the uniform
 distribution), so that the difference of their losses is a matter of their counts alone.
-Counts cover every byte of every document; a document's score is the mean difference of its
+Counts cover every token of every document; a document's score is the mean difference of its
 per-token losses, target minus background: low scores look like the target.
 
-Tables are bounded by the vocabulary, 257 x 256 x 256 trigrams at most, whatever the corpus;
-tasks send the n-grams that they saw, added up.
+N-grams of words are 64-bit codes in tables that grow with the corpus: counts, contexts and
+losses are made by grouping and joining, and documents are joined with the losses of their
+n-grams. Only n-grams that make up more than a millionth of all tokens, of which there are
+few, are looked up on the spot, so no code of the join has more than that share of the rows.
+The uniform distribution is over all words of the corpus. Tables of bytes are bounded by the
+vocabulary, 257 x 256 x 256 trigrams at most; tasks send the n-grams that they saw, added up.
 
 Defined results: a null or empty text has no tokens, losses and score null. With no target
 rows, or no background rows, that model is uniform. Target keys that are null or repeated
@@ -23,9 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import materialize, slices
+from tidemill.llm.neardup import PRIME, _mix, _word_codes
+
 START = 256
 BASE = 257
 ORDER = 3
@@ -35,6 +42,9 @@ PIECE = 1 << 20
 @dataclass(frozen=True)
 class LmSettings:
     discount: float = 0.5
+    order: int = 2  # of the word models
+    frequent: int = 1 << 20  # an n-gram with more than one of so many tokens is looked up, not joined
+    piece: int = 16 << 20  # bytes of text that a task works on at a time
 
 
 def trigrams(data: bytes) -> Iterator[np.ndarray]:
@@ -151,3 +161,128 @@ def score(docs: DataFrame, key: str, text: str, targets: DataFrame, target_key:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(measure, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+
+
+def word_grams(text: str | None, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Codes of the n-grams that end at each word of a text, and of their contexts, for n = 1 to `order`."""
+    found = text.encode().split() if text else []
+    own = _word_codes(found) if found else np.zeros(0, np.uint64)
+    padded = np.concatenate((np.zeros(order - 1, np.uint64), own))
+    grams, contexts = [], []
+    for n in range(1, order + 1):
+        context = np.full(len(own), n, np.uint64)
+        for back in range(n - 1, 0, -1):
+            context = _mix(context * PRIME + padded[order - 1 - back : len(padded) - back])
+        contexts.append(context)
+        grams.append(_mix(context * PRIME + own))
+    return grams, contexts
+
+
+def count_words(rows: DataFrame, s: LmSettings) -> DataFrame:
+    """g1 to gN, x2 to xN, t, b: every n-gram of the highest order with its parts and its counts in target rows and in others."""
+    parts = [f"g{n}" for n in range(1, s.order + 1)] + [f"x{n}" for n in range(2, s.order + 1)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", s.piece):
+            columns, flags = [[np.zeros(0, np.uint64)] for _ in parts], [np.zeros(0, bool)]
+            for value, target in zip(batch.column("text"), batch.column("target").to_pylist()):
+                grams, contexts = word_grams(value.as_py(), s.order)
+                for column, codes in zip(columns, grams + contexts[1:]):
+                    column.append(codes)
+                flags.append(np.full(len(grams[0]), target))
+            whole, flag = [np.concatenate(c) for c in columns], np.concatenate(flags)
+            _, first, place = np.unique(whole[s.order - 1], return_index=True, return_inverse=True)
+            counts = (np.bincount(place[mine], minlength=len(first)).astype(np.int64) for mine in (flag, ~flag))
+            arrays = [pa.array(c[first].view(np.int64)) for c in whole] + [pa.array(c) for c in counts]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*parts, "t", "b"])
+
+    counted = rows.mapInArrow(count, ", ".join(f"{c} long" for c in [*parts, "t", "b"]))
+    return _summed(counted, f"g{s.order}")
+
+
+def _summed(counted: DataFrame, gram: str) -> DataFrame:
+    rest = [c for c in counted.columns if c not in (gram, "t", "b")]
+    return counted.groupBy(gram).agg(*(F.first(c).alias(c) for c in rest), F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def word_losses(top: DataFrame, s: LmSettings) -> DataFrame:
+    """g, n, target_loss, background_loss of every n-gram of the highest order, in bits."""
+    levels = [top]
+    for n in range(s.order - 1, 0, -1):
+        lower = levels[0].drop(f"g{n + 1}", f"x{n + 1}")
+        levels.insert(0, materialize(_summed(lower, f"g{n}"), "lm-words" if n == 1 else "lm-grams"))
+    kinds = [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in "tb"]
+    sizes = [F.sum(c).alias(f"{c}_size") for c in "tb"]
+
+    def smoothed(c: str, lower: Column) -> Column:
+        size = F.coalesce(F.col(f"{c}_size"), F.lit(0))
+        own = (F.greatest(F.col(c) - s.discount, F.lit(0.0)) + s.discount * F.col(f"{c}_kinds") * lower) / size
+        return F.when(size > 0, own).otherwise(lower)
+
+    whole = levels[0].agg(*sizes, *kinds, F.count("*").alias("words"))
+    known = levels[0].crossJoin(F.broadcast(whole))  # one row
+    known = known.select("g1", "t", "b", *(smoothed(c, 1 / F.col("words")).alias(f"{c}_p") for c in "tb"))
+    for n, level in enumerate(levels[1:], 2):
+        contexts = level.groupBy(f"x{n}").agg(*sizes, *kinds)
+        lower = known.select(f"g{n - 1}", F.col("t_p").alias("t_q"), F.col("b_p").alias("b_q"))
+        joined = level.join(contexts, f"x{n}").join(lower, f"g{n - 1}")
+        known = joined.select(f"g{n}", "t", "b", *(smoothed(c, F.col(f"{c}_q")).alias(f"{c}_p") for c in "tb"))
+    return known.select(
+        F.col(f"g{s.order}").alias("g"), (F.col("t") + F.col("b")).alias("n"),
+        (-F.log2("t_p")).alias("target_loss"), (-F.log2("b_p")).alias("background_loss"),
+    )
+
+
+def score_words(docs: DataFrame, key: str, text: str, targets: DataFrame, target_key: str, settings: LmSettings | None = None) -> DataFrame:
+    """Like `score`, with models of words; n_tokens counts words. Texts are told apart by 64-bit digests."""
+    s = settings or LmSettings()
+    marks = targets.select(F.col(target_key).alias("_mark")).filter("_mark is not null").distinct()
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    marked = rows.join(marks, F.col("doc_id") == F.col("_mark"), "left").select("text", F.col("_mark").isNotNull().alias("target"))
+    top = materialize(count_words(marked, s), "lm-top")
+    losses = materialize(word_losses(top, s), "lm-losses")
+    total = losses.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * s.frequent > total
+    table = losses.filter(often).toArrow().sort_by("g")  # fewer than `frequent` rows
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("g", "target_loss", "background_loss")))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, *known = shared.value
+        for batch in slices(batches, "text", s.piece):
+            ids, rest, found, n_found = batch.column("id").to_numpy(), [], [], []
+            for value in batch.column("text"):
+                grams = word_grams(value.as_py(), s.order)[0][-1].view(np.int64)
+                at = np.minimum(np.searchsorted(codes, grams), max(len(codes) - 1, 0))
+                hit = codes[at] == grams if len(codes) else np.zeros(len(grams), bool)
+                found.append([float(loss[at[hit]].sum()) for loss in known])
+                n_found.append(int(hit.sum()))
+                rest.append(grams[~hit])
+            sums = np.array(found, float).reshape(-1, 2)
+            left = np.repeat(ids, [len(r) for r in rest])
+            n = len(left)
+            # one row for each text, then one for each n-gram that is still to be joined; no n-gram is null
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((ids, left))),
+                    pa.array(np.concatenate((ids, *rest))),
+                    pa.array(np.concatenate((np.ones(len(ids), np.int32), np.zeros(n, np.int32)))),
+                    pa.array(np.concatenate((np.array(n_found, np.int32), np.ones(n, np.int32)))),
+                    *(pa.array(np.concatenate((sums[:, i], np.zeros(n)))) for i in (0, 1)),
+                ],
+                names=["id", "g", "texts", "n_tokens", "t", "b"],
+            )
+
+    mapped = rows.select(F.xxhash64("text").alias("id"), "text").mapInArrow(look_up, "id long, g long, texts int, n_tokens int, t double, b double")
+    seldom = losses.filter(~often).select("g", "target_loss", "background_loss")
+    joined = mapped.join(seldom, "g", "left")
+    pick = lambda sum_, loss: F.when(F.col("texts") == 1, F.col(sum_)).otherwise(F.col(loss))
+    # copies of a text add up to its mean
+    per_text = joined.groupBy("id").agg(
+        F.sum("texts").alias("texts"), F.sum("n_tokens").alias("n"), F.sum(pick("t", "target_loss")).alias("t"), F.sum(pick("b", "background_loss")).alias("b")
+    )
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    per_text = per_text.select(
+        "id", (F.col("n") / F.col("texts")).cast("long").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss")
+    )
+    scored = rows.select("doc_id", F.xxhash64("text").alias("id")).join(per_text, "id", "left").drop("id")
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

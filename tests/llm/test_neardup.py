@@ -123,3 +123,12 @@ def test_a_pair_comes_from_one_key_only(spark):
     right = right.join(pairs.selectExpr("pair AS doc_id", "y AS signature"), "doc_id").alias("b")
     met = left.join(right, ["doc_id", "key"]).filter(neardup._first_shared(s)).groupBy("doc_id").count()
     assert {r["doc_id"]: r["count"] for r in met.collect()} == {i: 1 for i in range(60)}
+
+
+def test_repeated_id_links_the_groups_of_its_texts(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    rows = [(1, "a"), (5, "a"), (5, "b"), (7, "b"), (7, "c"), (8, "c"), (2, "d"), (3, "e"), (3, "e"), (None, "d")]
+    df = spark.createDataFrame([(i, texts[k]) for i, k in rows], "doc_id long, text string")
+    got = neardup.near_duplicates(df, "doc_id", "text").collect()
+    found = sorted({(r["doc_id"] or 0, r["component_id"], r["kept"]) for r in got})
+    assert found == [(0, 2, False), (1, 1, True), (2, 2, True), (3, 3, True), (5, 1, False), (7, 1, False), (8, 1, False)]

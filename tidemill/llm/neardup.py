@@ -334,12 +334,29 @@ def near_duplicates(docs: DataFrame, key: str, text: str, settings: NearSettings
     classes = unique.select("n", "d0", "d1", F.col("doc_id").alias("component_id"))
     if named is not None:
         classes = _renamed(classes, "component_id", named)
+    bound = _bound_by_id(signed, classes, s)
+    if bound is not None:
+        classes = _renamed(classes, "component_id", bound)
     joined = signed.join(classes, ["n", "d0", "d1"], "left")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _bound_by_id(signed: DataFrame, classes: DataFrame, settings: NearSettings) -> DataFrame | None:
+    """(node, component) of the components that hold different sets of one doc id; None without such ids."""
+    sets = signed.filter("n > 0 and doc_id is not null").select("doc_id", "n", "d0", "d1")
+    one = F.struct("n", "d0", "d1")
+    ids = sets.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo <> hi").select("doc_id")
+    ids = materialize(ids, "repeated-ids")
+    if ids.isEmpty():
+        return None
+    held = materialize(_listed(sets, ids, settings).join(classes, ["n", "d0", "d1"]).select("doc_id", "component_id").distinct(), "repeated")
+    least = held.groupBy("doc_id").agg(F.min("component_id").alias("b"))
+    edges = held.join(least, "doc_id").select(F.col("component_id").alias("a"), "b").filter("a <> b")
+    return components(edges, "components")
+
+
 def _renamed(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """`column` replaced by its component where it has one."""
     names = names.select(F.col("node").alias("_node"), F.col("component").alias("_component"))

@@ -48,10 +48,13 @@ def lines_up(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBa
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that one holds about `most_bytes` of `column`, one row at least."""
+    """Cut batches so that one holds about `most_bytes` of `column` (strings or lists of 32-bit numbers), one row at least."""
     for batch in batches:
         at, n = 0, batch.num_rows
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy()
+        if pa.types.is_list(batch.schema.field(column).type):
+            sizes = pa.compute.list_value_length(batch.column(column)).fill_null(0).to_numpy() * 4
+        else:
+            sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy()
         total = sizes.cumsum()
         while at < n:
             before = total[at - 1] if at else 0

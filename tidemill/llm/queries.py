@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontaminate, language, mixing, neardup, pii, quality, scoring, suffixes, tokens, warc
+from tidemill.llm import alignment, decontaminate, language, mixing, neardup, pii, prefixes, quality, scoring, sentencepieces, suffixes, tokens, warc
 from tidemill.llm.common import table
 from tidemill.session import work_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -108,3 +109,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").filter("quality = 1")
     return scoring.score_words(table(spark, sf_dir, "documents"), "doc_id", "text", target, "doc_id")
+
+
+def piece_settings() -> sentencepieces.PieceSettings:
+    import public_tokenizers
+
+    return sentencepieces.PieceSettings(model=public_tokenizers.path(PIECES))
+
+
+@query("op11_sentencepiece")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = piece_settings()
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), "doc_id", "text", settings)
+    digits = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return sentencepieces.decode(encoded, settings).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def align_settings() -> alignment.AlignSettings:
+    import public_tokenizers
+
+    return alignment.AlignSettings(a=public_tokenizers.path(TOKENIZER), b=public_tokenizers.path(PIECES))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = align_settings()
+    aligned = alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text", settings)
+    return alignment.score(aligned, alignment.link_counts(aligned, settings), settings)
+
+
+@query("op13_conversation_trie", prefixes.TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefixes.rebuild(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return prefixes.trie(rebuilt)

@@ -54,11 +54,16 @@ def brute(rows, both):
             while k < len(spans[1]) and spans[1][k][1] < y:
                 links.append((i, spans[1][k][0]))
                 k += 1
-        common = sorted({s[2] for s in spans[0]} & {s[2] for s in spans[1]})
-        groups, before = [], 0
-        for end in common:
-            groups.append("|".join(",".join(str(i) for i, x, y in s if before <= x and y <= end) for s in spans))
-            before = end
+        common = {s[2] for s in spans[0]} & {s[2] for s in spans[1]}
+        split = []
+        for stream in spans:
+            parts = [[]]
+            for i, _, y in stream:
+                parts[-1].append(str(i))
+                if y in common:
+                    parts.append([])
+            split.append([",".join(p) for p in parts[:-1]])
+        groups = [f"{x}|{y}" for x, y in zip(*split)]
         counts.update(links)
         details.append((doc_id, len(a), len(b), len(groups), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""))
     most = {}

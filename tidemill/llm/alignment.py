@@ -51,8 +51,8 @@ class AlignSettings:
     chunk_bytes: int = 1 << 15
     fan: int = 8  # neighbouring fragments joined at once
     frequent: int = 1 << 19  # pairs above this share of all links are looked up, at most as many
-    batch_bytes: int = 8 << 20
-    remembered: int = 400_000  # words whose ids a worker keeps, for each tokenizer
+    batch_bytes: int = 2 << 20
+    remembered: int = 150_000  # words whose ids a worker keeps, for each tokenizer
     flush: int = 1 << 20  # distinct pairs that a counting task holds
 
 

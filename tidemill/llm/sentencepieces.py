@@ -44,8 +44,8 @@ SHIFT = np.int64(21)  # a symbol is a piece, or a character beyond the pieces
 @dataclass(frozen=True)
 class PieceSettings:
     model: str = ""  # path of the model file
-    batch_bytes: int = 8 << 20
-    remembered: int = 600_000  # words whose ids a worker keeps
+    batch_bytes: int = 4 << 20
+    remembered: int = 300_000  # words whose ids a worker keeps
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from catalog.inputs import table
 from catalog.registry import query
 from tidemill.functions import vectors
-from tidemill.operators import embed, search
+from tidemill.operators import ann, embed, search
+from tidemill.session import work_dir
 
 
 def _byte(digest: str, i: int) -> str:
@@ -85,11 +86,7 @@ NEAREST_SQL = (
 
 def _nearest(spark, sf, **options):
     stored = table(spark, sf, "embeddings")
-    cells = stored.select("label", F.posexplode("embedding").alias("i", "x"))
-    means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))  # one entry per dimension
-    queries = means.groupBy(F.col("label").alias("query_id")).agg(ordered.alias("c"))
-    queries = queries.select("query_id", F.col("c.m").alias("embedding"))
+    queries = _centroids(stored)
     found = search.top_k(stored.select("vec_id", "embedding"), queries, 10, **options)
     return found.withColumns(
         {"distance": F.round("distance", 6), "certainty": F.round("certainty", 6)}
@@ -169,3 +166,46 @@ def v5_query_embedding(spark, sf):
         F.round(F.col("embedding")[0].cast("double"), 5).alias("v0"),
         F.size("embedding").alias("dim"),
     )
+
+
+def _centroids(stored):
+    cells = stored.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))  # one entry per dimension
+    return means.groupBy(F.col("label").alias("query_id")).agg(ordered["m"].alias("embedding"))
+
+
+@query("v3_index_exact", NEAREST_SQL)
+def v3_index_exact(spark, sf):
+    """The nearest from an inverted-file index, other cells read only where they may hold nearer ones."""
+    stored, path = table(spark, sf, "embeddings"), work_dir(spark, "vector-index")
+    ann.build_index(stored.select("vec_id", "embedding"), path)
+    found = ann.search_index(spark, path, _centroids(stored), 10, probes=2, exact=True)
+    return found.withColumns(
+        {"distance": F.round("distance", 6), "certainty": F.round("certainty", 6)}
+    )
+
+
+@query(
+    "v3_index_recall",
+    "SELECT 10 * count(*) AS neighbours, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
+)
+def v3_index_recall(spark, sf):
+    """Every hundredth vector as a query against all: the cells that the build found necessary, held against the exact search."""
+    stored, path = table(spark, sf, "embeddings").select("vec_id", "embedding"), work_dir(spark, "vector-index")
+    asked = stored.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    ann.build_index(stored, path)
+    exact = search.top_k(stored, asked, 10)
+    measured = ann.recall(ann.search_index(spark, path, asked, 10), exact)
+    return measured.select("neighbours", (F.col("recall") >= 0.95).alias("reached"))
+
+
+@query(
+    "v3_without_direction",
+    "SELECT count(*) AS rows, count(*) FILTER (WHERE embedding IS NULL) AS missing, "
+    "count(*) FILTER (WHERE list_dot_product(embedding, embedding) = 0) AS zero, "
+    "CAST(0 AS BIGINT) AS not_finite FROM embeddings",
+)
+def v3_without_direction(spark, sf):
+    """What no search can find is counted."""
+    return ann.without_direction(table(spark, sf, "embeddings"))

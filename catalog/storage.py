@@ -183,6 +183,42 @@ def s11_append(spark, sf):
     return stored.groupBy("reference").agg(F.count(F.lit(1)).alias("copies"))
 
 
+# by the code of the key's last character: every third is replaced, every fifth deleted
+_CHANGED_SQL = sql_with(
+    inputs.DOCS,
+    "SELECT reference, CASE WHEN n % 3 = 0 THEN 'changed ' || title ELSE title END AS title, "
+    "CAST(16 AS INTEGER) AS dim FROM (SELECT *, ascii(right(reference, 1)) AS n FROM cleaned) WHERE n % 5 <> 0",
+)
+
+
+def _changed_collection(spark, sf):
+    path = Layout(work_dir(spark, "collection")).collection("documents")
+    last = F.ascii(F.right("reference", F.lit(1)))
+    objects = _objects(spark, sf).select("reference", "title").withColumn("embedding", vectors.hash_embedding("title", 16))
+    collections.load_collection(objects, path)
+    changed = objects.filter(last % 3 == 0).withColumn("title", F.concat(F.lit("changed "), "title"))
+    collections.load_collection(changed, path, mode="replace")
+    collections.delete_objects(objects.filter(last % 5 == 0).select("reference"), path)
+    return path
+
+
+@query("s11_replace", _CHANGED_SQL)
+def s11_replace(spark, sf):
+    """Replaced and deleted objects, folded on read; the loaded files stay as they are."""
+    stored = collections.read_collection(spark, _changed_collection(spark, sf))
+    return stored.select("reference", "title", F.size("embedding").alias("dim"))
+
+
+@query("s11_compact", _CHANGED_SQL)
+def s11_compact(spark, sf):
+    """The same after the changes were folded into one base and dropped."""
+    path = _changed_collection(spark, sf)
+    collections.compact_collection(spark, path)
+    collections.drop_folded(spark, path)
+    stored = collections.read_collection(spark, path)
+    return stored.select("reference", "title", F.size("embedding").alias("dim"))
+
+
 @query(
     "s12_ensure_collection",
     "SELECT true AS created, false AS created_again, count(*) AS objects FROM documents",

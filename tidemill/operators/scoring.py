@@ -232,6 +232,10 @@ def schedule_retries(
     return failed.withColumn("next_retry_at", F.col(failed_at) + pause)
 
 
+#: keys of a sample that are broadcast
+SENT_ROWS = 100_000
+
+
 def sample_keys(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n keys picked by their digest: the same ones on every run with the same seed."""
     return df.select(key).orderBy(draws.digest(key, seed, "sample"), key).limit(n)
@@ -247,18 +251,22 @@ def enrich_sample(
 ) -> DataFrame:
     """Profiles for a sample of n rows, a marker on all others, error text where it failed.
 
-    `profile` turns the sampled rows into (key, ai_profile, error). The sample has n rows,
-    so both joins broadcast it.
+    `profile` turns the sampled rows into (key, ai_profile, error); of several answers for a
+    key the one with the largest digest counts, so rows never multiply. Only a sample of at
+    most SENT_ROWS keys is broadcast, answers never by a hint: their size is the model's.
     """
-    chosen = df.join(F.broadcast(sample_keys(df, key, n, seed)), key, "left_semi")
-    answers = profile(chosen).select(key, "ai_profile", "error", F.lit(True).alias("_asked"))
+    keys = sample_keys(df, key, n, seed)
+    chosen = df.join(F.broadcast(keys) if n <= SENT_ROWS else keys, key, "left_semi")
+    answers = profile(chosen).select(key, "ai_profile", "error")
+    picked = F.max_by(F.struct("ai_profile", "error"), F.xxhash64("ai_profile", "error"))
+    answers = answers.groupBy(key).agg(picked.alias("_answer")).select(key, "_answer.*", F.lit(True).alias("_asked"))
     text_out = (
         F.when(F.col("_asked").isNull(), marker)
         .when(F.col("error").isNotNull(), F.concat(F.lit("Error: "), F.col("error")))
         .otherwise(F.col("ai_profile"))
     )
     return (
-        df.join(F.broadcast(answers), key, "left")
+        df.join(answers, key, "left")
         .withColumn("ai_profile", text_out)
         .drop("error", "_asked")
     )

@@ -198,17 +198,27 @@ def error_sample(
 def recent_errors(
     results: DataFrame, key: str = "reference", limit: int = 5, chars: int | None = None
 ) -> DataFrame:
-    """The last distinct `id: message` lines, messages whole or cut to `chars`."""
+    """The last distinct `id: message` lines, messages whole or cut to `chars`.
+
+    Each pass is a plain top-n below the last line found, so no lines are shuffled; repeats of
+    a line can cost passes, at most one for each line that is returned. Lines of null keys are
+    null and come last.
+    """
     message = text.truncate(F.coalesce("_llm_error", F.lit("Unknown error")), chars)
     line = F.concat(F.col(key).cast("string"), F.lit(": "), message)
-    return (
-        results.filter(_is("_llm_status", "failed"))
-        .select(F.col(key).alias("_key"), line.alias("error"))
-        .distinct()
-        .orderBy(F.desc("_key"), F.desc("error"))
-        .limit(limit)
-        .select("error")
-    )
+    failed = results.filter(_is("_llm_status", "failed")).select(F.col(key).alias("_key"), line.alias("error"))
+    named, found, below = failed.filter("_key IS NOT NULL"), [], F.lit(True)
+    while len(found) < limit:
+        top = named.filter(below).orderBy(F.desc("_key"), F.desc("error")).limit(4 * limit).collect()
+        found += dict.fromkeys((row["_key"], row["error"]) for row in top)
+        if len(top) < 4 * limit:
+            break
+        last, end = F.lit(top[-1]["_key"]), F.lit(top[-1]["error"])
+        below = (F.col("_key") < last) | (F.col("_key") == last) & (F.col("error") < end)
+    lines = [(error,) for _, error in found]
+    if len(lines) < limit and not failed.filter("_key IS NULL").isEmpty():
+        lines.append((None,))
+    return results.sparkSession.createDataFrame(lines[:limit], "error string")
 
 
 def product_metadata(df: DataFrame, embedding: str | None = None) -> DataFrame:

@@ -1,7 +1,16 @@
-"""Vector collections as Parquet tables: properties and an embedding per row."""
+"""Vector collections as Parquet tables: properties and an embedding per row.
+
+Loads append files. Replaced and deleted objects are not looked for: a change is a small folder
+of new rows or of keys below `_changes`, whose log entry gives it its place in the order, and
+readers fold the changes into the rows. The stored rows are only read, never rewritten,
+until `compact_collection` writes the folded rows once and a log entry lets readers begin there.
+"""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +18,8 @@ from pyspark.sql import types as T
 from tidemill.operators.product import duplicate_keys
 from tidemill.operators.search import require_one_dim
 from tidemill.operators.skew import anti_join
-from tidemill.session import delete_path, path_exists, work_dir
+from tidemill.session import delete_path, path_exists
+from tidemill.sources import atomic
 
 # Property names and kinds of the two collections.
 DOCUMENT_PROPERTIES = {
@@ -126,25 +136,77 @@ def load_collection(
     rows = objects.withColumn("embedding", F.col("embedding").cast("array<float>"))
     if mode != "append":
         rows = one_per_key(rows, key)
+    changed = False
     if mode != "overwrite" and path_exists(spark, path):
-        stored = spark.read.parquet(path)
+        stored = read_collection(spark, path)
+        changed = bool(atomic.numbers(spark, _log(path)))
         rows = rows.select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.schema.fields]
         )
-        if mode == "replace":
-            # the kept rows are written elsewhere first: a table cannot be read and replaced at once
-            kept = anti_join(stored, rows, key, heavy={}).unionByName(rows)
-            spare = work_dir(spark, "replace")
-            kept.write.parquet(spare)
-            spark.read.schema(stored.schema).parquet(spare).write.mode("overwrite").parquet(path)
-            delete_path(spark, spare)
-            return {"collection": path, "object_count": count_objects(spark, path), "vector_dimensions": dim}
         if mode == "idempotent" and not stored.isEmpty():
             rows = anti_join(rows, stored, key, heavy=heavy)
-    rows.write.mode("overwrite" if mode == "overwrite" else "append").parquet(path)
+        changed |= mode == "replace"
+    if changed:
+        _change(spark, path, "put" if mode == "replace" else "add", key, rows)
+    else:
+        rows.write.mode("overwrite" if mode == "overwrite" else "append").parquet(path)
     return {"collection": path, "object_count": count_objects(spark, path), "vector_dimensions": dim}
 
 
+def delete_objects(keys: DataFrame, path: str, key: str = "reference") -> int:
+    """Delete the objects with these keys; writes the keys only. The number of its change."""
+    return _change(keys.sparkSession, path, "delete", key, keys.select(key).distinct())
+
+
+def compact_collection(spark: SparkSession, path: str) -> int:
+    """Write the folded rows once; readers begin there. Changes that come meanwhile stay changes.
+
+    Files from before are left for readers that still use them; `drop_folded` removes them.
+    """
+    found = atomic.numbers(spark, _log(path))
+    if not found:
+        return 0
+    folder = f"{path}/_changes/{uuid.uuid4().hex}"
+    read_collection(spark, path, found[-1]).write.parquet(folder)
+    return _enter(spark, path, {"kind": "base", "folder": folder, "covers": found[-1]})
+
+
+def drop_folded(spark: SparkSession, path: str) -> int:
+    """Remove the folders of changes that a compacted base covers; how many."""
+    entries, base = _since_base(spark, path)
+    kept = {entry["folder"] for entry in [*entries, *([base] if base else [])]}
+    old = {e["folder"] for e in atomic.read_entries(spark, _log(path), atomic.numbers(spark, _log(path)))} - kept
+    return sum(delete_path(spark, folder) for folder in old)
+
+
+def _log(path: str) -> str:
+    return f"{path}/_changes/log"
+
+
+def _change(spark: SparkSession, path: str, kind: str, key: str, rows: DataFrame) -> int:
+    folder = f"{path}/_changes/{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return _enter(spark, path, {"kind": kind, "folder": folder, "key": key})
+
+
+def _enter(spark: SparkSession, path: str, entry: dict) -> int:
+    while True:
+        found = atomic.numbers(spark, _log(path))
+        number = found[-1] + 1 if found else 1
+        if atomic.append_entry(spark, _log(path), entry, number):
+            return number
+
+
+def _since_base(spark: SparkSession, path: str, upto: int | None = None) -> tuple[list[dict], dict | None]:
+    """Changes that are not folded yet, and the newest compacted base."""
+    found = [n for n in atomic.numbers(spark, _log(path)) if upto is None or n <= upto]
+    entries = atomic.read_entries(spark, _log(path), found)
+    bases = [entry for entry in entries if entry["kind"] == "base"]
+    base = max(bases, key=lambda entry: entry["covers"]) if bases else None
+    covered = base["covers"] if base else 0
+    return [e for e in entries if e["kind"] != "base" and e["seq"] > covered], base
+
+
 def one_per_key(rows: DataFrame, key: str) -> DataFrame:
     """One row per key: of several the one with the largest digest. Rows move only if there are some."""
     if duplicate_keys(rows, key).isEmpty():
@@ -162,12 +224,33 @@ def load_pair(objects: DataFrame, vectors: DataFrame, path: str, key: str = "ref
     return load_collection(paired, path, key, **options)
 
 
-def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_collection(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The objects as of now, or as of change number `upto`.
+
+    Of a key that changes touch, rows count from its last change on. Only rows of
+    changes are grouped; the stored rows meet the touched keys in one join, broadcast if
+    Spark finds the keys small enough.
+    """
+    changes, base = _since_base(spark, path, upto)
+    stored = spark.read.parquet(base["folder"] if base else path)
+    if not changes:
+        return stored
+    tables = [(e, spark.read.parquet(e["folder"])) for e in changes]
+    added = [df.select(*stored.columns, F.lit(e["seq"]).alias("_seq")) for e, df in tables if e["kind"] != "delete"]
+    rows = reduce(DataFrame.union, added, stored.withColumn("_seq", F.lit(0)))
+    key = changes[0]["key"]
+    if any(e["key"] != key for e in changes):
+        raise ValueError(f"{path}: changes by several keys; compact between them")
+    touching = [df.select(F.col(key).alias("_key"), F.lit(e["seq"]).alias("_last")) for e, df in tables if e["kind"] != "add"]
+    if not touching:
+        return rows.drop("_seq")
+    touched = reduce(DataFrame.union, touching).groupBy("_key").agg(F.max("_last").alias("_last"))
+    joined = rows.join(touched, rows[key].eqNullSafe(touched["_key"]), "left")
+    return joined.filter("_last IS NULL OR _seq >= _last").select(*stored.columns)
 
 
 def count_objects(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(path).count() if path_exists(spark, path) else 0
+    return read_collection(spark, path).count() if path_exists(spark, path) else 0
 
 
 def delete_collection(spark: SparkSession, path: str) -> bool:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemill.llm import tokens
+from tidemill.llm import bytelevel, tokens
 from tidemill.llm.queries import QUERIES, token_settings
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,7 +43,7 @@ def test_odd_rows_round_trip(spark, odd, empty, folder):
     assert tokens.read_tokens(spark, folder + "-empty").count() == 0
 
 
-TEXTS = st.text(st.sampled_from(" \n\tab.,'é漢1<|>\x1c　") | st.characters(codec="utf-8"), max_size=40)
+TEXTS = st.text(st.sampled_from(" \n\tabst.,'é漢1<|>\x1c　") | st.characters(codec="utf-8"), max_size=40)
 
 
 @settings(max_examples=60, deadline=None)
@@ -51,9 +51,9 @@ TEXTS = st.text(st.sampled_from(" \n\tab.,'é漢1<|>\x1c　") | st.characters(co
 def test_pieces_equal_whole_texts(texts):
     import pyarrow as pa
 
-    pieces = tokens._pieces(PATH, 1000)
-    ids, counts = pieces.batch(pa.array(texts, pa.string()))
-    want = [pieces.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = bytelevel.encode_texts(pa.array(texts, pa.string()), PATH, True, 1000)
+    assert bytelevel.byte_level(PATH, True).splits
+    want = [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tidemill.llm.units import Remembered, between_words, counted, flat, strings
 
@@ -18,6 +20,23 @@ def _spelled_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _class_cuts() -> np.ndarray:
+    """Pairs of ASCII bytes between which the splitter always ends a piece: letters, digits and
+    marks are pieces of their own; what follows an apostrophe may belong to it."""
+    kind = np.zeros(256, np.int64)
+    for b in range(0x21, 0x7F):
+        kind[b] = 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3
+    left, right = kind[:, None], kind[None, :]
+    cuts = (left > 0) & (right > 0) & (left != right)
+    cuts[ord("'")] = False
+    return cuts.reshape(-1)
+
+
+CUTS = _class_cuts()
+BARE = re.compile(r"[A-Za-z0-9]+").fullmatch
+NEWLINE = 0x0A
+
+
 class ByteLevel:
     """A tokenizer that splits before a single blank between two characters that are no white space.
 
@@ -42,8 +61,25 @@ class ByteLevel:
             parts[index] = token.encode() if token in added or not byte_level else bytes(map(spelled.__getitem__, token))
         self.bytes = pa.array(parts, pa.binary())
         self.lengths = np.array([len(x) for x in parts], np.int64)
-        whole, apart = self._each(["a b c.d"])[0], self._each(["a", " b", " c.d"])
+        whole, apart = self._each([" ab 'ce's c.d\ne12f"])[0], self._each([" ab", " '", "ce", "'s", " c", ".", "d", "\n", "e", "12", "f"])
         self.splits = byte_level and whole.tolist() == np.concatenate(apart).tolist()
+        self.special = special
+
+    def starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Begins of units: where a piece of the splitter begins whatever stands around it."""
+        start = np.zeros(len(data), bool)
+        start[between_words(data, bounds)] = True
+        if self.special and b"<|" in data.tobytes():
+            return np.flatnonzero(start)
+        start[1:] |= CUTS[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        # a line end alone between two printable characters is a piece
+        at = np.flatnonzero(data[1:-1] == NEWLINE) + 1 if len(data) > 2 else np.zeros(0, np.int64)
+        left, right = data[at - 1], data[np.minimum(at + 1, len(data) - 1)]
+        ends = np.zeros(len(data) + 1, bool)
+        ends[bounds] = True
+        at = at[(left > 0x20) & (left < 0x7F) & (right > 0x20) & (right < 0x7F) & ~ends[at] & ~ends[at + 1]]
+        start[at], start[at + 1] = True, True
+        return np.flatnonzero(start)
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -57,28 +93,37 @@ class ByteLevel:
         """The ids of all units, and how many each has.
 
         Units that begin with a blank and neither touch nor end in white space are encoded many
-        to a string, which is cut by bytes; the others alone.
+        to a string, those of ASCII letters and digits with line ends between them; the strings
+        are cut by bytes. The others are encoded alone.
         """
-        together = [u[0] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() and "<|" not in u for u in units]
-        joined = [u for u, ok in zip(units, together) if ok]
-        groups = [joined[at : at + self.TOGETHER] for at in range(0, len(joined), self.TOGETHER)]
-        ids, _ = self.whole(["".join(g) for g in groups])
+        bare = np.fromiter(map(BARE, units), object, len(units)) != None  # noqa: E711
+        led = np.fromiter((not b and u[0] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() and "<|" not in u for u, b in zip(units, bare)), bool, len(units))
+        sizes, parts = np.zeros(len(units), np.int64), []
+        for group, between in ((led, ""), (bare, "\n"), (~led & ~bare, None)):
+            own = [units[i] for i in np.flatnonzero(group).tolist()]
+            ids, n = self.whole(own) if between is None else self._together(own, between)
+            sizes[group] = n
+            parts.append((group, ids))
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        for group, ids in parts:
+            out[np.repeat(group, sizes)] = ids
+        return out, sizes
+
+    def _together(self, units: list[str], between: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units whose pieces do not change when they stand one after another."""
+        groups = [units[at : at + self.TOGETHER] for at in range(0, len(units), self.TOGETHER)]
+        ids, _ = self.whole(["".join(u + between for u in g) for g in groups])
         ends = np.cumsum(self.lengths[ids])
-        wanted = np.cumsum(np.fromiter((len(u.encode()) for u in joined), np.int64, len(joined)))
-        cuts = np.searchsorted(ends, wanted)
-        if len(wanted) and not (cuts[-1] < len(ends) and np.array_equal(ends[cuts], wanted)):
+        wanted = np.cumsum(pc.binary_length(pa.array(units, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64) + len(between))
+        last = np.searchsorted(ends, wanted)  # the token that ends each unit and what follows it
+        if len(wanted) and not (last[-1] < len(ends) and np.array_equal(ends[last], wanted)):
             return self.whole(units)
-        sizes = np.diff(np.append(-1, cuts))
-        alone = [u for u, ok in zip(units, together) if not ok]
-        if not alone:
-            return ids, sizes
-        rest, rest_sizes = self.whole(alone)
-        flags = np.array(together)
-        all_sizes = np.zeros(len(units), np.int64)
-        all_sizes[flags], all_sizes[~flags] = sizes, rest_sizes
-        out, here = np.zeros(len(ids) + len(rest), np.uint32), np.repeat(flags, all_sizes)
-        out[here], out[~here] = ids, rest
-        return out, all_sizes
+        sizes = np.diff(np.append(-1, last))
+        if between and len(units):
+            if not (self.lengths[ids[last]] == len(between)).all():
+                return self.whole(units)
+            ids, sizes = np.delete(ids, last), sizes - 1
+        return ids, sizes
 
 
 @lru_cache(maxsize=4)
@@ -97,6 +142,6 @@ def encode_texts(texts: pa.Array, path: str, special: bool, remembered: int) ->
     if not tokenizer.splits:
         return tokenizer.whole(texts.to_pylist())
     data, bounds = flat(texts)
-    starts = between_words(data, bounds)
+    starts = tokenizer.starts(data, bounds)
     ids, sizes = _units(path, special, remembered).ids(strings(data, np.append(starts, len(data))))
     return ids, counted(sizes, starts, bounds)

@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401 - `slices` uses it on executors that import
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.session import work_dir
+from tidemill.session import delete_path, work_dir
 
 #: a word is a run of anything but ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +23,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to the cluster's shared folder and read back: cuts the lineage for good."""
     path = work_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_path = path
+    return written
+
+
+def release(*written: DataFrame | None) -> None:
+    """Delete materialized tables whose readers' results are written themselves."""
+    for df in written:
+        if df is not None and hasattr(df, "written_path"):
+            delete_path(df.sparkSession, df.written_path)
 
 
 def numbered(df: DataFrame, label: str) -> DataFrame:
@@ -86,6 +95,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         )
         after = materialize(small.filter("a <> b").distinct(), label)
         before, digest = digest, _digest(after)
+        release(edges)
         if digest == before:
             return after.select(F.col("a").alias("node"), F.col("b").alias("component"))
         edges = after

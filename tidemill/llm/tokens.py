@@ -15,29 +15,25 @@ back as no rows. A single document may be of any size that memory holds.
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, slices
+from tidemill.llm.bytelevel import encode_texts
+from tidemill.llm.common import materialize, release, slices
+from tidemill.llm.units import strings
 
 MAGIC = b"TIDETOK1"
 BLOCK = b"BLCK"
 SEPARATOR = "ENDB"  # ends the header and every block
 NULL_ID = -(1 << 63)
-#: begins and ends with a printable ASCII character, a letter or a digit
-PLAIN = r"(?s)^[!-~\p{L}\p{N}](.*[!-~\p{L}\p{N}])?$"
 
 
 @dataclass(frozen=True)
@@ -47,160 +43,61 @@ class TokenSettings:
     limit: int = 18  # longest code word in bits; more if the ids in use need it
     interval: int = 128  # tokens between two checkpoints
     block_tokens: int = 1 << 20
-    batch_bytes: int = 8 << 20
-    remembered: int = 600_000  # pieces whose ids a worker keeps
-
-
-class Pieces:
-    """Ids of texts, with each distinct blank-led piece of a batch encoded once.
-
-    The tokenizer splits before a single blank between two other characters, so a text is
-    the concatenation of such pieces. Where a piece begins or ends with anything but a
-    printable ASCII character or a letter or digit, the whole text is encoded instead. The
-    ids of pieces lie one after another in one array that is emptied when it has grown to
-    `remembered` pieces.
-    """
-
-    TOGETHER = 400  # pieces that go to the tokenizer as one string
-
-    def __init__(self, path: str, remembered: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        vocabulary = self.tokenizer.get_vocab()
-        self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        for token, index in vocabulary.items():
-            self.leads[index] = token.startswith("Ġ")
-        # pieces can be used only with a byte-level tokenizer that splits at blanks
-        whole, apart = self.encode(["a b c.d", "a", " b", " c.d"])[0], self.encode(["a", " b", " c.d"])
-        self.splits = bool(self.leads.any()) and whole.tolist() == np.concatenate(apart).tolist()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = (np.zeros(0, k) for k in (np.uint32, np.int64, np.int64))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32) for x in found]
-
-    def _store(self, parts: list[np.ndarray]) -> range:
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        begin = len(self.sizes)
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate([self.flat, *parts])
-        return range(begin, begin + len(parts))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of blank-led pieces, many to a string, cut where a token begins with a blank."""
-        groups = [pieces[at : at + self.TOGETHER] for at in range(0, len(pieces), self.TOGETHER)]
-        found = self.encode([" " + " ".join(g) for g in groups])
-        ids = np.concatenate([*found, np.zeros(0, np.uint32)])
-        cuts, ends = np.flatnonzero(self.leads[ids]), np.cumsum([len(x) for x in found])
-        if np.array_equal(np.searchsorted(cuts, ends), np.cumsum([len(g) for g in groups])):
-            begin = len(self.sizes)
-            self.starts = np.concatenate((self.starts, len(self.flat) + cuts))
-            self.sizes = np.concatenate((self.sizes, np.diff(cuts, append=len(ids))))
-            self.flat = np.concatenate((self.flat, ids))
-            self.known.update(zip(pieces, range(begin, begin + len(pieces))))
-        else:
-            self.known.update(zip(pieces, self._store(self.encode([" " + p for p in pieces]))))
-
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
-        texts = texts.fill_null("")
-        if not self.splits or not len(texts):
-            each = self.encode(texts.to_pylist())
-            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(x) for x in each], np.int64)
-        if len(self.known) > self.remembered:
-            self._forget()
-        lists = pc.split_pattern(texts, " ")
-        coded = pc.dictionary_encode(lists.flatten())
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        offsets = lists.offsets.to_numpy()
-        bounds = offsets - offsets[0]
-        plain = pc.match_substring_regex(coded.dictionary, PLAIN).to_numpy(zero_copy_only=False)
-        plain &= ~pc.match_substring(coded.dictionary, "<|").to_numpy(zero_copy_only=False)
-        clean = np.logical_and.reduceat(plain[codes], bounds[:-1])
-        used = np.zeros(len(plain), bool)
-        used[codes[np.repeat(clean, np.diff(bounds))]] = True
-        pieces = coded.dictionary.filter(pa.array(used)).to_pylist()
-        self._learn([p for p in pieces if p not in self.known])
-        at = np.full(len(plain), -1)
-        at[used] = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        at = at[codes]
-        # the first piece has no blank before it; texts of other pieces are one entry
-        firsts = coded.dictionary.take(pa.array(codes[bounds[:-1]]))
-        begins = pc.if_else(pa.array(clean), firsts, texts).to_pylist()
-        kept = len(self.flat), len(self.sizes)
-        at[bounds[:-1]] = np.array(self._store(self.encode(begins)))
-        entries = np.repeat(clean, np.diff(bounds))
-        entries[bounds[:-1]] = True
-        at = at[entries]
-        n = self.sizes[at]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1])]
-        each = np.add.reduceat(n, np.flatnonzero(self._firsts(entries, bounds)))
-        self.flat, self.starts, self.sizes = self.flat[: kept[0]], self.starts[: kept[1]], self.sizes[: kept[1]]
-        return ids, each
-
-    @staticmethod
-    def _firsts(entries: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Of the entries that are kept: which begin a text."""
-        first = np.zeros(len(entries), bool)
-        first[bounds[:-1]] = True
-        return first[entries]
-
-
-@lru_cache(maxsize=2)
-def _pieces(path: str, remembered: int) -> Pieces:
-    return Pieces(path, remembered)
+    batch_bytes: int = 4 << 20
+    remembered: int = 800_000  # units whose ids a worker keeps
 
 
 def tokenize(docs: DataFrame, key: str, text: str, settings: TokenSettings) -> DataFrame:
-    """doc_id, n_tokens and the compressed ids (end id included) of every row."""
+    """doc_id, n_tokens and the ids (end id included) of every row; the counts of a batch's ids stand in its first row."""
     s = settings
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, pack = _pieces(s.tokenizer, s.remembered), zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", s.batch_bytes):
-            ids, counts = pieces.batch(batch.column("text"))
-            ends, packed = np.cumsum(counts), []
-            for a, b in zip((ends - counts).tolist(), ends.tolist()):
-                own = np.append(ids[a:b], np.uint32(s.end_id))
-                packed.append(pack.compress(own.astype("<u2").tobytes() if own.max() < 1 << 16 else b"L" + own.astype("<u4").tobytes()))
+            ids, counts = encode_texts(batch.column("text"), s.tokenizer, True, s.remembered)
+            ends = np.cumsum(counts)
+            ids, counts = np.insert(ids, ends, s.end_id), counts + 1
+            bounds = np.append(0, np.cumsum(counts))
+            raw = _packed(ids, bounds)
+            seen = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+            used = np.flatnonzero(seen)
+            tally = [np.column_stack((used, seen[used])).astype("<i8").tobytes()] + [None] * (batch.num_rows - 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts + 1), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"]
+                [batch.column("doc_id"), pa.array(counts), raw, pa.array(tally[: batch.num_rows], pa.binary())], names=["doc_id", "n_tokens", "ids", "tally"]
             )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary, tally binary")
+
+
+def _packed(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Two bytes an id; texts with larger ids have four and an odd byte before them."""
+    large = ids >= 1 << 16
+    if not large.any():
+        return strings(ids.astype("<u2").view(np.uint8), 2 * bounds, pa.binary())
+    pairs = zip(bounds[:-1].tolist(), bounds[1:].tolist())
+    return pa.array([b"L" + ids[a:b].astype("<u4").tobytes() if large[a:b].any() else ids[a:b].astype("<u2").tobytes() for a, b in pairs], pa.binary())
 
 
-def _unpack(data: bytes, reader: zstandard.ZstdDecompressor) -> np.ndarray:
-    raw = reader.decompress(data)
+def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4", offset=1) if len(raw) % 2 else np.frombuffer(raw, "<u2")
 
 
 def count_ids(tokens: DataFrame) -> list[tuple[int, int]]:
-    """(id, occurrences) over all rows; as many rows as the vocabulary has ids."""
+    """(id, occurrences) over all rows; as many rows as the vocabulary has ids. Reads the tallies only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, reader = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                own = np.bincount(_unpack(value.as_py(), reader))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
+            for value in batch.column("tally"):
+                pairs = np.frombuffer(value.as_py(), "<i8").reshape(-1, 2)
+                if len(pairs):
+                    total = np.pad(total, (0, max(0, int(pairs[-1, 0]) + 1 - len(total))))
+                    total[pairs[:, 0]] += pairs[:, 1]
         index = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(total[index])], names=["id", "n"])
 
-    totals = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    tallies = tokens.filter("tally is not null").select("tally")
+    totals = tallies.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return sorted((r["id"], r["n"]) for r in totals.collect())
 
 
@@ -339,7 +236,7 @@ def write_tokens(docs: DataFrame, key: str, text: str, path: str, settings: Toke
     shared = spark.sparkContext.broadcast(code)  # two numbers for each id of the vocabulary
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, reader = shared.value, zstandard.ZstdDecompressor()
+        code = shared.value
         words, lookup = code.words(), np.zeros(int(code.ids.max(initial=0)) + 1, np.int64)
         lookup[code.ids] = np.arange(len(code.ids))
         doc_ids, own, size, started = [], [], 0, False
@@ -352,7 +249,7 @@ def write_tokens(docs: DataFrame, key: str, text: str, path: str, settings: Toke
         for batch in batches:
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 doc_ids.append(NULL_ID if doc_id is None else doc_id)
-                own.append(_unpack(value.as_py(), reader))
+                own.append(_unpack(value.as_py()))
                 size += len(own[-1])
                 if size >= s.block_tokens:
                     yield flush()
@@ -360,9 +257,11 @@ def write_tokens(docs: DataFrame, key: str, text: str, path: str, settings: Toke
         if doc_ids:
             yield flush()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
+    ordered = tokens.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
     parts = ordered.mapInArrow(blocks, "part binary")
     parts.select(F.col("part").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    shared.destroy()
+    release(tokens)
 
 
 def file_parts(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

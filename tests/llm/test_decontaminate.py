@@ -65,7 +65,7 @@ def test_shuffled_joins_agree(spark, sf, documents):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     rows = [
         sorted(map(tuple, decontaminate.find_leaks(documents, "doc_id", "text", bench, "item_id", "text", s).collect()))
-        for s in (decontaminate.LeakSettings(), decontaminate.LeakSettings(listed=0))
+        for s in (decontaminate.LeakSettings(), decontaminate.LeakSettings(sent_bytes=0))
     ]
     assert rows[0] == rows[1] and rows[0]
 

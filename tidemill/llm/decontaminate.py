@@ -43,7 +43,7 @@ class LeakSettings:
     shingle: int = 5
     similarity: float = 0.8
     errors: int = 3  # per block; finds all fingerprints within BLOCKS * (errors + 1) - 1 bits
-    listed: int = 1_000_000  # rows of a side table that may be broadcast
+    sent_bytes: int = 16 << 20  # of a side table that may be broadcast
     short_documents: bool = False  # compare a document that is shorter than an item as a whole
 
     @property
@@ -72,8 +72,8 @@ def fingerprint(shingles: str) -> Column:
 
 
 def _size_checked(df: DataFrame, most: int) -> DataFrame:
-    """Marked for broadcast if it has at most `most` rows; else left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= most else df
+    """Marked for broadcast if its numbers, hashed, take at most `most` bytes; else left to a shuffle join."""
+    return F.broadcast(df) if df.count() * (8 * len(df.columns) + 40) <= most else df
 
 
 def _items(benchmark: DataFrame, key: str, text: str, s: LeakSettings) -> tuple[DataFrame, DataFrame]:
@@ -120,10 +120,10 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_
     # only pairs of numbers leave the explosion: benchmark shingles are looked up on the spot
     # (their number is a column before that: else each of the rows would carry the array)
     each = rows.withColumn("all", F.size("hashes")).select("row", "all", F.posexplode_outer("hashes").alias("at", "h"))
-    hits = each.join(_size_checked(sizes, s.listed), "h").select("row", "all", "at", "n", "w", "df")
+    hits = each.join(_size_checked(sizes, s.sent_bytes), "h").select("row", "all", "at", "n", "w", "df")
     starts = materialize(_starts(materialize(hits, "leak-hits"), items, s), "leak-windows")
-    found = _size_checked(starts.select("row").distinct(), s.listed)
-    weights = _size_checked(sizes.select("h", "w").distinct(), s.listed)
+    found = _size_checked(starts.select("row").distinct(), s.sent_bytes)
+    weights = _size_checked(sizes.select("h", "w").distinct(), s.sent_bytes)
     alone = items.select("item").distinct().agg(F.log1p(F.count("*").cast("double")).alias("alone"))
     near = rows.join(found, "row", "left_semi").select("doc_id", "row", F.posexplode_outer("hashes").alias("at", "h"))
     near = near.join(weights, "h", "left").crossJoin(F.broadcast(alone))
@@ -133,7 +133,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_
     windows = materialize(windows.withColumn("print", fingerprint("s")), "leak-prints")
     slots = F.array(*(_slot(F.col("n"), F.lit(b), _block(F.col("print"), b)) for b in range(BLOCKS)))
     probes = windows.select("row", "at", "n", "print", F.explode(slots).alias("slot"))
-    index = _size_checked(materialize(_index(items, s), "leak-index"), s.listed)
+    index = _size_checked(materialize(_index(items, s), "leak-index"), s.sent_bytes)
     close = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= s.radius
     candidates = probes.join(index, "slot").filter(close).select("row", "at", "n", "item").distinct()
     return _verified(candidates, windows, items, s)
@@ -153,7 +153,7 @@ def _starts(hits: DataFrame, items: DataFrame, s: LeakSettings) -> DataFrame:
     starts = both.select("row", "n", F.least(F.col("at"), F.col("all") - F.col("n")).alias("at"))
     if s.short_documents:
         whole = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"])
-        least = _size_checked(items.groupBy("n").agg(F.min(whole).alias("least")), s.listed)
+        least = _size_checked(items.groupBy("n").agg(F.min(whole).alias("least")), s.sent_bytes)
         short = hits.filter(F.col("n") > F.col("all")).groupBy("row", "n").agg(F.sum("w").alias("most")).join(least, "n")
         short = short.filter(F.col("most") >= (s.similarity - 1e-6) * F.col("least"))
         starts = starts.unionByName(short.select("row", "n", F.lit(0).alias("at")))

@@ -14,6 +14,7 @@ read, so further columns of any name pass by. An empty table gives an empty resu
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -121,11 +122,11 @@ def _document_frequencies(texts: DataFrame, settings: LanguageSettings) -> tuple
     return int(frequency[-1]), frequency[:-1]
 
 
-def _sample(rows: DataFrame, settings: LanguageSettings) -> list:
-    """(label, bins, counts) of at most sample_rows documents, as many of each label as can be."""
+def _sample(rows: DataFrame, settings: LanguageSettings) -> tuple[tuple[str, ...], DataFrame | None]:
+    """All labels, and (label, bins, counts) of at most sample_rows documents, as many of each label as can be."""
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return []
+        return (), None
     quota = max(1, settings.sample_rows // len(sizes))
     shares = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(4.0 * quota / n))])
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -149,19 +150,42 @@ def _sample(rows: DataFrame, settings: LanguageSettings) -> list:
                 names=["label", "bins", "counts"],
             )
 
-    found = few.select("label", "text", "draw").mapInArrow(features, "label string, bins binary, counts binary")
-    return sorted((r["label"], bytes(r["bins"]), bytes(r["counts"])) for r in found.collect())
+    return tuple(sorted(sizes)), few.select("label", "text", "draw").mapInArrow(features, "label string, bins binary, counts binary")
 
 
 def fit(docs: DataFrame, text: str, label: str, key: str, settings: LanguageSettings | None = None) -> LanguageModel:
-    """Learn from every row of `docs` that has a label; `key` only orders the sample."""
+    """Learn from every row of `docs` that has a label; `key` only orders the sample.
+
+    The sample, of bounded size, meets in one task; the driver gets the weights only.
+    """
     settings = settings or LanguageSettings()
     rows = docs.select(
         F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.col(key).cast("string").alias("key")
     ).filter("label is not null and text is not null")
     n, frequency = _document_frequencies(rows.select("text"), settings)
     idf = np.log((1.0 + n) / (1.0 + frequency)) + 1.0
-    sample = _sample(rows, settings)
+    labels, sample = _sample(rows, settings)
+    if sample is None:
+        return LanguageModel(settings, (), idf, np.zeros((settings.bins, 0), np.float32), np.zeros(0), 1.0)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("label", "bins", "counts"))))
+        weights, bias, temperature = _learn(found, idf, settings)
+        known = json.dumps(sorted({r[0] for r in found}))
+        yield pa.RecordBatch.from_pydict(
+            {"labels": [known], "weights": [weights.astype("<f4").tobytes()], "bias": [bias.astype("<f8").tobytes()], "temperature": [temperature]}
+        )
+
+    row = sample.repartition(1).mapInArrow(train, "labels string, weights binary, bias binary, temperature double").first()
+    labels = tuple(json.loads(row["labels"])) if row else ()
+    if not labels:
+        return LanguageModel(settings, (), idf, np.zeros((settings.bins, 0), np.float32), np.zeros(0), 1.0)
+    weights = np.frombuffer(row["weights"], "<f4").reshape(settings.bins, len(labels))
+    return LanguageModel(settings, labels, idf, weights, np.frombuffer(row["bias"], "<f8"), row["temperature"])
+
+
+def _learn(sample: list, idf: np.ndarray, settings: LanguageSettings) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, bias and temperature from (label, bins, counts) in a fixed order."""
     labels = tuple(sorted({r[0] for r in sample}))
     vectors = []
     for name, index, counts in sample:
@@ -171,7 +195,7 @@ def fit(docs: DataFrame, text: str, label: str, key: str, settings: LanguageSett
     order = np.random.default_rng(7).permutation(len(vectors))
     aside = [vectors[i] for i in order[: len(order) // 5]]
     weights, bias = _follow_the_leader([vectors[i] for i in order[len(order) // 5 :]], len(labels), settings)
-    return LanguageModel(settings, labels, idf, weights.astype(np.float32), bias, _temperature(aside, weights, bias))
+    return weights, bias, _temperature(aside, weights, bias)
 
 
 def _follow_the_leader(rows: list, k: int, s: LanguageSettings) -> tuple[np.ndarray, np.ndarray]:

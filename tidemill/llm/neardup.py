@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, materialize
+from tidemill.llm.common import components, materialize, release
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,8 +58,8 @@ class NearSettings:
     fine: int = 2048  # bits of the long signature
     fine_distance: int = 280  # of them that may differ; 0.8 differs in 205 +- 14, 0.7 in 307 +- 16
     pivots: int = 2  # rounds of comparing with one member
-    listed: int = 1_000_000  # ids that may be broadcast; more go through a shuffle
-    held: int = 24 << 20  # bytes of sets that may be broadcast; more go through a shuffle
+    listed: int = 250_000  # ids that may be broadcast; more go through a shuffle
+    held: int = 16 << 20  # bytes of sets that may be broadcast; more go through a shuffle
     seed: int = 5
 
     @property
@@ -210,14 +210,14 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """Of the pairs (a, b): those whose sets are similar enough."""
+    """Of the pairs (a, b): those whose sets are similar enough; written."""
     s = settings
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = materialize(_sets(docs, ids, s), "sets")
     size = sets.agg(F.sum(F.octet_length("codes") + 8)).first()[0] or 0
     if size <= s.held:
         rows = sets.toArrow()
-        found: dict[int, list[bytes]] = {}
+        found: dict[int, list[bytes]] = {}  # at most `held` bytes
         for doc_id, codes in zip(rows.column("doc_id").to_pylist(), rows.column("codes").to_pylist()):
             found.setdefault(doc_id, []).append(codes)
         shared = docs.sparkSession.sparkContext.broadcast(found)
@@ -231,7 +231,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> Dat
                 ]
                 yield batch.filter(pa.array(flags, pa.bool_()))
 
-        return pairs.select("a", "b").mapInArrow(look_up, "a long, b long")
+        del rows, found
+        links = materialize(pairs.select("a", "b").mapInArrow(look_up, "a long, b long"), "links")
+        shared.destroy()
+        release(sets)
+        return links
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +248,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> Dat
     left = sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("y"))
     right = sets.select(F.col("doc_id").alias("a"), F.col("codes").alias("x"))
     # the pivots' side repeats: adaptive execution splits a pivot that many rows point at
-    return pairs.join(left, "b").join(right, "a").mapInArrow(compare, "a long, b long")
+    links = materialize(pairs.join(left, "b").join(right, "a").mapInArrow(compare, "a long, b long"), "links")
+    release(sets)
+    return links
 
 
 def _representatives(signed: DataFrame) -> DataFrame:
@@ -289,20 +295,22 @@ def _first_shared(settings: NearSettings):
 
 
 def _cross_pairs(keyed: DataFrame, unique: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """(a, b): members of one key's group in different components, filtered before they are emitted."""
+    """(a, b): members of one key's group in different components, filtered before they are emitted; written."""
     groups = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rows = materialize(keyed.join(groups.select("key"), "key"), "apart")
-    ids = materialize(rows.select("doc_id").distinct(), "apart-ids")
-    fine = materialize(_fine(docs, ids, settings), "fine")
-    fine = unique.select("doc_id", "d0", "signature").join(fine, ["doc_id", "d0"])
-    rows = rows.join(fine, ["doc_id", "d0"])
+    apart_rows = materialize(keyed.join(groups.select("key"), "key"), "apart")
+    ids = materialize(apart_rows.select("doc_id").distinct(), "apart-ids")
+    fine_rows = materialize(_fine(docs, ids, settings), "fine")
+    fine = unique.select("doc_id", "d0", "signature").join(fine_rows, ["doc_id", "d0"])
+    rows = apart_rows.join(fine, ["doc_id", "d0"])
     a, b = rows.alias("a"), rows.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
     words = range(settings.fine // 64)
     distance = sum(F.bit_count(F.col("a.fine")[i].bitwiseXOR(F.col("b.fine")[i])) for i in words)
     near = _close(settings, "a.", "b.") & (distance <= settings.fine_distance) & _first_shared(settings)
-    pairs = a.join(b, apart & near)
-    return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+    pairs = a.join(b, apart & near).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+    release(fine_rows, ids, apart_rows)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, settings: NearSettings | None = None) -> DataFrame:
@@ -310,21 +318,24 @@ def near_duplicates(docs: DataFrame, key: str, text: str, settings: NearSettings
     s, rows = settings or NearSettings(), _documents(docs, key, text)
     signed = materialize(signatures(rows, "doc_id", "text", s), "signatures")
     unique = materialize(_representatives(signed), "representatives")
-    keyed = index_keys(unique, s)
+    # dealt by key once, for the count of a key and for keeping its rows
+    keyed = index_keys(unique, s).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     keyed = keyed.join(shared.select("key"), "key").join(unique.select("doc_id", "n", "d0", *SKETCHES), "doc_id")
     keyed = materialize(keyed.withColumn("component", F.col("doc_id")), "index")
     named = None  # (node, component) of what is linked so far
     for turn in range(s.pivots + 1):
-        pairs = materialize(_pivot_pairs(keyed, s, turn) if turn < s.pivots else _cross_pairs(keyed, unique, rows, s), "pairs")
+        pairs = materialize(_pivot_pairs(keyed, s, turn), "pairs") if turn < s.pivots else _cross_pairs(keyed, unique, rows, s)
         if pairs.isEmpty():
             continue
-        found = materialize(_confirmed(pairs, rows, s), "links")
+        found = _confirmed(pairs, rows, s)
+        release(pairs)
         if found.isEmpty():
             continue
         # links become edges between the components so far
         edges = found if named is None else _renamed(_renamed(found, "a", named), "b", named)
         fresh = components(edges, "components")
+        release(found)
         if named is None:
             named = fresh
         else:

@@ -135,9 +135,9 @@ def signatures(docs: DataFrame, key: str, text: str, settings: NearSettings) ->
                 sizes.append(len(codes))
                 for digest, salt in zip(digests, (PRIME, np.uint64(0xD6E8FEB86659FD93))):
                     digest.append(_digest(codes, salt))
-                values.append((least[: s.values] & mask).astype(np.int32))
+                values.append((least[: s.values] & mask).astype(np.uint16).view(np.int16))
                 sketches.append(np.packbits((least[s.values :] & np.uint64(1)).astype(np.uint8)))
-            flat = np.concatenate([*values, np.zeros(0, np.int32)])
+            flat = np.concatenate([*values, np.zeros(0, np.int16)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * s.values), pa.array(flat))
             sketch = np.concatenate([*sketches, np.zeros(0, np.uint8)]).view("<i8").reshape(-1, len(SKETCHES))
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +147,7 @@ def signatures(docs: DataFrame, key: str, text: str, settings: NearSettings) ->
             )
 
     rows = _documents(docs, key, text)
-    return rows.mapInArrow(measure, "doc_id long, n long, d0 long, d1 long, signature array<int>, k0 long, k1 long, k2 long")
+    return rows.mapInArrow(measure, "doc_id long, n long, d0 long, d1 long, signature array<smallint>, k0 long, k1 long, k2 long")
 
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -260,11 +260,16 @@ def _representatives(signed: DataFrame) -> DataFrame:
     )
 
 
+def _apart(keyed: DataFrame) -> DataFrame:
+    """The rows of keys that are found in more than one component."""
+    groups = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    return keyed.join(groups.select("key"), "key")
+
+
 def _pivot_pairs(keyed: DataFrame, settings: NearSettings, turn: int) -> DataFrame:
     """(a, b): each member of a key's group against the group's pivot, where components differ."""
     rank = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("r"), "doc_id", "component", "n", *SKETCHES)
-    groups = keyed.groupBy("key").agg(F.min(rank).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    groups = groups.filter("lo <> hi").select("key", "p")
+    groups = keyed.groupBy("key").agg(F.min(rank).alias("p"))
     near = keyed.join(groups, "key").filter("component <> p.component").filter(_close(settings, "", "p."))
     return near.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
@@ -295,13 +300,11 @@ def _first_shared(settings: NearSettings):
 
 
 def _cross_pairs(keyed: DataFrame, unique: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """(a, b): members of one key's group in different components, filtered before they are emitted; written."""
-    groups = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    apart_rows = materialize(keyed.join(groups.select("key"), "key"), "apart")
-    ids = materialize(apart_rows.select("doc_id").distinct(), "apart-ids")
+    """(a, b): members of one key's group in different components, all of `keyed` in such groups, filtered before they are emitted; written."""
+    ids = materialize(keyed.select("doc_id").distinct(), "apart-ids")
     fine_rows = materialize(_fine(docs, ids, settings), "fine")
     fine = unique.select("doc_id", "d0", "signature").join(fine_rows, ["doc_id", "d0"])
-    rows = apart_rows.join(fine, ["doc_id", "d0"])
+    rows = keyed.join(fine, ["doc_id", "d0"])
     a, b = rows.alias("a"), rows.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
     words = range(settings.fine // 64)
@@ -309,7 +312,7 @@ def _cross_pairs(keyed: DataFrame, unique: DataFrame, docs: DataFrame, settings:
     near = _close(settings, "a.", "b.") & (distance <= settings.fine_distance) & _first_shared(settings)
     pairs = a.join(b, apart & near).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
-    release(fine_rows, ids, apart_rows)
+    release(fine_rows, ids)
     return pairs
 
 
@@ -341,7 +344,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, settings: NearSettings
         else:
             moved = _renamed(named, "component", fresh)
             named = materialize(moved.union(fresh.join(named, "node", "left_anti")), "components")
-        keyed = _renamed(keyed, "component", fresh)
+        # components only grow, so keys whose rows have met are done with
+        before, keyed = keyed, materialize(_apart(_renamed(keyed, "component", fresh)), "index")
+        release(before)
     classes = unique.select("n", "d0", "d1", F.col("doc_id").alias("component_id"))
     if named is not None:
         classes = _renamed(classes, "component_id", named)

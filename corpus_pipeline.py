@@ -17,6 +17,8 @@ their own, and each goes or stays by its own text.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +28,29 @@ from tidemill.llm.queries import leak_settings, token_settings
 from tidemill.session import work_dir
 
 LEAST_SCORE = 0.5
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _own_names(stage):
+    """Further columns of the documents have reserved names inside a stage, so none can clash."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inside = [c if c in OWN else f"_further_{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*inside), sf_dir)
+        return out.toDF(*docs.columns) if out.columns == inside else out
 
+    return run_stage
 
 
+@_own_names
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, "text", "lang", "doc_id")
     told = language.predict(docs, "text", model, [F.col(c) for c in docs.columns])
     return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
+@_own_names
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs, "near-rows")
     found = neardup.near_duplicates(rows, "_row", "text").select(F.col("doc_id").alias("_row"), "component_id")
@@ -45,6 +61,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _without(rows, materialize(gone, "gone")).drop("_row")
 
 
+@_own_names
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))  # equal rows go or stay together
     leaks = decontaminate.find_leaks(rows, "_row", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", leak_settings())
@@ -52,17 +69,19 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _without(rows, gone).drop("_row")
 
 
+@_own_names
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit(docs, "doc_id", "text", "source").select(docs.columns)
 
 
+@_own_names
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "pipeline-tokens")
     tokens.write_tokens(docs, "doc_id", "text", path, token_settings())
     return tokens.read_tokens(spark, path)
 
 
-def _without(docs: DataFrame, gone: DataFrame, listed: int = 1_000_000) -> DataFrame:
+def _without(docs: DataFrame, gone: DataFrame, listed: int = 250_000) -> DataFrame:
     """Rows of `docs` whose `_row` is not in `gone`; a counted short list is broadcast."""
     gone = F.broadcast(gone) if gone.count() <= listed else gone
     return docs.join(gone, "_row", "left_anti")

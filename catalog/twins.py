@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from catalog import inputs
@@ -10,7 +12,7 @@ from catalog.joins import PRODUCT, document_product
 from catalog.registry import query, sql_with
 from tidemill.config import Layout
 from tidemill.functions import masks, vectors
-from tidemill.operators import clean, privacy, twin
+from tidemill.operators import clean, dependent, privacy, twin
 from tidemill.plans.documents import stored
 from tidemill.plans.twins import QUASI, TARGET, VALUES, twin_source
 from tidemill.session import work_dir
@@ -132,6 +134,98 @@ def g5_twin(spark, sf):
     return made(spark, sf)
 
 
+LINKED = ["monetary_stance", "trade_stance", "economic_outlook", "tariff_mention", "is_gov", "country", "author"]
+CODED_SQL = (
+    "coded AS (SELECT "
+    + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '') AS {c}" for c in LINKED)
+    + " FROM source)"
+)
+
+
+def _information(a: str, b: str) -> str:
+    weight = "(SELECT sum(n * ln(n)) FROM (SELECT count(*)::DOUBLE AS n FROM coded GROUP BY {0}))"
+    rows = "(SELECT count(*)::DOUBLE FROM coded)"
+    shared = f"ln({rows}) - ({weight.format(a)} + {weight.format(b)} - {weight.format(f'{a}, {b}')}) / {rows}"
+    return f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(greatest({shared}, 0), 6) AS information"
+
+
+@query(
+    "g5_pair_information",
+    sql_with([*SOURCE, CODED_SQL], " UNION ALL ".join(_information(a, b) for a, b in combinations(LINKED, 2))),
+)
+def g5_pair_information(spark, sf):
+    """How much every two columns of the twin's source tell about each other."""
+    found = dependent.pair_information(source(spark, sf).select(*LINKED), LINKED)
+    return found.withColumn("information", F.round("information", 6))
+
+
+#: parents set by hand, so that SQL can draw along the same tree
+TREE = [
+    ("monetary_stance", None), ("trade_stance", "monetary_stance"), ("economic_outlook", "trade_stance"),
+    ("tariff_mention", "monetary_stance"), ("is_gov", "tariff_mention"), ("country", "is_gov"), ("author", "country"),
+]
+
+
+def _tree_sql() -> list[str]:
+    steps, rows = [], "SELECT unnest(range((SELECT count(*) FROM coded))) AS position"
+    steps.append(f"step_0 AS ({rows})")
+    for i, (child, parent) in enumerate(TREE):
+        steps.append(
+            f"counts_{child} AS (SELECT {parent or repr('')} AS p, {child} AS c, count(*) AS n FROM coded GROUP BY 1, 2), "
+            f"ranges_{child} AS (SELECT p, c, n, sum(n) OVER (PARTITION BY p) AS total, sum(n) OVER "
+            f"(PARTITION BY p ORDER BY md5(c) ROWS UNBOUNDED PRECEDING) AS past FROM counts_{child}), "
+            f"step_{i + 1} AS (SELECT t.*, r.c AS {child} FROM step_{i} t JOIN ranges_{child} r ON r.p = "
+            f"{'t.' + parent if parent else repr('')} AND floor({duck_uniform('t.position', SEED, child)} * r.total) < r.past "
+            f"AND floor({duck_uniform('t.position', SEED, child)} * r.total) >= r.past - r.n)"
+        )
+    return steps
+
+
+_KINDS = {**dict.fromkeys([*NUMERIC, "tariff_mention"], "INTEGER"), "is_gov": "BOOLEAN", "country": "VARCHAR", "author": "VARCHAR"}
+
+
+_DRAWN = (
+    "SELECT printf('SYNTH-%06d', position) AS reference, "
+    + ", ".join(f"CAST(CASE WHEN {c} <> '' THEN substr({c}, 2) END AS {_KINDS[c]}) AS {c}" for c in LINKED)
+    + f", true AS is_synthetic FROM step_{len(TREE)}"
+)
+
+
+@query("g5_drawn_tree", sql_with([*SOURCE, CODED_SQL, *_tree_sql()], _DRAWN))
+def g5_drawn_tree(spark, sf):
+    return dependent.dependent_twin(stored_source(spark, sf), LINKED, KEY, SEED, TREE)
+
+
+def _pair_distance(a: str, b: str) -> str:
+    shares = f"(SELECT {a} AS x, {b} AS y, count(*)::DOUBLE / (SELECT count(*) FROM {{0}}) AS share FROM {{0}} GROUP BY 1, 2)"
+    gap = (
+        "(SELECT round(sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) / 2, 6) FROM {0} a FULL JOIN {1} b "
+        "ON a.x IS NOT DISTINCT FROM b.x AND a.y IS NOT DISTINCT FROM b.y)"
+    )
+    real, shuffled, drawn = (shares.format(t) for t in ("source", "twin", "drawn"))
+    return (
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, {gap.format(real, shuffled)} AS shuffled, "
+        f"{gap.format(real, drawn)} AS dependent"
+    )
+
+
+@query(
+    "g5_pair_distances",
+    sql_with(
+        [*TWIN_SQL, CODED_SQL, *_tree_sql(), f"drawn AS ({_DRAWN})"],
+        " UNION ALL ".join(_pair_distance(a, b) for a, b in combinations(LINKED, 2)),
+    ),
+)
+def g5_pair_distances(spark, sf):
+    """Pairs of columns: how far the shuffled and the drawn twin are from the source."""
+    rows = stored_source(spark, sf)
+    apart = dependent.pair_distances(rows, made(spark, sf, rows), LINKED)
+    drawn = dependent.dependent_twin(rows, LINKED, KEY, SEED, TREE)
+    linked = dependent.pair_distances(rows, drawn, LINKED)
+    rounded = lambda df, name: df.select("column_a", "column_b", F.round("distance", 6).alias(name))
+    return rounded(apart, "shuffled").join(rounded(linked, "dependent"), ["column_a", "column_b"])
+
+
 @query("g6_select", sql_with(SOURCE, "SELECT * FROM source"))
 def g6_select(spark, sf):
     return source(spark, sf)
@@ -220,6 +314,38 @@ def g9_marginal(spark, sf):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+CLOSEST = ["country", *NUMERIC, "tariff_mention", "is_gov"]
+_APART = " + ".join(f"CAST(t.{c} IS DISTINCT FROM s.{c} AS INTEGER)" for c in CLOSEST)
+_KEPT_OUT = f"{duck_uniform('reference', SEED, 'holdout')} < 0.05"
+
+
+def _closeness(part: str) -> str:
+    return (
+        f"SELECT '{part}' AS part, distance, count(*) AS rows FROM (SELECT t.reference, min({_APART}) AS distance "
+        f"FROM {part} t, source s GROUP BY t.reference) GROUP BY distance"
+    )
+
+
+@query(
+    "g9_closest_record",
+    sql_with(
+        [
+            *PRODUCT,
+            SOURCE_SQL.replace("source AS", "everything AS", 1),
+            f"source AS (SELECT * FROM everything WHERE NOT {_KEPT_OUT})",
+            f"holdout AS (SELECT * FROM everything WHERE {_KEPT_OUT})",
+            *TWIN_SQL[len(SOURCE) :],
+        ],
+        f"{_closeness('twin')} UNION ALL {_closeness('holdout')}",
+    ),
+)
+def g9_closest_record(spark, sf):
+    """The twin and the rows held out, both against the rows that the twin was made from."""
+    training, holdout = twin.holdout_split(stored_source(spark, sf), KEY, SEED)
+    sides = {"twin": made(spark, sf, training), "holdout": holdout}
+    return privacy.closeness(sides, training, CLOSEST)
+
+
 @query(
     "g8_report",
     sql_with(

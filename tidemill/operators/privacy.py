@@ -4,16 +4,24 @@ membership resistance   1 - share of synthetic rows whose attributes equal a rea
 inference resistance    1 - share of real rows whose target the twin gives away, that is
                         the twin's most frequent target for the row's quasi-identifiers
 quality                 1 - mean over columns of the total variation distance of values
+closest record          number of attributes in which a row differs from the nearest record
 All counts are grouped before they are joined, so frequent values cost one row each.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.dependent import decoded, encoded
+from tidemill.session import delete_path, work_dir
+
+#: two to the power of so many parts of a record are compared
+MOST_ATTRIBUTES = 12
+
 
 def _grouped(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
@@ -88,6 +96,64 @@ def marginal_distances(real: DataFrame, twin: DataFrame, columns: list[str]) ->
     return shares.groupBy("column").agg((F.sum(gap) / 2.0).alias("distance"))
 
 
+def closest_record(df: DataFrame, records: DataFrame, attributes: list[str]) -> DataFrame:
+    """The attributes of `df` once each, `rows` that have them, and `distance` to the nearest record.
+
+    Two rows that differ in d attributes agree on all the others, so it is enough to look up
+    the parts of a row: all attributes, then all but one, and so on down. Equal rows are
+    counted first, a part is looked up among the distinct parts of the records, and only rows
+    without a hit go on to smaller parts. Without records the distance is null.
+    """
+    if len(attributes) > MOST_ATTRIBUTES:
+        raise ValueError(f"at most {MOST_ATTRIBUTES} attributes, got {len(attributes)}")
+    spark, width = df.sparkSession, len(attributes)
+    values = F.array(*map(encoded, attributes)).alias("values")
+    folder = work_dir(spark, "closest")
+
+    def written(part: DataFrame, name: str) -> DataFrame:
+        part.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    todo = written(df.groupBy(values).agg(F.count(F.lit(1)).alias("rows")), "rows")
+    known = written(records.select(values).distinct(), "records")
+    empty, found = known.isEmpty(), []
+    for agreeing in range(width if not empty else 0, 0, -1):
+        # a star never is a value's code
+        parts = F.explode(
+            F.array(*[
+                F.array(*[F.element_at("values", i + 1) if i in kept else F.lit("*") for i in range(width)])
+                for kept in combinations(range(width), agreeing)
+            ])
+        ).alias("part")
+        hits = todo.select("values", parts).join(known.select(parts).distinct(), "part", "left_semi")
+        hits = hits.select("values").distinct().withColumn("hit", F.lit(True))
+        marked = written(todo.join(hits, "values", "left"), f"agreeing-{agreeing}")
+        found.append(marked.filter("hit").select("values", "rows", F.lit(width - agreeing).alias("distance")))
+        todo = marked.filter("hit IS NULL").drop("hit")
+    last = F.lit(None if empty else width).cast("int").alias("distance")
+    settled = reduce(DataFrame.unionAll, found, todo.select("values", "rows", last))
+    for name in ("rows", "records"):
+        if not empty and width:
+            delete_path(spark, f"{folder}/{name}")
+    back = [decoded(F.element_at("values", i + 1), df.schema[c].dataType).alias(c) for i, c in enumerate(attributes)]
+    return settled.select(*back, "rows", "distance")
+
+
+def closeness(sides: dict[str, DataFrame], records: DataFrame, attributes: list[str]) -> DataFrame:
+    """(part, distance, rows) of several tables against the same records.
+
+    A twin should not be nearer to the records it was made from than rows that were held out.
+    """
+    counted = [
+        closest_record(df, records, attributes)
+        .groupBy("distance")
+        .agg(F.sum("rows").alias("rows"))
+        .select(F.lit(part).alias("part"), "distance", "rows")
+        for part, df in sides.items()
+    ]
+    return reduce(DataFrame.unionAll, counted)
+
+
 def scores(
     real: DataFrame,
     twin: DataFrame,

@@ -242,7 +242,10 @@ _RESOLVED = [
 ]
 
 
-@query("l10_attempts", sql_with(_RESOLVED, "SELECT * FROM resolved"))
+RESOLVED_SQL = sql_with(_RESOLVED, "SELECT * FROM resolved")
+
+
+@query("l10_attempts", RESOLVED_SQL)
 def l10_attempts(spark, sf):
     return scoring.resolve_attempts(inputs.attempt_log(spark, sf), "record_id", ["ts", "event_id"])
 

@@ -252,7 +252,10 @@ _PROGRESS = (
 )
 
 
-@query("a14_progress", sql_with(LABELS, _PROGRESS))
+PROGRESS_SQL = sql_with(LABELS, _PROGRESS)
+
+
+@query("a14_progress", PROGRESS_SQL)
 def a14_progress(spark, sf):
     return stats.progress(inputs.label_results(spark, sf), mock_mode=True)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import inputs
-from catalog.answers import WORDS_SQL, score_words
+from catalog.answers import RESOLVED_SQL, WORDS_SQL, score_words
+from catalog.counts import PROGRESS_SQL
 from catalog.inputs import LABELS, table
 from catalog.registry import query, sql_with
 from catalog.twins import TWIN_SQL, made
@@ -17,6 +18,7 @@ from tidemill.session import work_dir
 from tidemill.sources import collections, files
 from tidemill.sources.versions import Repository
 from tidemill.streaming.arrivals import process_arrivals
+from tidemill.streaming.attempts import first_arrivals, settle_attempts
 
 _DOCUMENTS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -383,3 +385,45 @@ def k_stream_arrivals(spark, sf):
 
     work_off()
     return work_off()
+
+
+@query("l10_stream_attempts", RESOLVED_SQL)
+def l10_stream_attempts(spark, sf):
+    """The tries as files in any order; a heartbeat behind the last one settles all records."""
+    folder = work_dir(spark, "tries")
+    log = inputs.attempt_log(spark, sf)
+    log.repartition(3).write.parquet(f"{folder}/in")
+    beat = log.agg((F.max("ts") + F.expr("INTERVAL 20000 DAYS")).alias("ts"))
+    beat = beat.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema])
+    beat.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    pause = 86400.0 * 5000
+    settle = lambda rows: settle_attempts(rows, "record_id", "ts", "event_id", "5000 days", pause, pause)
+    return process_arrivals(spark, f"{folder}/in", log.schema, settle, f"{folder}/out", f"{folder}/state", 2)
+
+
+@query(
+    "k2_stream_once",
+    "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id "
+    "WHERE l.doc_id IS NULL",
+)
+def k2_stream_once(spark, sf):
+    """Documents that arrive twice, some of them settled before the stream began."""
+    folder = work_dir(spark, "once")
+    rows = table(spark, sf, "documents").selectExpr("doc_id", "timestamp_seconds(1700000000 + pmod(doc_id, 60)) AS arrived")
+    for _ in range(2):
+        rows.repartition(3).write.mode("append").parquet(f"{folder}/in")
+    settled = table(spark, sf, "labels")
+    once = lambda df: first_arrivals(df, "doc_id", "arrived", "1 day", settled).select("doc_id")
+    return process_arrivals(spark, f"{folder}/in", rows.schema, once, f"{folder}/out", f"{folder}/state", 2)
+
+
+@query("k7_stored_progress", PROGRESS_SQL)
+def k7_stored_progress(spark, sf):
+    """Two chunks with a look after each: the second look counts the second chunk's files only."""
+    folder = work_dir(spark, "progress")
+    rows = inputs.label_results(spark, sf)
+    early = F.pmod(F.xxhash64("reference"), F.lit(2)) == 0
+    for part in (early, ~early):
+        resume.append_results(rows.filter(part), f"{folder}/results")
+        found = resume.stored_progress(spark, f"{folder}/results", f"{folder}/ledger", mock_mode=True)
+    return found

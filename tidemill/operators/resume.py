@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.product import duplicate_keys
 from tidemill.operators.skew import anti_join
-from tidemill.session import delete_path, path_exists, work_dir
+from tidemill.operators.stats import progress
+from tidemill.session import delete_path, list_files, path_exists, work_dir
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame | None:
@@ -92,6 +93,33 @@ def score_with_resume(
     return finalize_results(spark, path, key)
 
 
+def stored_progress(spark: SparkSession, path: str, ledger: str, mock_mode: bool = False) -> DataFrame:
+    """`stats.progress` of all results at `path`, counting only files that were not counted yet.
+
+    The ledger holds the counts of each file of the store, which are never rewritten. A run
+    that dies before its files are counted leaves them to the next look, and a file counted
+    by two at once has the same counts twice and is added once. A ledger is for one store
+    and one `mock_mode`.
+    """
+    names = list_files(spark, path) if path_exists(spark, path) else []
+    files = [name for name in names if name.endswith(".parquet")]
+    counted = spark.read.parquet(ledger) if path_exists(spark, ledger) else None
+    # one row per file, as the listing
+    known = {row["file"] for row in counted.select("file").distinct().collect()} if counted is not None else set()
+    fresh = [name for name in files if name not in known]
+    if fresh:
+        results = spark.read.parquet(*[f"{path}/{name}" for name in fresh])
+        by_file = results.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).groupBy("file")
+        seen = progress(by_file, mock_mode)
+        empty = spark.createDataFrame([(name,) for name in fresh], "file string").join(seen, "file", "left")
+        empty.fillna(0).coalesce(1).write.mode("append").parquet(ledger)
+    if not path_exists(spark, ledger):
+        return progress(spark.createDataFrame([], "_llm_status string, error_type string"), mock_mode)
+    counts = spark.read.parquet(ledger)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns if c != "file"]
+    return counts.dropDuplicates(["file"]).agg(*sums)
+
+
 def _chunks(todo: DataFrame, key: str, chunks: int, stage: str | None) -> list[DataFrame]:
     if stage is None:
         return [todo]

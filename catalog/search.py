@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.inputs import table
 from catalog.registry import query
 from tidemill.functions import vectors
-from tidemill.operators import ann, embed, search
+from tidemill.operators import ann, compress, embed, search
 from tidemill.session import work_dir
 
 
@@ -209,3 +209,22 @@ def v3_index_recall(spark, sf):
 def v3_without_direction(spark, sf):
     """What no search can find is counted."""
     return ann.without_direction(table(spark, sf, "embeddings"))
+
+
+@query(
+    "s9_compressed",
+    "SELECT count(*) AS num_records, CAST(0 AS BIGINT) AS without_code, max(len(embedding))::INTEGER AS dimensions, "
+    "16 AS code_bytes, true AS smaller, count(*) FILTER (WHERE vec_id % 100 = 0) * 10 AS neighbours, true AS reached "
+    "FROM embeddings",
+)
+def s9_compressed(spark, sf):
+    """A snapshot of codes beside the vectors; every hundredth vector as a query against all, held against the exact search."""
+    stored, path = table(spark, sf, "embeddings").select("vec_id", "embedding"), work_dir(spark, "compressed")
+    written = compress.write_compressed(stored, path, "vec_id")
+    asked = stored.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    found = compress.search_compressed(spark, path, asked, 10, key="vec_id")
+    measured = ann.recall(found, search.top_k(stored, asked, 10))
+    shown = ["num_records", "without_code", "dimensions", "code_bytes"]
+    sizes = written.select(*shown, (F.col("codes_mb") < F.col("vectors_mb")).alias("smaller"), F.lit(1).alias("_one"))
+    recalled = measured.select("neighbours", (F.col("recall") >= 0.9).alias("reached"), F.lit(1).alias("_one"))
+    return sizes.join(recalled, "_one").drop("_one")

@@ -181,5 +181,10 @@ def test_customer_job(spark, folder):
     assert answer["total_records"] == 100 and answer["enriched_count"] == 10
     assert sum(answer["region_distribution"].values()) == 100 and answer["storage_error"] is None
     assert files.read_report(spark, folder)["tier_distribution"] == answer["tier_distribution"]
+    rows = spark.read.parquet(f"{folder}-distributions").filter("column = 'tier'").collect()
+    assert {r["value"]: r["count"] for r in rows} == answer["tier_distribution"]
+    assert answer["tier_values"] == len(rows)
+    long = customers.customer_report(customers.enrich_customers(people, profile), listed=2).first()
+    assert long["region_distribution"] is None and long["region_values"] > 2
     lost = customers.run_customers(people, profile, "nowhere://bucket/x", log=lambda line: None)
     assert lost["total_records"] == 100 and lost["storage_error"]

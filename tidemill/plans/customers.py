@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidemill.operators import clean, scoring, stats
 from tidemill.sources import files
 
+SPREAD = ["region", "tier"]
+LISTED = 10_000  # values of a column that the report itself lists
+
 
 def enrich_customers(
     customers: DataFrame, profile: Callable[[DataFrame], DataFrame], key: str = "id"
@@ -17,19 +20,30 @@ def enrich_customers(
     return scoring.enrich_sample(clean.clean_customers(customers), profile, key)
 
 
-def customer_report(enriched: DataFrame) -> DataFrame:
-    """One row with the totals and the two distributions as maps.
+def customer_report(enriched: DataFrame, listed: int = LISTED) -> DataFrame:
+    """One row: totals, and of region and tier the number of values and the distribution as a map.
 
-    A map entry per distinct value; `stats.distributions` has the same as rows.
+    A map has an entry per value and is null for a column of more than `listed` values;
+    `stats.distributions` has all of them as rows.
     """
-    spread = stats.distributions(enriched, ["region", "tier"])
-    entry = F.struct(F.col("value"), F.col("count"))
+    spread = stats.distributions(enriched, SPREAD)
+    sizes = spread.groupBy("column").agg(F.count(F.lit(1)).alias("values"))
+    # one row per column of SPREAD, so at most `listed` entries a column are gathered
+    entries = spread.join(F.broadcast(sizes), "column").withColumn(
+        "entry", F.when(F.col("values") <= listed, F.struct(F.col("value"), F.col("count")))
+    )
 
-    def as_map(name: str):
-        mine = F.collect_list(F.when(F.col("column") == name, entry))
-        return F.map_from_entries(F.array_sort(mine)).alias(f"{name}_distribution")
+    def columns(name: str):
+        mine = F.col("column") == name
+        values = F.coalesce(F.max(F.when(mine, F.col("values"))), F.lit(0))
+        entry = F.map_from_entries(F.array_sort(F.collect_list(F.when(mine, F.col("entry")))))
+        return (
+            values.alias(f"{name}_values"),
+            F.when(values <= listed, entry).alias(f"{name}_distribution"),
+        )
 
-    maps = spread.agg(as_map("region"), as_map("tier")).withColumn("_one", F.lit(1))
+    found = [c for name in SPREAD for c in columns(name)]
+    maps = entries.agg(*found).withColumn("_one", F.lit(1))
     totals = stats.customer_summary(enriched).withColumn("_one", F.lit(1))
     return totals.join(maps, "_one").drop("_one")
 
@@ -41,11 +55,17 @@ def run_customers(
     key: str = "id",
     log: Callable[[str], None] = print,
 ) -> dict:
-    """A report that cannot be stored is still returned, with the reason."""
-    report = customer_report(enrich_customers(customers, profile, key))
+    """A report that cannot be stored is still returned, with the reason.
+
+    The whole distributions are stored as a table beside it, in `folder` + "-distributions".
+    """
+    enriched = enrich_customers(customers, profile, key)
+    report = customer_report(enriched)
     row = report.first().asDict(recursive=True)
     try:
         files.write_report(report, folder)
+        spread = stats.distributions(enriched, SPREAD)
+        spread.write.mode("overwrite").parquet(f"{folder.rstrip('/')}-distributions")
         problem = None
     except Exception as failure:  # noqa: BLE001
         problem = str(failure)

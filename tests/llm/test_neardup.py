@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tidemill.llm import neardup
+from tidemill.llm.common import CLEANUP, materialize
 from tidemill.llm.queries import QUERIES
 
 
@@ -132,3 +133,13 @@ def test_repeated_id_links_the_groups_of_its_texts(spark):
     got = neardup.near_duplicates(df, "doc_id", "text").collect()
     found = sorted({(r["doc_id"] or 0, r["component_id"], r["kept"]) for r in got})
     assert found == [(0, 2, False), (1, 1, True), (2, 2, True), (3, 3, True), (5, 1, False), (7, 1, False), (8, 1, False)]
+
+
+def test_written_intermediates_leave_no_shuffle_files(spark):
+    before = spark.conf.get(CLEANUP)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(1 for name in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name)
+    held = shuffled()
+    rows = materialize(spark.range(1000).repartition(7).groupBy("id").count(), "cleanup")
+    assert shuffled() <= held
+    assert rows.count() == 1000 and spark.conf.get(CLEANUP) == before

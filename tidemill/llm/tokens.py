@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.llm.bytelevel import encode_texts
-from tidemill.llm.common import materialize, release, slices
+from tidemill.llm.common import materialize, release, shuffles_removed, slices
 from tidemill.llm.units import strings
 
 MAGIC = b"TIDETOK1"
@@ -259,7 +259,8 @@ def write_tokens(docs: DataFrame, key: str, text: str, path: str, settings: Toke
 
     ordered = tokens.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
     parts = ordered.mapInArrow(blocks, "part binary")
-    parts.select(F.col("part").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    with shuffles_removed(parts.sparkSession):
+        parts.select(F.col("part").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
     shared.destroy()
     release(tokens)
 

@@ -122,6 +122,38 @@ def test_secrets_without_a_cue_and_long_runs(spark):
     assert not any(added[i] for i in [*range(1000, 1400), 3000, 3001])
 
 
+def test_trees_and_thresholds_rest_on_all_candidates(spark, monkeypatch):
+    rows = [(i, f'set token = "{hashlib.sha1(bytes([i % 256, i // 256])).hexdigest()}" now') for i in range(400)]
+    rows += [(1000 + i, f"number {10**17 + 7919 * i} of list") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    seen = []
+
+    class Trees(pii.GBTClassifier):
+        def fit(self, train):
+            seen.append(train.agg(F.sum("n")).first()[0])
+            return super().fit(train)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Trees)
+    found = pii.find(df, "doc_id", "text", pii.PiiSettings(50)).collect()  # 50 candidates would calibrate nothing
+    added = {r["doc_id"]: len(r["added"]) for r in found}
+    assert sum(added[i] for i in range(400)) > 380 and not any(added[i] for i in range(1000, 1400))
+    candidates = pii.base_and_candidates(df, "doc_id", "text").select("draw", F.explode("candidates").alias("x")).select("draw", "x.start")
+    assert seen == [candidates.filter(F.pmod(F.xxhash64("start", "draw"), F.lit(4)) != 0).count()]
+
+
+def test_thresholds_count_all_rows(spark):
+    scores = [(k, int((i * 7 + k) % 100 >= 3 or i > 700), (i * i % 997) / 1000, 1 + i % 4) for k in (1, 4) for i in range(900)]
+    scores += [(2, 1, 0.5, 19), (3, 0, 0.9, 50)]
+    got = pii.thresholds_of(spark.createDataFrame(scores, "kind int, label int, score double, n long"), pii.PiiSettings(precision=0.97))
+    want = {}
+    for kind in {k for k, *_ in scores}:
+        for t in sorted({int(s * pii.STEPS) / pii.STEPS for k, _, s, _ in scores if k == kind}, reverse=True):
+            kept = [(label, n) for k, label, s, n in scores if k == kind and s >= t]
+            if sum(n for _, n in kept) >= 20 and sum(a * n for a, n in kept) >= 0.97 * sum(n for _, n in kept):
+                want[kind] = t
+    assert got == want and set(want) <= {1, 4}
+
+
 def test_redaction_and_empty(spark, odd, empty):
     df = spark.createDataFrame([("é mail a@b.c and 1.2.3.4!",)], "text string")
     spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(k).alias("kind"), F.lit(b).alias("stop")) for a, k, b in base(df.first()[0])))

@@ -8,7 +8,7 @@ characters around it. They learn from what the base rules accept
 and reject in the corpus: spans that pass are positives, spans of the same look that fail,
 such as plain numbers, are negatives. They also learn from the wide proposals: one on a base
 span of its kind is a positive; of the others those after a cue word are positives, the rest
-negatives. Per kind, the threshold is the lowest
+negatives. All candidates count: those that look the same are one row with their number. Per kind, the threshold is the lowest
 score at which the wide proposals of a held-out part that are on no base span of their kind are
 precise enough; a kind that never gets there adds nothing. Cue words decide labels only, so a
 proposal without one is added if it looks like those with one. Base spans always stay.
@@ -56,7 +56,8 @@ WIDE = {
     "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,511}[0-9])[A-Za-z0-9_+/-]{16,512}+(?![A-Za-z0-9_+/-])",
 }
 CONTEXT = 24
-DRAWS = 1 << 30
+GROUP = ["kind", "wide", "clear", "label"]
+STEPS = 1 << 14  # steps of a score that thresholds are found in
 CUES = {
     "email": "mail|contact|kontakt|@",
     "ip": "ip|host|server|addr|login",
@@ -68,9 +69,10 @@ CUES = {
 
 @dataclass(frozen=True)
 class PiiSettings:
-    sample_rows: int = 20_000  # bound on the candidates that trees and thresholds are fitted on
+    total_weight: int = 20_000  # of all candidates that trees are fitted on
     trees: int = 12
     depth: int = 4
+    bins: int = 512  # up to its square, and so far beyond what was seen, split points come from all looks
     precision: float = 0.98
     least_calibrated: int = 20  # proposals that a threshold must rest on
 
@@ -121,7 +123,7 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def base_and_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, the row's number, a digest to draw by, base (kind, start, stop) and candidates with their look and context."""
+    """doc_id, the row's number, a digest that sets a part aside, base (kind, start, stop) and candidates with their look and context."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())  # read only once written
     none = F.array().cast("array<struct<start:int,stop:int,value:string,before:string,after:string>>")
@@ -191,44 +193,57 @@ def labelled(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({"wide": F.col("label").isNull(), "clear": ~own, "label": F.coalesce("label", weak)})
 
 
-def fit(candidates: DataFrame, settings: PiiSettings):
-    """(model, thresholds by kind) from labelled candidates, or None."""
-    s = settings
+def looks_of(candidates: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All labelled candidates, those that look the same and have the same part and label as one row with their number."""
     rows, names = features(candidates)
-    group = ["kind", "wide", "clear", "label"]
-    rows = rows.select("draw", "start", *group, *names)
-    # groups share the sample evenly, so that a frequent one does not crowd out the others; at most 40 of them
-    sizes = {tuple(r[c] for c in group): r["count"] for r in rows.groupBy(*group).count().collect()}
-    left, least = s.sample_rows * 9 // 10, F.lit(0)  # the rest is for chance
+    aside = F.pmod(F.xxhash64("start", "draw"), F.lit(4)) == 0
+    group = [*GROUP, "aside", *names]
+    looks = rows.withColumn("aside", aside).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    return looks.sortWithinPartitions(*group), names  # one order on every run
+
+
+def weighted(looks: DataFrame, most: int) -> DataFrame:
+    """Adds `weight`: groups share `most` evenly, so that a frequent one does not outweigh the others; at most 40 of them."""
+    sizes = {tuple(r[c] for c in GROUP): r["n"] for r in looks.groupBy(*GROUP).agg(F.sum("n").alias("n")).collect()}
+    left, each = most, F.lit(0.0)
     for place, (values, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
-        share = min(size, left // (len(sizes) - place))
+        share = min(size, left / (len(sizes) - place))
         left -= share
         mine = F.lit(True)
-        for c, value in zip(group, values):
+        for c, value in zip(GROUP, values):
             mine &= F.col(c) == value
-        least = F.when(mine, F.lit(share / size * DRAWS)).otherwise(least)
-    order = [F.xxhash64("draw", "kind", "start"), F.col("draw"), F.col("kind"), F.col("start")]
-    drawn = rows.filter(F.pmod(F.xxhash64("start", "draw", "kind"), F.lit(DRAWS)) < least)
-    sample = drawn.orderBy(*order).limit(s.sample_rows)
-    sample = materialize(sample.coalesce(1), "pii-sample").coalesce(2)  # a bounded number of short rows
-    aside = F.pmod(F.xxhash64("start", "draw"), F.lit(4)) == 0
-    train = sample.filter(~aside)
+        each = F.when(mine, F.lit(share / size)).otherwise(each)
+    return looks.withColumn("weight", each * F.col("n"))
+
+
+def fit(candidates: DataFrame, settings: PiiSettings):
+    """(model, thresholds by kind) from all labelled candidates, or None."""
+    s = settings
+    looks, names = looks_of(candidates)
+    looks = materialize(looks, "pii-looks")
+    train = weighted(looks.filter(~F.col("aside")), s.total_weight)
     kinds = {r["label"] for r in train.select("label").distinct().collect()}
     if kinds != {0, 1}:
         return None
     assembler = VectorAssembler(inputCols=names, outputCol="vector")
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=s.trees, maxDepth=s.depth, seed=1, stepSize=0.3)
+    trees = GBTClassifier(
+        featuresCol="vector", labelCol="label", weightCol="weight", maxIter=s.trees, maxDepth=s.depth, maxBins=s.bins, seed=1, stepSize=0.3
+    )
     model = trees.fit(assembler.transform(train))
-    scored = _scored(sample.filter(aside & F.col("wide") & F.col("clear")), model, names).select("kind", "label", "score").collect()
-    thresholds = {}
-    for kind in range(len(ALL_KINDS)):
-        found = sorted(((r["score"], r["label"]) for r in scored if r["kind"] == kind), reverse=True)
-        right = 0
-        for n, (score, label) in enumerate(found, 1):
-            right += label
-            if n >= s.least_calibrated and right >= s.precision * n and (n == len(found) or found[n][0] < score):
-                thresholds[kind] = score
-    return model, thresholds
+    return model, thresholds_of(_scored(looks.filter(F.col("aside") & F.col("wide") & F.col("clear")), model, names), s)
+
+
+def thresholds_of(scored: DataFrame, settings: PiiSettings) -> dict[int, float]:
+    """Per kind the lowest score, in steps of 1 / STEPS, from which up enough proposals are right; all rows (kind, label, score, n) count."""
+    s, step = settings, F.floor(F.col("score") * STEPS)
+    counted = scored.groupBy("kind", step.alias("step")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right"))
+    thresholds, seen = {}, {}
+    for r in sorted(counted.collect(), key=lambda r: -r["step"]):  # one row for each kind and step
+        n, right = (a + b for a, b in zip(seen.get(r["kind"], (0, 0)), (r["n"], r["right"])))
+        seen[r["kind"]] = n, right
+        if n >= s.least_calibrated and right >= s.precision * n:
+            thresholds[r["kind"]] = r["step"] / STEPS
+    return thresholds
 
 
 def _scored(rows: DataFrame, model, names: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from catalog.joins import PRODUCT
 from catalog.twins import GUESS_SQL, LEAK_MATCH, LEAK_SQL, MARGINAL_SQL, NUMERIC, TWIN_SQL
 from tidemill.config import RunOptions, TRIAL_RUN, Layout
 from tidemill.functions import masks, vectors
+from tidemill.operators import parsing, scoring
 from tidemill.plans import customers as customer_job
 from tidemill.plans import documents as document_job
 from tidemill.plans import twins as twin_job
@@ -22,15 +23,22 @@ from tidemill.sources.versions import Repository
 
 
 def _steps(spark, sf) -> document_job.DocumentSteps:
-    """Replies come from the prepared tables; a model would fill the same columns."""
+    """Replies come from the prepared tables; a model would fill the same columns.
+
+    Label replies are read where they lie, so that only what they say meets the documents.
+    """
 
     def replied(rows, replies):
         return rows.join(replies.select("doc_id", "reply"), "doc_id", "left")
 
+    def labelled(rows):
+        said = parsing.parse_labels(inputs.label_replies(spark, sf).select("doc_id", "reply"), "reply", "_said")
+        none = parsing.parse_labels(rows.select("doc_id", document_job.KEY, F.lit(None).cast("string").alias("reply")), "reply", "_parsed")
+        met = none.join(said.select("doc_id", "_said"), "doc_id", "left").withColumn("_parsed", F.coalesce("_said", "_parsed"))
+        return scoring.settle_parsed(met.select(document_job.KEY, "_parsed"), "_parsed", scoring.label_fallbacks())
+
     return document_job.DocumentSteps(
-        label=lambda rows: document_job.label_replies(
-            replied(rows, inputs.label_replies(spark, sf))
-        ),
+        label=labelled,
         summary=lambda rows: document_job.summary_replies(
             replied(rows, inputs.summary_replies(spark, sf))
         ),

@@ -188,3 +188,47 @@ def test_customer_job(spark, folder):
     assert long["region_distribution"] is None and long["region_values"] > 2
     lost = customers.run_customers(people, profile, "nowhere://bucket/x", log=lambda line: None)
     assert lost["total_records"] == 100 and lost["storage_error"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_are_compared_and_permuted_without_moving(spark, source):
+    roles = twin.infer_roles(source, "reference")
+    made = twin.make_twin(source, roles, "reference", 7)
+    for column in roles.categorical:  # all values are kept, each column in the order of its digests
+        order = lambda name: F.md5(F.concat_ws("|", "reference", F.lit("7"), F.lit(name)))
+        want = [r[0] for r in source.orderBy(order(column)).select(column).collect()]
+        assert [r[0] for r in made.orderBy("reference").select(column).collect()] == want
+    assert twin.longest_column(source, roles.categorical) == "summary"
+    cells = twin.permuted_columns(source, "reference", ["author", "summary"], 7, sent={"summary": "reference"})
+    assert cells.filter("summary NOT LIKE 'DOC-%'").isEmpty()
+
+    schema = "a string, b double, c string, d array<int>"
+    real = spark.createDataFrame([("1:x", 0.0, None, [1]), (None, 1.5, "", [2]), ("a", 2.0, "b", [3])], schema)
+    other = spark.createDataFrame([("1:x", -0.0, None, [1]), ("", 1.5, None, [2]), ("ab", 2.0, "", [3]), ("a", 2.0, "b", [4])], schema)
+    leaked = privacy.leak_rate(real, other, ["a", "b", "c", "d"])
+    assert (leaked.first()["twin_rows"], leaked.first()["leaked_rows"]) == (4, 1)
+    assert not [line for line in _plan(leaked).splitlines() if "Exchange hashpartitioning" in line and "c#" in line]
+
+
+def test_texts_do_not_move_to_meet_their_vectors(spark, documents, folder):
+    plans, layout = [], Layout(folder)
+
+    def embed(rows):
+        plans.append(_plan(rows))
+        return rows.withColumn("embedding", vectors.hash_embedding("embed_text", 16))
+
+    silent = lambda line: None
+    run = lambda step, where: run_documents(documents, DocumentSteps(steps().label, steps().summary, step), where, "now", log=silent)
+    full = run(embed, layout)
+    narrow = run(lambda rows: embed(rows).select("reference", "embedding"), Layout(f"{folder}/narrow"))
+    assert not any("Exchange" in plan or "Join" in plan for plan in plans) and len(plans) == 2
+    rows = [collections.read_collection(spark, r["collection"]) for r in (full, narrow)]
+    assert rows[0].columns == rows[1].columns and sorted(map(str, rows[0].collect())) == sorted(map(str, rows[1].collect()))
+    again = run(embed, layout)
+    assert again["object_count"] == full["object_count"] == 3
+    for place in (layout, Layout(f"{folder}/narrow")):
+        assert files.read_product(spark, place.product("embeddings")).columns == ["reference", "embedding"]
+        assert files.read_product(spark, place.product("labels")).count() == 3

@@ -13,8 +13,9 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.operators.dependent import decoded, encoded
 from tidemill.session import delete_path, work_dir
@@ -27,12 +28,28 @@ def _grouped(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
 
 
+def _record_digest(df: DataFrame, attributes: list[str]) -> tuple[Column, list[str]]:
+    """SHA-256 of a record's plain values, so that long texts are compared without moving, and the columns it leaves out."""
+    plain = (T.StringType, T.IntegralType, T.DecimalType, T.FractionalType, T.BooleanType, T.DateType, T.BinaryType)
+    taken = [c for c in attributes if isinstance(df.schema[c].dataType, plain)]
+    parts = []
+    for c in taken:
+        kind = df.schema[c].dataType
+        # -0.0 equals 0.0
+        value = F.col(c) + F.lit(0.0).cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col(c)
+        value = F.hex(c) if isinstance(kind, T.BinaryType) else value.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    digest = F.unhex(F.sha2(F.concat(F.lit(""), *parts).cast("binary"), 256))
+    return digest.alias("_record"), [c for c in attributes if c not in taken]
+
+
 def leak_rate(real: DataFrame, twin: DataFrame, attributes: list[str]) -> DataFrame:
     """twin_rows, leaked_rows, leak_rate of exact attribute matches; null equals null."""
-    sides = real.select(*attributes, F.lit(0).alias("_n"), F.lit(1).alias("_real")).unionAll(
-        twin.select(*attributes, F.lit(1).alias("_n"), F.lit(0).alias("_real"))
+    short, others = _record_digest(real, attributes)
+    sides = real.select(*others, short, F.lit(0).alias("_n"), F.lit(1).alias("_real")).unionAll(
+        twin.select(*others, short, F.lit(1).alias("_n"), F.lit(0).alias("_real"))
     )
-    groups = sides.groupBy(*attributes).agg(
+    groups = sides.groupBy(*others, "_record").agg(
         F.sum("_n").alias("n"), F.max("_real").alias("known")
     )
     counted = groups.agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.operators.product import duplicate_keys
 from tidemill.operators.skew import anti_join
 from tidemill.operators.stats import progress
-from tidemill.session import delete_path, list_files, path_exists, work_dir
+from tidemill.session import PARQUET, delete_path, list_files, move_path, path_exists, work_dir
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame | None:
@@ -34,7 +34,7 @@ def append_results(df: DataFrame, path: str) -> dict:
     seen = Observation()
     failed = F.col("_llm_status") == "failed" if "_llm_status" in df.columns else F.lit(False)
     metrics = [F.count(F.lit(1)).alias("rows"), F.count_if(failed).alias("failed")]
-    aligned.observe(seen, *metrics).write.mode("append").parquet(path)
+    aligned.observe(seen, *metrics).write.options(**PARQUET).mode("append").parquet(path)
     return seen.get
 
 
@@ -52,6 +52,16 @@ def finalize_results(spark: SparkSession, path: str, key: str) -> DataFrame | No
     return results.groupBy(F.col(key).alias("_key")).agg(row).select("_row.*")
 
 
+def place_results(results: DataFrame, path: str, target: str) -> None:
+    """Let `target` hold finished results: the store itself is moved there, unless they differ from it."""
+    spark = results.sparkSession
+    if results.sameSemantics(spark.read.parquet(path)):
+        move_path(spark, path, target)
+    else:
+        results.write.options(**PARQUET).mode("overwrite").parquet(target)
+        cleanup_results(spark, path)
+
+
 def cleanup_results(spark: SparkSession, path: str) -> None:
     """Remove the store after success. A failure to remove it does not matter."""
     try:
@@ -128,6 +138,6 @@ def _chunks(todo: DataFrame, key: str, chunks: int, stage: str | None) -> list[D
     ways = max(1, int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions")) // chunks)
     spread = F.pmod(F.xxhash64(key, F.lit("stage")), F.lit(ways))
     chunked = todo.withColumn("_chunk", part).repartition("_chunk", spread)
-    chunked.write.partitionBy("_chunk").parquet(stage)
+    chunked.write.options(**PARQUET).partitionBy("_chunk").parquet(stage)
     staged = todo.sparkSession.read.parquet(stage)
     return [staged.filter(F.col("_chunk") == n).drop("_chunk") for n in range(chunks)]

@@ -62,7 +62,11 @@ def embed_inputs(
     documents: DataFrame, summaries: DataFrame, key: str = KEY, heavy: dict | None = None
 ) -> DataFrame:
     """Documents with their summary and the scrubbed text that gets embedded."""
-    joined = product.join_summaries(documents, summaries, key, heavy)
+    return embed_texts(product.join_summaries(documents, summaries, key, heavy))
+
+
+def embed_texts(joined: DataFrame) -> DataFrame:
+    """The same from rows that hold their summary already."""
     combined = text.embed_text("title", "summary")
     return joined.withColumn("embed_text", text.scrub(combined, "title"))
 
@@ -78,6 +82,15 @@ def index_objects(
     return left_joins(objects, [vectors.select(key, "embedding")], key, heavy=heavy)
 
 
+def embedded(rows: DataFrame, embed: Step, key: str = KEY) -> DataFrame:
+    """Whole search objects from a step that adds its vector to the rows it gets, else (key, embedding).
+
+    With whole objects no text has to move to meet its vector.
+    """
+    made = embed(rows).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    return clean.document_objects(made, key) if set(rows.columns) <= set(made.columns) else made.select(key, "embedding")
+
+
 def check_vectors(documents: DataFrame, vectors: DataFrame) -> int:
     """One vector of one size for every document; gives the size."""
     wanted, found = documents.count(), vectors.count()
@@ -103,7 +116,11 @@ def run_documents(
     chunks: int = 1,
     log: Callable[[str], None] = print,
 ) -> dict:
-    """The whole job. A rerun with the same run_id goes on where the last one stopped."""
+    """The whole job. A rerun with the same run_id goes on where the last one stopped.
+
+    Texts move once, into the product; what gets embedded is read from there. Scored stages
+    are read from their stores, which become the stages' products when the job is done.
+    """
     spark = raw.sparkSession
     trial = "trial_" if options.is_trial else ""
     at = lambda stage: layout.product(stage, options)
@@ -114,25 +131,30 @@ def run_documents(
 
     def scored(stage: str, rows: DataFrame, step: Step) -> DataFrame:
         store = layout.results(f"{trial}{stage}", run_id)
-        stores.append(store)
-        return stored(resume.score_with_resume(rows, step, store, KEY, chunks, heavy=even), at(stage))
+        found = resume.score_with_resume(rows, step, store, KEY, chunks, heavy=even)
+        stores.append((found, store, at(stage)))
+        return found
 
     labels = scored("labels", documents, steps.label)
     stats.require_success(labels, "Classification")
     summaries = scored("summaries", documents, steps.summary)
     stats.require_success(summaries, "Summarization")
-    inputs = embed_inputs(documents, summaries, heavy=even).select(KEY, "embed_text")
-    vectors = scored("embeddings", inputs, lambda rows: steps.embed(rows).select(KEY, "embedding"))
-    dim = check_vectors(documents, vectors)
-
     joined = product.assemble_product(documents, labels, summaries, processed_at, heavy=even)
     enriched = stored(joined, at("enriched"))
+    vectors = scored("embeddings", embed_texts(enriched), lambda rows: embedded(rows, steps.embed))
+    dim = check_vectors(documents, vectors)
+
     summary = stats.product_stats(enriched).first().asDict()
     path = layout.collection(name, options)
     collections.ensure_collection(spark, path, collections.DOCUMENT_PROPERTIES)
-    objects = index_objects(enriched, vectors, heavy=even)
-    indexed = collections.load_collection(objects, path, KEY, dim=dim, heavy=even)
-    for store in stores:
-        resume.cleanup_results(spark, store)
+    if set(vectors.columns) == {KEY, "embedding"}:
+        objects = index_objects(enriched, vectors, heavy=even)
+        indexed = collections.load_collection(objects, path, KEY, dim=dim, heavy=even)
+    else:
+        _, store, target = stores.pop()
+        files.write_product(vectors.select(KEY, "embedding"), target)
+        indexed = collections.place_objects(store, path, spark, KEY, "idempotent", dim, even)
+    for found, store, target in stores:
+        resume.place_results(found, store, target)
     log(f"{name}: {summary['num_records']} records, {indexed['object_count']} indexed")
     return {**summary, **indexed, "product": at("enriched"), "is_trial": options.is_trial}

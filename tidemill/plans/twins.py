@@ -65,9 +65,16 @@ def run_twin(
     report = privacy.evaluation_report(source, made, scored, generated_at, f"twin-{run_id}")
     files.write_report(report, layout.twin("validation_report", options), "".join(c for c in generated_at if c.isalnum()))
 
-    inputs = made.select(KEY, text.twin_embed_text("title", "summary").alias("embed_text"))
+    # a step that adds its vector to the rows it gets spares a join that moves every text
+    embedded = embed(made.withColumn("embed_text", text.twin_embed_text("title", "summary")))
+    if set(made.columns) <= set(embedded.columns):
+        rows = clean.twin_objects(embedded.withColumn("embedding", F.col("embedding").cast("array<float>")), KEY)
+    else:
+        narrow = stored(embedded.select(KEY, F.col("embedding").cast("array<float>")), layout.snapshot("vectors", options))
+        rows = clean.twin_objects(made, KEY).join(narrow, KEY, "left")
+    staged = layout.snapshot("objects", options)
     vector_path = layout.snapshot("embeddings", options)
-    counts = files.write_snapshot(embed(inputs), vector_path, KEY).first()
+    counts = files.write_snapshot(stored(rows, staged), vector_path, KEY).first()
     vectors = files.read_product(spark, vector_path)
     dim = check_vectors(made, vectors)
 
@@ -75,8 +82,7 @@ def run_twin(
     commit = repository.write(final, "documents", run_id, is_synthetic="true")
     path = layout.collection(name, options)
     collections.ensure_collection(spark, path, collections.TWIN_PROPERTIES)
-    objects = clean.twin_objects(made, KEY).join(vectors, KEY, "left")
-    indexed = collections.load_collection(objects, path, KEY, mode="overwrite", dim=dim)
+    indexed = collections.place_objects(staged, path, spark, KEY, dim)
     return {
         **scored,
         **indexed,

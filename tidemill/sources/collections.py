@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidemill.operators.product import duplicate_keys
 from tidemill.operators.search import require_one_dim
 from tidemill.operators.skew import anti_join
-from tidemill.session import delete_path, path_exists
+from tidemill.session import PARQUET, delete_path, move_path, path_exists
 from tidemill.sources import atomic
 
 # Property names and kinds of the two collections.
@@ -149,7 +149,33 @@ def load_collection(
     if changed:
         _change(spark, path, "put" if mode == "replace" else "add", key, rows)
     else:
-        rows.write.mode("overwrite" if mode == "overwrite" else "append").parquet(path)
+        rows.write.options(**PARQUET).mode("overwrite" if mode == "overwrite" else "append").parquet(path)
+    return {"collection": path, "object_count": count_objects(spark, path), "vector_dimensions": dim}
+
+
+def place_objects(
+    staged: str, path: str, spark: SparkSession, key: str = "reference", mode: str = "overwrite", dim: int | None = None,
+    heavy: dict | None = None,
+) -> dict:
+    """`load_collection` of objects that are written already: their folder is moved into place.
+
+    A key that they hold twice, other columns than the collection has, or objects that it
+    holds already, unless they are overwritten, make it a load like any other.
+    """
+    objects = spark.read.parquet(staged)
+    ready = objects.schema["embedding"].dataType == T.ArrayType(T.FloatType()) and duplicate_keys(objects, key).isEmpty()
+    if mode != "overwrite" and path_exists(spark, path):
+        kept = read_collection(spark, path)
+        ready &= kept.dtypes == objects.dtypes and kept.isEmpty() and not atomic.numbers(spark, _log(path))
+    if not ready:
+        found = load_collection(objects, path, key, mode=mode, dim=dim, heavy=heavy)
+        delete_path(spark, staged)
+        return found
+    if dim is None:
+        dim = require_one_dim(objects)
+    elif not objects.filter(~F.coalesce(F.size("embedding") == dim, F.lit(False))).isEmpty():
+        raise ValueError(f"every object needs a vector of size {dim}")
+    move_path(spark, staged, path)
     return {"collection": path, "object_count": count_objects(spark, path), "vector_dimensions": dim}
 
 
@@ -167,7 +193,7 @@ def compact_collection(spark: SparkSession, path: str) -> int:
     if not found:
         return 0
     folder = f"{path}/_changes/{uuid.uuid4().hex}"
-    read_collection(spark, path, found[-1]).write.parquet(folder)
+    read_collection(spark, path, found[-1]).write.options(**PARQUET).parquet(folder)
     return _enter(spark, path, {"kind": "base", "folder": folder, "covers": found[-1]})
 
 
@@ -185,7 +211,7 @@ def _log(path: str) -> str:
 
 def _change(spark: SparkSession, path: str, kind: str, key: str, rows: DataFrame) -> int:
     folder = f"{path}/_changes/{uuid.uuid4().hex}"
-    rows.write.parquet(folder)
+    rows.write.options(**PARQUET).parquet(folder)
     return _enter(spark, path, {"kind": kind, "folder": folder, "key": key})
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.session import list_files, path_size
+from tidemill.session import PARQUET, list_files, path_size
 
 
 def read_csv_folder(
@@ -39,7 +39,7 @@ def write_product(df: DataFrame | None, path: str, log=print) -> str | None:
     if df is None:
         log(f"nothing to write to {path}")
         return None
-    df.write.mode("overwrite").parquet(path)
+    df.write.options(**PARQUET).mode("overwrite").parquet(path)
     return path
 
 
@@ -73,7 +73,7 @@ def read_report(spark: SparkSession, folder: str, stamp: str = "latest") -> dict
 
 def write_snapshot(df: DataFrame, path: str, key: str = "reference") -> DataFrame:
     """(key, embedding) as Parquet, and a one-row frame of its counts and size."""
-    df.select(key, "embedding").write.mode("overwrite").parquet(path)
+    df.select(key, "embedding").write.options(**PARQUET).mode("overwrite").parquet(path)
     spark = df.sparkSession
     size = path_size(spark, path) / 1024 / 1024
     return spark.read.parquet(path).agg(

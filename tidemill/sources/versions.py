@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.session import delete_path, list_files, path_exists
+from tidemill.session import PARQUET, delete_path, list_files, path_exists
 from tidemill.sources import atomic
 from tidemill.sources.files import read_product
 
@@ -134,7 +134,7 @@ class Repository:
         observed = df.observe(
             seen, F.count(F.lit(1)).alias("rows"), content_hash(df).alias("hash")
         )
-        observed.write.parquet(path)
+        observed.write.options(**PARQUET).parquet(path)
         schema_tag = df.schema.simpleString()
         found = f"{seen.get['hash']}:{seen.get['rows']}:{schema_tag}"
         notes = {"run_id": run_id, "product": product, **metadata}

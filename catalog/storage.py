@@ -79,7 +79,7 @@ def s5_versioned(spark, sf):
     repository = Repository(spark, work_dir(spark, "versions"))
     rows = documents(spark, sf)
     repository.write(rows, "documents", "first")
-    repository.write(rows.repartition(3), "documents", "second")
+    repository.write(rows.repartition("doc_id"), "documents", "second")
     repository.write(clean.clean_documents(rows), "documents", "third")
     return repository.log("documents").select(
         "product", "seq", "num_rows", "num_columns", F.col("metadata")["run_id"].alias("run_id")

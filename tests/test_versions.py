@@ -111,3 +111,17 @@ def test_null_keys_are_keys(spark, folder):
     collections.load_collection(objects(spark, [(None, "old"), ("a", "old")]), path)
     collections.load_collection(objects(spark, [(None, "new")]), path, mode="replace")
     assert sorted(titles(spark, path), key=str) == sorted([(None, "new"), ("a", "old")], key=str)
+
+
+def test_second_write_is_not_bound_to_a_number_of_tasks(spark, monkeypatch):
+    from catalog import storage
+
+    plans, write = [], Repository.write
+
+    def seen(self, df, *rest, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, *rest, **more)
+
+    monkeypatch.setattr(Repository, "write", seen)
+    assert storage.s5_versioned(spark, "/root/testdata/sf0.001").count() == 2
+    assert "REPARTITION_BY_COL" in plans[1] and not any("REPARTITION_BY_NUM" in plan for plan in plans)

@@ -359,6 +359,13 @@ def k7_progress(spark, sf):
     return spark.createDataFrame([reports[-1]], schema)
 
 
+def _arriving(rows, folder, least, file_rows):
+    """Write rows as `least` files, more where a file would hold over `file_rows`; how many."""
+    files = max(least, -(-rows.count() // file_rows))
+    rows.repartition(files).write.mode("append").parquet(folder)
+    return files
+
+
 @query(
     "k_stream_arrivals",
     sql_with(
@@ -370,7 +377,7 @@ def k_stream_arrivals(spark, sf):
     """The cleaning step on a stream of files, run until everything present is done."""
     folder = work_dir(spark, "stream")
     rows = inputs.raw_documents(spark, sf)
-    rows.repartition(4).write.parquet(f"{folder}/in")
+    files = _arriving(rows, f"{folder}/in", 4, 20_000)
 
     def transform(df):
         cleaned = clean.clean_documents(df)
@@ -380,7 +387,7 @@ def k_stream_arrivals(spark, sf):
 
     def work_off():
         return process_arrivals(
-            spark, f"{folder}/in", rows.schema, transform, f"{folder}/out", f"{folder}/state", 2
+            spark, f"{folder}/in", rows.schema, transform, f"{folder}/out", f"{folder}/state", files // 2
         )
 
     work_off()
@@ -392,13 +399,13 @@ def l10_stream_attempts(spark, sf):
     """The tries as files in any order; a heartbeat behind the last one settles all records."""
     folder = work_dir(spark, "tries")
     log = inputs.attempt_log(spark, sf)
-    log.repartition(3).write.parquet(f"{folder}/in")
+    files = _arriving(log, f"{folder}/in", 3, 250_000)
     beat = log.agg((F.max("ts") + F.expr("INTERVAL 20000 DAYS")).alias("ts"))
     beat = beat.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema])
     beat.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     pause = 86400.0 * 5000
     settle = lambda rows: settle_attempts(rows, "record_id", "ts", "event_id", "5000 days", pause, pause)
-    return process_arrivals(spark, f"{folder}/in", log.schema, settle, f"{folder}/out", f"{folder}/state", 2)
+    return process_arrivals(spark, f"{folder}/in", log.schema, settle, f"{folder}/out", f"{folder}/state", files * 2 // 3)
 
 
 @query(
@@ -411,10 +418,10 @@ def k2_stream_once(spark, sf):
     folder = work_dir(spark, "once")
     rows = table(spark, sf, "documents").selectExpr("doc_id", "timestamp_seconds(1700000000 + pmod(doc_id, 60)) AS arrived")
     for _ in range(2):
-        rows.repartition(3).write.mode("append").parquet(f"{folder}/in")
+        files = _arriving(rows, f"{folder}/in", 3, 250_000)
     settled = table(spark, sf, "labels")
     once = lambda df: first_arrivals(df, "doc_id", "arrived", "1 day", settled).select("doc_id")
-    return process_arrivals(spark, f"{folder}/in", rows.schema, once, f"{folder}/out", f"{folder}/state", 2)
+    return process_arrivals(spark, f"{folder}/in", rows.schema, once, f"{folder}/out", f"{folder}/state", files * 2 // 3)
 
 
 @query("k7_stored_progress", PROGRESS_SQL)

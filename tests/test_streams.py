@@ -82,3 +82,13 @@ def test_stored_progress_counts_each_file_once(spark, folder, labels):
     # counted twice by two looks at once
     spark.read.parquet(ledger).limit(1).write.mode("append").parquet(ledger)
     assert look()["processed"] == 6
+
+
+def test_arriving_files_grow_in_number_not_in_size(spark, folder):
+    from catalog.storage import _arriving
+
+    rows = spark.range(1000)
+    assert _arriving(rows, f"{folder}/few", 4, 20_000) == 4 and _arriving(rows, f"{folder}/many", 4, 50) == 20
+    for name, files in (("few", 4), ("many", 20)):
+        stored = spark.read.parquet(f"{folder}/{name}")
+        assert len(stored.inputFiles()) == files and stored.count() == 1000

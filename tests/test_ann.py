@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,18 @@ def test_other_sizes_are_refused(spark, clouds, tmp_path):
     mixed = clouds.select("vec_id", "embedding").union(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"))
     with pytest.raises(ValueError, match="sizes 1 to 16"):
         ann.build_index(mixed, str(tmp_path))
+
+
+def test_products_with_centres_and_queries_stay_bounded(spark, folder, monkeypatch):
+    """However many cells and queries there are, no product holds more than CELLS numbers, and results stay."""
+    assert [b.num_rows for b in ann._pieces([pa.table({"x": list(range(10))}).to_batches()[0]], ann.CELLS // 4)] == [4, 4, 2]
+    rows = [(i, [float(np.sin(i * j + j)) for j in range(1, 9)]) for i in range(400)]
+    stored = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = stored.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    ann.build_index(stored, folder, settings=ann.IndexSettings(cells=20))
+    want = sorted(map(tuple, search.top_k(stored, asked, 5).select("query_id", "vec_id", "rank").collect()))
+    monkeypatch.setattr(ann, "CELLS", 64)  # the driver's steps; a task's own come with the module
+    found = ann.search_index(spark, folder, asked, 5, probes=2, exact=True)
+    assert sorted(map(tuple, found.select("query_id", "vec_id", "rank").collect())) == want
+    parts = ann._by_cell(np.array([0, 0, 1, 2]), np.array([5, 3, 5, 3]))
+    assert {c: q.tolist() for c, q in parts.items()} == {3: [0, 2], 5: [0, 1]} and ann._by_cell(np.array([], int), np.array([], int)) == {}

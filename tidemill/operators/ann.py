@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.functions.vectors import certainty
-from tidemill.operators.search import QUERY_BYTES, _query_blocks, top_k
+from tidemill.operators.search import CELLS, QUERY_BYTES, _query_blocks, top_k
 from tidemill.session import work_dir
 
 NO_CELL = -1
@@ -116,7 +116,7 @@ def _probes_for(usable, stored, centres, key, column, n, s) -> int:
     exact = top_k(usable.withColumnRenamed(column, "_vector"), asked, s.tuning_k, key, "_query", "_vector")
     cells = exact.select("_query", key).join(stored.select(key, "cell"), key).select("_query", "cell").collect()
     data = np.array([row["_vector"] for row in rows], "float64")
-    place = np.argsort(np.argsort(-(data @ centres.T), axis=1, kind="stable"), axis=1)
+    place = np.argsort(np.argsort(-(data @ centres.T), axis=1, kind="stable"), axis=1)  # a bounded sample of queries
     number = {row["_query"]: i for i, row in enumerate(rows)}
     needed = np.sort([place[number[row["_query"]], row["cell"]] for row in cells])
     return int(needed[max(0, int(np.ceil(s.recall * len(needed))) - 1)]) + 1 if len(needed) else 1
@@ -164,6 +164,14 @@ def _matrix(column):
     return data / np.linalg.norm(data, axis=1, keepdims=True)
 
 
+def _pieces(batches, width):
+    """Batches cut so that a product with `width` columns stays bounded, however many cells or queries there are."""
+    step = max(1, CELLS // max(1, width))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def _partial_sums(sent):
     def run(batches):
         import numpy as np
@@ -171,9 +179,7 @@ def _partial_sums(sent):
 
         centres = sent.value
         totals, counts = np.zeros(centres.shape), np.zeros(len(centres), "int64")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches, len(centres)):
             data = _matrix(batch.column(0))
             cell = (data @ centres.T).argmax(axis=1)
             order = np.argsort(cell, kind="stable")
@@ -200,7 +206,7 @@ def _place(vectors, column, centres):
         import pyarrow as pa
 
         centres = sent.value
-        for batch in batches:
+        for batch in _pieces(batches, len(centres)):
             usable = np.array(batch.column(batch.num_columns - 1).to_pylist(), bool)
             cell, angle = np.full(batch.num_rows, NO_CELL, "int32"), np.full(batch.num_rows, np.nan)
             if usable.any():
@@ -256,11 +262,11 @@ def _search_block(spark, path, block, centres, radius, k, probes, key, query_key
     middle = np.array([row["centre"] for row in centres], "float64")
     matrix = np.array([row[column] for row in rows], "float64")
     unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if ids else matrix
-    wanted = np.zeros((len(ids), len(centres)), bool)
+    step, pairs = max(1, CELLS // max(1, len(centres))), []  # never all queries against all centres at once
+    first = np.zeros((0, 0), "int32")
     if len(ids) and len(centres):
-        near = unit @ middle.T
-        first = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-        np.put_along_axis(wanted, first, True, axis=1)
+        first = np.concatenate([np.argsort(-(unit[i : i + step] @ middle.T), axis=1, kind="stable")[:, :probes].astype("int32") for i in range(0, len(ids), step)])
+    wanted = _by_cell(np.repeat(np.arange(len(ids)), first.shape[1]), first.ravel())
     found = _probe(vectors, ids, unit, wanted, k, key, query_key, column, block)
     if exact and len(ids) and len(centres):
         # the k-th distance so far bounds the angle within which something nearer may lie
@@ -271,10 +277,15 @@ def _search_block(spark, path, block, centres, radius, k, probes, key, query_key
         edge = {r[query_key]: r["edge"] for r in found.filter(F.col("rank") == k).select(query_key, F.col("distance").alias("edge")).collect()}
         limit = np.arccos(np.clip(1.0 - np.array([edge.get(i, 2.0) for i in ids]) - SLACK, -1, 1))
         reach = np.array([radius.get(c, -1.0) for c in range(len(centres))])
-        lowest = np.arccos(np.clip(unit @ middle.T, -1, 1)) - reach - SLACK
-        more = (lowest <= limit[:, None] + SLACK) & ~wanted & (reach >= 0)
-        if more.any():
-            rest = _probe(vectors, ids, unit, more, k, key, query_key, column, block)
+        for i in range(0, len(ids), step):
+            lowest = np.arccos(np.clip(unit[i : i + step] @ middle.T, -1, 1)) - reach - SLACK
+            more = (lowest <= limit[i : i + step, None] + SLACK) & (reach >= 0)
+            np.put_along_axis(more, first[i : i + step].astype("int64"), False, axis=1)
+            query, cell = more.nonzero()
+            pairs.append(((query + i).astype("int32"), cell.astype("int32")))
+        rest = _by_cell(*map(np.concatenate, zip(*pairs)))
+        if rest:
+            rest = _probe(vectors, ids, unit, rest, k, key, query_key, column, block)
             found = found.select(rest.columns).union(rest)
         else:
             found = found.drop("certainty", "rank")
@@ -287,9 +298,19 @@ def _ranked(found, k, key, query_key):
     return best.select(query_key, key, "distance", certainty("distance").alias("certainty"), "rank")
 
 
+def _by_cell(queries, cells) -> dict:
+    """cell -> the numbers of the queries that want it, ascending."""
+    import numpy as np
+
+    order = np.lexsort((queries, cells))
+    found, at = np.unique(cells[order], return_index=True)
+    parts = np.split(queries[order].astype("int32"), at[1:]) if len(found) else []
+    return dict(zip(found.tolist(), parts))
+
+
 def _probe(vectors, ids, unit, wanted, k, key, query_key, column, block):
     """Each task's own k nearest of every query among the cells that the query wants."""
-    cells = [int(c) for c in wanted.any(axis=0).nonzero()[0]]
+    cells = list(wanted)
     schema = T.StructType(
         [
             T.StructField(query_key, block.schema[query_key].dataType),
@@ -312,16 +333,19 @@ def _probe(vectors, ids, unit, wanted, k, key, query_key, column, block):
             data, keys = _matrix(batch.column(1)), np.array(batch.column(0).to_pylist(), dtype=object)
             cell = batch.column(2).to_numpy()
             for c in np.unique(cell):
-                own, asked = np.flatnonzero(cell == c), np.flatnonzero(wanted[:, c])
-                distances = np.round(1.0 - unit[asked] @ data[own].T, 12) + 0.0
-                for i, row in zip(asked.tolist(), distances):
-                    if len(row) > k:
-                        near = row <= np.partition(row, k - 1)[k - 1]
-                        row, mine = row[near], keys[own][near]
-                    else:
-                        mine = keys[own]
-                    both = [*best.get(i, []), *zip(row.tolist(), mine.tolist())]
-                    best[i] = sorted(both)[:k]
+                own, every = np.flatnonzero(cell == c), wanted[c]
+                step = max(1, CELLS // len(own))
+                for start in range(0, len(every), step):
+                    asked = every[start : start + step]
+                    distances = np.round(1.0 - unit[asked] @ data[own].T, 12) + 0.0
+                    for i, row in zip(asked.tolist(), distances):
+                        if len(row) > k:
+                            near = row <= np.partition(row, k - 1)[k - 1]
+                            row, mine = row[near], keys[own][near]
+                        else:
+                            mine = keys[own]
+                        both = [*best.get(i, []), *zip(row.tolist(), mine.tolist())]
+                        best[i] = sorted(both)[:k]
         for i, pairs in best.items():
             yield pa.RecordBatch.from_pydict(
                 {query_key: [ids[i]] * len(pairs), key: [p[1] for p in pairs], "distance": [p[0] for p in pairs]}, schema=arrow_schema

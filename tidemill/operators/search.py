@@ -111,10 +111,11 @@ def _query_blocks(queries, query_key, column, query_bytes) -> tuple[int, Iterato
 
 def _nearest(vectors, queries, k, key, query_key, column):
     """The best k per query within each task's own vectors, and the block as it was sent."""
+    import numpy as np
+
     rows = queries.collect()  # one block, bounded by query_bytes
-    sent = vectors.sparkSession.sparkContext.broadcast(
-        ([row[query_key] for row in rows], [list(row[column]) for row in rows])
-    )
+    matrix = np.array([row[column] for row in rows], dtype="float64").reshape(len(rows), -1)
+    sent = vectors.sparkSession.sparkContext.broadcast(([row[query_key] for row in rows], matrix))
     schema = T.StructType(
         [
             T.StructField(query_key, queries.schema[query_key].dataType),
@@ -137,9 +138,8 @@ def _nearest(vectors, queries, k, key, query_key, column):
         import pyarrow.compute as pc
 
         ids, matrix = sent.value
-        queried = np.asarray(matrix, dtype="float64").reshape(len(ids), -1)
-        lengths = np.linalg.norm(queried, axis=1, keepdims=True)
-        unit = queried / np.where(lengths == 0, np.nan, lengths)
+        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+        unit = matrix / np.where(lengths == 0, np.nan, lengths)
         best = [(np.empty(0), None) for _ in ids]
         step = max(1, cells // max(1, len(ids)))
         for batch in pieces(batches, step):

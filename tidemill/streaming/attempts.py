@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -52,10 +54,14 @@ def settle_attempts(
         spent = [t[5] for t in tries[: stop + 1] if t[5] is not None]
         row = [
             record, "success" if good else "failed", None if good else tries[stop][3], None if good else tries[stop][4],
-            stop + 1, not good, sum(spent) if spent else None,
+            stop + 1, not good, pd.array([sum(spent) if spent else None], dtype="Int64"),
         ]
         names = [key, "status", "error_type", "error_message", "attempts", "fallback_used", "duration_ms"]
-        return pd.DataFrame([row], columns=names).astype({"duration_ms": "Int64"})
+        return pd.DataFrame({name: value if name == "duration_ms" else [value] for name, value in zip(names, row)})
+
+    def listed(chunk: pd.DataFrame, column: str) -> list:
+        # a missing value is None or not equal to itself; plain lists cost far less per record than frames
+        return [None if x is None or x != x else x for x in chunk[column].tolist()]
 
     def wake(state, at: int) -> None:
         state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
@@ -77,9 +83,8 @@ def settle_attempts(
             wake(state, state.getCurrentWatermarkMs() + int(forget * 1000))
             return
         for chunk in chunks:
-            chunk = chunk[columns].astype(object).where(chunk[columns].notna(), None)
-            tries += [[*t[:5], None if t[5] is None else int(t[5])] for t in chunk.itertuples(index=False, name=None)]
-            tries = sorted(tries, key=lambda t: (t[0], t[1]))[:max_attempts]
+            fresh = ([*t[:5], None if t[5] is None else int(t[5])] for t in zip(*(listed(chunk, c) for c in columns)))
+            tries = heapq.nsmallest(max_attempts, itertools.chain(tries, fresh), key=lambda t: (t[0], t[1]))
         state.update((False, json.dumps(tries)))
         stop = ending(tries)
         pause = 0 if stop is not None else min(base * 2 ** len(tries), ceiling)

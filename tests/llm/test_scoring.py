@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tidemill.llm import scoring
@@ -142,3 +143,40 @@ def test_words_of_odd_rows(spark, odd, empty):
     marks = spark.createDataFrame([(6,)], "doc_id long")
     assert len(scoring.score_words(odd, "doc_id", "text", marks, "doc_id").collect()) == odd.count()
     assert scoring.score_words(empty, "doc_id", "text", marks, "doc_id").count() == 0
+
+
+def test_word_tables_lie_on_disk_part_by_part(spark, monkeypatch):
+    """Never all n-grams of the corpus at a time, and nothing but the result in the end."""
+    rows = [(i, " ".join(f"w{i * k % 97}" for k in range(1, 60))) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {pair for _, t in rows for pair in zip(["", *t.split()], t.split())}
+    held, most, write, delete = {}, [0], scoring.materialize, scoring.release
+
+    def written(table, label):
+        out = write(table, label)
+        held[out.written_path] = 0 if label in ("lm-rows", "lm-scores") else out.count()
+        most[0] = max(most[0], sum(held.values()))
+        return out
+
+    def released(*tables):
+        for table in tables:
+            held.pop(table.written_path)
+        delete(*tables)
+
+    monkeypatch.setattr(scoring, "materialize", written)
+    monkeypatch.setattr(scoring, "numbered", lambda t, label: written(t.selectExpr("*", "monotonically_increasing_id() AS _row"), label))
+    monkeypatch.setattr(scoring, "release", released, raising=False)
+    got = scoring.score_words(df, "doc_id", "text", spark.createDataFrame([(1,)], "doc_id long"), "doc_id")
+    want = brute_words(rows, {1}, 2)
+    assert all([r["target_loss"], r["background_loss"]] == pytest.approx(want[r["doc_id"]]) for r in got.collect())
+    assert most[0] < len(pairs) and len(held) == 1
+
+
+def test_word_codes_are_of_whole_words():
+    texts = [" a  b\x0bc ", "", None, "\n", "x\x1cy z", "ab", "cd", "é" * 100 + " " + "q" * 513, "q" * 512, "12345678", "123456789 12345678 a"]
+    words = [(t or "").encode().split() for t in texts]
+    for array in (pa.array(texts), pa.array(["z", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        codes, counts = scoring.word_codes(array)
+        assert counts.tolist() == [len(w) for w in words]
+        flat = [w for own in words for w in own]
+        assert len(set(zip(flat, codes.tolist()))) == len(set(flat)) == len(set(codes.tolist()))

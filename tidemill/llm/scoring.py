@@ -9,8 +9,11 @@ per-token losses, target minus background: low scores look like the target.
 
 N-grams of words are 64-bit codes in tables that grow with the corpus: counts, contexts and
 losses are made by grouping and joining, and documents are joined with the losses of their
-n-grams. Only n-grams that make up more than a millionth of all tokens, of which there are
-few, are looked up on the spot, so no code of the join has more than that share of the rows.
+n-grams. Only what makes up more than a millionth of all tokens, of which there is little, is
+broadcast or looked up on the spot, so no code of a join has more than that share of the rows.
+Contexts are dealt into parts by their code. One part after the other is counted, joined with
+the documents and added up, and its tables are deleted, so that only a part's share of the
+n-grams is on disk at a time; every part reads the texts again.
 The uniform distribution is over all words of the corpus. Tables of bytes are bounded by the
 vocabulary, 257 x 256 x 256 trigrams at most; tasks send the n-grams that they saw, added up.
 
@@ -24,19 +27,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, slices
-from tidemill.llm.neardup import PRIME, _mix, _word_codes
+from tidemill.llm.common import materialize, numbered, release, slices
+from tidemill.llm.neardup import PRIME, _mix
 
 START = 256
 BASE = 257
 ORDER = 3
 PIECE = 1 << 20
+#: words are coded in pieces of so many bytes of text, which stay in a processor's cache
+NEAR = 1 << 17
+#: longer words, in bytes, are coded one by one
+LONG = 512
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @dataclass(frozen=True)
@@ -45,6 +55,7 @@ class LmSettings:
     order: int = 2  # of the word models
     frequent: int = 1 << 20  # an n-gram with more than one of so many tokens is looked up, not joined
     piece: int = 16 << 20  # bytes of text that a task works on at a time
+    parts: int = 8  # contexts are dealt into so many parts, of which one is on disk at a time
 
 
 def trigrams(data: bytes) -> Iterator[np.ndarray]:
@@ -163,126 +174,192 @@ def score(docs: DataFrame, key: str, text: str, targets: DataFrame, target_key:
     return rows.mapInArrow(measure, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
-def word_grams(text: str | None, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Codes of the n-grams that end at each word of a text, and of their contexts, for n = 1 to `order`."""
-    found = text.encode().split() if text else []
-    own = _word_codes(found) if found else np.zeros(0, np.uint64)
-    padded = np.concatenate((np.zeros(order - 1, np.uint64), own))
-    grams, contexts = [], []
-    for n in range(1, order + 1):
-        context = np.full(len(own), n, np.uint64)
-        for back in range(n - 1, 0, -1):
-            context = _mix(context * PRIME + padded[order - 1 - back : len(padded) - back])
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of the words of all texts in order, the same on every machine, and the number of words of each text."""
+    texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    solid = (data != 32) & ((data - np.uint8(9)) > 4)
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    full = offsets[:-1] < offsets[1:]
+    for ends, at in ((first, offsets[:-1][full]), (last, offsets[1:][full] - 1)):  # no word goes on in the next text
+        ends[at] = solid[at]
+    starts = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - starts
+    eights = np.zeros(len(data) // 8 + 3, "<u8")
+    eights.view(np.uint8)[: len(data)] = data
+    codes = _mix(sizes.astype(np.uint64))
+    mine, at, left = np.arange(len(starts)), starts, sizes
+    for _ in range(LONG // 8):  # eight bytes of every word that has as many left
+        shift, cell = (at.astype(np.uint64) & np.uint64(7)) << np.uint64(3), at >> 3
+        eight = (eights[cell] >> shift) | ((eights[cell + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        codes[mine] = _mix((codes[mine] ^ (eight & LOW_BYTES[np.minimum(left, 8)])) * PRIME)
+        more = left > 8
+        mine, at, left = mine[more], at[more] + 8, left[more] - 8
+        if not len(mine):
+            break
+    for i in np.flatnonzero(sizes > LONG):
+        word = data[starts[i] : starts[i] + sizes[i]].tobytes()
+        codes[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+    return codes, np.diff(np.searchsorted(starts, offsets))
+
+
+def word_grams(batch: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of the column text the code of its context, `order` - 1 words, and that of the n-gram one shorter; words per text.
+
+    Their exclusive or is the n-gram's own code; that of a word alone has no context and is as it is.
+    """
+    contexts, grams, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for piece in slices([batch], "text", NEAR):
+        own, counts = word_codes(piece.column("text"))
+        ahead = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)  # words of the text before this one
+        context, gram = np.zeros(len(own), np.uint64), own
+        for n in range(2, order + 1):
+            gram, context = gram ^ context, np.full(len(own), n, np.uint64)
+            for back in range(n - 1, 0, -1):
+                word = np.zeros(len(own), np.uint64)  # the start mark
+                word[back:] = np.where(ahead[back:] >= back, own[: max(len(own) - back, 0)], 0)
+                context = _mix(context * PRIME + word)
         contexts.append(context)
-        grams.append(_mix(context * PRIME + own))
-    return grams, contexts
+        grams.append(gram)
+        sizes.append(counts)
+    return np.concatenate(contexts), np.concatenate(grams), np.concatenate(sizes)
+
+
+def _mine(contexts: np.ndarray, part: int, s: LmSettings) -> np.ndarray:
+    return contexts % np.uint64(s.parts) == part
 
 
-def count_words(rows: DataFrame, s: LmSettings) -> DataFrame:
-    """g1 to gN, x2 to xN, t, b: every n-gram of the highest order with its parts and its counts in target rows and in others."""
-    parts = [f"g{n}" for n in range(1, s.order + 1)] + [f"x{n}" for n in range(2, s.order + 1)]
+def count_words(rows: DataFrame, n: int, s: LmSettings, part: int = 0) -> DataFrame:
+    """x, g, t, b: n-grams by the codes of `word_grams`, with their counts in target rows and in others; from 2 on those of a part."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", s.piece):
-            columns, flags = [[np.zeros(0, np.uint64)] for _ in parts], [np.zeros(0, bool)]
-            for value, target in zip(batch.column("text"), batch.column("target").to_pylist()):
-                grams, contexts = word_grams(value.as_py(), s.order)
-                for column, codes in zip(columns, grams + contexts[1:]):
-                    column.append(codes)
-                flags.append(np.full(len(grams[0]), target))
-            whole, flag = [np.concatenate(c) for c in columns], np.concatenate(flags)
-            _, first, place = np.unique(whole[s.order - 1], return_index=True, return_inverse=True)
-            counts = (np.bincount(place[mine], minlength=len(first)).astype(np.int64) for mine in (flag, ~flag))
-            arrays = [pa.array(c[first].view(np.int64)) for c in whole] + [pa.array(c) for c in counts]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*parts, "t", "b"])
-
-    counted = rows.mapInArrow(count, ", ".join(f"{c} long" for c in [*parts, "t", "b"]))
-    return _summed(counted, f"g{s.order}")
-
-
-def _summed(counted: DataFrame, gram: str) -> DataFrame:
-    rest = [c for c in counted.columns if c not in (gram, "t", "b")]
-    return counted.groupBy(gram).agg(*(F.first(c).alias(c) for c in rest), F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def word_losses(top: DataFrame, s: LmSettings) -> DataFrame:
-    """g, n, target_loss, background_loss of every n-gram of the highest order, in bits."""
-    levels = [top]
-    for n in range(s.order - 1, 0, -1):
-        lower = levels[0].drop(f"g{n + 1}", f"x{n + 1}")
-        levels.insert(0, materialize(_summed(lower, f"g{n}"), "lm-words" if n == 1 else "lm-grams"))
-    kinds = [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in "tb"]
-    sizes = [F.sum(c).alias(f"{c}_size") for c in "tb"]
-
-    def smoothed(c: str, lower: Column) -> Column:
-        size = F.coalesce(F.col(f"{c}_size"), F.lit(0))
-        own = (F.greatest(F.col(c) - s.discount, F.lit(0.0)) + s.discount * F.col(f"{c}_kinds") * lower) / size
-        return F.when(size > 0, own).otherwise(lower)
-
-    whole = levels[0].agg(*sizes, *kinds, F.count("*").alias("words"))
-    known = levels[0].crossJoin(F.broadcast(whole))  # one row
-    known = known.select("g1", "t", "b", *(smoothed(c, 1 / F.col("words")).alias(f"{c}_p") for c in "tb"))
-    for n, level in enumerate(levels[1:], 2):
-        contexts = level.groupBy(f"x{n}").agg(*sizes, *kinds)
-        lower = known.select(f"g{n - 1}", F.col("t_p").alias("t_q"), F.col("b_p").alias("b_q"))
-        joined = level.join(contexts, f"x{n}").join(lower, f"g{n - 1}")
-        known = joined.select(f"g{n}", "t", "b", *(smoothed(c, F.col(f"{c}_q")).alias(f"{c}_p") for c in "tb"))
-    return known.select(
-        F.col(f"g{s.order}").alias("g"), (F.col("t") + F.col("b")).alias("n"),
-        (-F.log2("t_p")).alias("target_loss"), (-F.log2("b_p")).alias("background_loss"),
+            contexts, grams, sizes = word_grams(batch, n)
+            flag = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), sizes)
+            if n > 1:
+                mine = _mine(contexts, part, s)
+                contexts, grams, flag = contexts[mine], grams[mine], flag[mine]
+            _, first, place = np.unique(contexts ^ grams, return_index=True, return_inverse=True)
+            counts = (np.bincount(place[own], minlength=len(first)).astype(np.int64) for own in (flag, ~flag))
+            arrays = [pa.array(c[first].view(np.int64)) for c in (contexts, grams)] + [pa.array(c) for c in counts]
+            yield pa.RecordBatch.from_arrays(arrays, names=["x", "g", "t", "b"])
+
+    counted = rows.select("text", "target").mapInArrow(count, "x long, g long, t long, b long")
+    return counted.groupBy("x", "g").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _totals() -> list[Column]:
+    return [F.sum(c).alias(f"{c}_size") for c in "tb"] + [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in "tb"]
+
+
+def _smoothed(c: str, lower: Column, s: LmSettings) -> Column:
+    size = F.coalesce(F.col(f"{c}_size"), F.lit(0))
+    own = (F.greatest(F.col(c) - s.discount, F.lit(0.0)) + s.discount * F.col(f"{c}_kinds") * lower) / size
+    return F.when(size > 0, own).otherwise(lower)
+
+
+def _joined(rows: DataFrame, table: DataFrame, on: str, often: Column) -> DataFrame:
+    """An inner join; the rows of `table` that are met `often`, of which there are few, are broadcast."""
+    few = table.filter(often)
+    seldom = rows.join(F.broadcast(few.select(on)), on, "left_anti").join(table.filter(~often), on)
+    return rows.join(F.broadcast(few), on).unionByName(seldom)
+
+
+def word_model(words: DataFrame, s: LmSettings) -> DataFrame:
+    """g, n, t_p, b_p: probabilities of single words in both models, from their counts."""
+    whole = words.agg(*_totals(), F.count("*").alias("words"))
+    known = words.crossJoin(F.broadcast(whole))  # one row
+    return known.select("g", (F.col("t") + F.col("b")).alias("n"), *(_smoothed(c, 1 / F.col("words"), s).alias(f"{c}_p") for c in "tb"))
+
+
+def gram_model(rows: DataFrame, n: int, lower: DataFrame, total: int, s: LmSettings, part: int) -> DataFrame:
+    """Like `word_model`, written, for the n-grams of a part; `lower` has the probabilities of all that are one word shorter."""
+    level = materialize(count_words(rows, n, s, part), "lm-grams")
+    contexts = materialize(level.groupBy("x").agg(*_totals()), "lm-contexts")
+    joined = _joined(level, contexts, "x", (F.col("t_size") + F.col("b_size")) * s.frequent > total)
+    lower = lower.select("g", F.col("n").alias("n_q"), F.col("t_p").alias("t_q"), F.col("b_p").alias("b_q"))
+    joined = _joined(joined, lower, "g", F.col("n_q") * s.frequent > total)
+    known = joined.select(
+        F.col("x").bitwiseXOR(F.col("g")).alias("g"), (F.col("t") + F.col("b")).alias("n"),
+        *(_smoothed(c, F.col(f"{c}_q"), s).alias(f"{c}_p") for c in "tb"),
     )
+    written = materialize(known, "lm-model")
+    release(level, contexts)
+    return written
 
 
-def score_words(docs: DataFrame, key: str, text: str, targets: DataFrame, target_key: str, settings: LmSettings | None = None) -> DataFrame:
-    """Like `score`, with models of words; n_tokens counts words. Texts are told apart by 64-bit digests."""
-    s = settings or LmSettings()
-    marks = targets.select(F.col(target_key).alias("_mark")).filter("_mark is not null").distinct()
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    marked = rows.join(marks, F.col("doc_id") == F.col("_mark"), "left").select("text", F.col("_mark").isNotNull().alias("target"))
-    top = materialize(count_words(marked, s), "lm-top")
-    losses = materialize(word_losses(top, s), "lm-losses")
-    total = losses.agg(F.sum("n")).first()[0] or 0
+def _part_sums(rows: DataFrame, model: DataFrame, total: int, s: LmSettings, part: int) -> DataFrame:
+    """_row, n_tokens, t, b, written: for every text the losses, added up, of its n-grams of a part; part 0 has the number of words."""
     often = F.col("n") * s.frequent > total
-    table = losses.filter(often).toArrow().sort_by("g")  # fewer than `frequent` rows
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("g", "target_loss", "background_loss")))
+    losses = model.select("g", "n", *((-F.log2(f"{c}_p")).alias(f"{c}_loss") for c in "tb"))
+    table = losses.filter(often).toArrow().sort_by("g")  # fewer than `frequent` rows over all parts
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("g", "t_loss", "b_loss")))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, *known = shared.value
         for batch in slices(batches, "text", s.piece):
-            ids, rest, found, n_found = batch.column("id").to_numpy(), [], [], []
-            for value in batch.column("text"):
-                grams = word_grams(value.as_py(), s.order)[0][-1].view(np.int64)
-                at = np.minimum(np.searchsorted(codes, grams), max(len(codes) - 1, 0))
-                hit = codes[at] == grams if len(codes) else np.zeros(len(grams), bool)
-                found.append([float(loss[at[hit]].sum()) for loss in known])
-                n_found.append(int(hit.sum()))
-                rest.append(grams[~hit])
-            sums = np.array(found, float).reshape(-1, 2)
-            left = np.repeat(ids, [len(r) for r in rest])
-            n = len(left)
-            # one row for each text, then one for each n-gram that is still to be joined; no n-gram is null
+            contexts, grams, sizes = word_grams(batch, s.order)
+            place = np.repeat(np.arange(len(sizes)), sizes)
+            if s.order > 1:
+                mine = _mine(contexts, part, s)
+                contexts, grams, place = contexts[mine], grams[mine], place[mine]
+            grams = (contexts ^ grams).view(np.int64)
+            at = np.minimum(np.searchsorted(codes, grams), max(len(codes) - 1, 0))
+            hit = codes[at] == grams if len(codes) else np.zeros(len(grams), bool)
+            found = [np.bincount(place[hit], weights=loss[at[hit]], minlength=len(sizes)) for loss in known]
+            ids, rest = batch.column("_row").to_numpy(), grams[~hit]
+            # one row for each text, under any code, then one for each n-gram that is still to be joined
+            spread = _mix(ids.view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate((ids, left))),
-                    pa.array(np.concatenate((ids, *rest))),
-                    pa.array(np.concatenate((np.ones(len(ids), np.int32), np.zeros(n, np.int32)))),
-                    pa.array(np.concatenate((np.array(n_found, np.int32), np.ones(n, np.int32)))),
-                    *(pa.array(np.concatenate((sums[:, i], np.zeros(n)))) for i in (0, 1)),
+                    pa.array(np.concatenate((ids, ids[place[~hit]]))),
+                    pa.array(np.concatenate((spread, rest))),
+                    pa.array(np.concatenate((sizes if part == 0 else np.zeros_like(sizes), np.zeros(len(rest), np.int64)))),
+                    *(pa.concat_arrays([pa.array(f, pa.float64()), pa.nulls(len(rest), pa.float64())]) for f in found),
                 ],
-                names=["id", "g", "texts", "n_tokens", "t", "b"],
+                names=["_row", "g", "n_tokens", "t", "b"],
             )
 
-    mapped = rows.select(F.xxhash64("text").alias("id"), "text").mapInArrow(look_up, "id long, g long, texts int, n_tokens int, t double, b double")
-    seldom = losses.filter(~often).select("g", "target_loss", "background_loss")
-    joined = mapped.join(seldom, "g", "left")
-    pick = lambda sum_, loss: F.when(F.col("texts") == 1, F.col(sum_)).otherwise(F.col(loss))
-    # copies of a text add up to its mean
-    per_text = joined.groupBy("id").agg(
-        F.sum("texts").alias("texts"), F.sum("n_tokens").alias("n"), F.sum(pick("t", "target_loss")).alias("t"), F.sum(pick("b", "background_loss")).alias("b")
-    )
-    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
-    per_text = per_text.select(
-        "id", (F.col("n") / F.col("texts")).cast("long").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss")
-    )
-    scored = rows.select("doc_id", F.xxhash64("text").alias("id")).join(per_text, "id", "left").drop("id")
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    mapped = rows.select("_row", "text").mapInArrow(look_up, "_row long, g long, n_tokens long, t double, b double")
+    joined = mapped.join(losses.filter(~often).drop("n").hint("shuffle_hash"), "g", "left")
+    sums = joined.groupBy("_row").agg(F.sum("n_tokens").alias("n_tokens"), *(F.sum(F.coalesce(c, f"{c}_loss")).alias(c) for c in "tb"))
+    written = materialize(sums, "lm-sums")
+    shared.destroy()
+    return written
+
+
+def score_words(docs: DataFrame, key: str, text: str, targets: DataFrame, target_key: str, settings: LmSettings | None = None) -> DataFrame:
+    """Like `score`, with models of words; n_tokens counts words."""
+    s = settings or LmSettings()
+    marks = targets.select(F.col(target_key).alias("_mark")).filter("_mark is not null").distinct()
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    marked = rows.join(marks, F.col("doc_id") == F.col("_mark"), "left").select("doc_id", "text", F.col("_mark").isNotNull().alias("target"))
+    rows = numbered(marked, "lm-rows")
+    words = materialize(count_words(rows, 1, s), "lm-words")
+    total = words.agg(F.sum(F.col("t") + F.col("b"))).first()[0] or 0
+    lower = materialize(word_model(words, s), "lm-model")
+    release(words)
+    used = [lower]
+    for n in range(2, s.order):
+        models = [gram_model(rows, n, lower, total, s, part) for part in range(s.parts)]
+        lower, used = reduce(DataFrame.union, models), used + models
+    sums = []
+    for part in range(s.parts if s.order > 1 else 1):
+        model = gram_model(rows, s.order, lower, total, s, part) if s.order > 1 else lower
+        sums.append(_part_sums(rows, model, total, s, part))
+        if model is not lower:
+            release(model)
+    release(*used)
+    added = reduce(DataFrame.union, sums).groupBy("_row").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "t", "b")))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    scored = rows.select("_row", "doc_id").join(added, "_row")
+    scored = scored.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    written = materialize(scored.withColumn("score", F.col("target_loss") - F.col("background_loss")), "lm-scores")
+    release(rows, *sums)
+    return written

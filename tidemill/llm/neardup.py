@@ -28,7 +28,6 @@ result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -38,11 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, materialize, release
+from tidemill.llm.common import components, materialize, release, slices
 
-BLANKS = re.compile(r"[\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)  # of bytes: A-Z and nothing else
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+PLACES = 64  # of a word, whose terms are looked up
+SLICE = 512 << 10  # bytes of text whose arrays are made at once, one text at least
+CELL = ["key", "low", "high"]
 SKETCHES = ["k0", "k1", "k2"]  # 64 values of the 1-bit signature each
 
 
@@ -59,6 +61,7 @@ class NearSettings:
     fine_distance: int = 280  # of them that may differ; 0.8 differs in 205 +- 14, 0.7 in 307 +- 16
     pivots: int = 2  # rounds of comparing with one member
     listed: int = 250_000  # ids that may be broadcast; more go through a shuffle
+    block: int = 8192  # rows of a key that are compared in one task; more go in pairs of blocks
     held: int = 16 << 20  # bytes of sets that may be broadcast; more go through a shuffle
     seed: int = 5
 
@@ -78,28 +81,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_codes(found: list[bytes]) -> np.ndarray:
-    """64-bit codes of words, the same on every machine."""
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    data = np.frombuffer(b"".join(found), np.uint8).astype(np.uint64)
-    starts = np.cumsum(sizes) - sizes
-    place = (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.uint64)
-    terms = _mix((place << np.uint64(8)) + data + np.uint64(1))
-    return _mix(np.add.reduceat(terms, starts) + sizes.astype(np.uint64))
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit codes of a text's word shingles."""
-    found = text.translate(LOWER).encode().split() if text else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    codes = _word_codes(found)
-    size = min(size, len(codes))
-    mixed = np.full(len(codes) - size + 1, np.uint64(size))
+TERMS = _mix(np.arange(PLACES << 8, dtype=np.uint64) + np.uint64(1))
+
+def _word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of the words of all texts, the same on every machine, and where each text's begin."""
+    texts, n = texts.cast(pa.string()).fill_null(""), len(texts)
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds -= bounds[0]
+    letter = ~BLANK[data]
+    head = letter.copy()
+    head[1:] &= ~letter[:-1]
+    begins = bounds[:-1][bounds[:-1] < bounds[1:]]
+    head[begins] = letter[begins]
+    heads = np.flatnonzero(head)
+    if not len(heads):
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    places = np.flatnonzero(letter)
+    data, starts = LOWER[data[places]], np.flatnonzero(head[places])
+    sizes = np.diff(starts, append=len(places))
+    places -= np.repeat(heads, sizes)
+    if sizes.max() <= PLACES:
+        terms = TERMS[(places << 8) + data]
+    else:
+        terms = _mix((places.astype(np.uint64) << np.uint64(8)) + data + np.uint64(1))
+    return _mix(np.add.reduceat(terms, starts) + sizes.astype(np.uint64)), np.searchsorted(heads, bounds)
+
+
+def _shingles(codes: np.ndarray, size: int) -> np.ndarray:
+    """The code of every run of `size` words."""
+    mixed = np.full(max(0, len(codes) - size + 1), np.uint64(size))
     for k in range(size):
         mixed = (mixed ^ codes[k : k + len(mixed)]) * PRIME
         mixed = mixed ^ (mixed >> np.uint64(29))
-    return np.unique(_mix(mixed))
+    return _mix(mixed)
+
+
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit codes of each text's word shingles, one text after the other, and where each text's begin."""
+    words, at = _word_codes(texts)
+    counts = np.diff(at)
+    runs = np.where(counts < size, counts > 0, counts - size + 1)
+    ends = np.cumsum(runs)
+    full, starts = np.flatnonzero(runs), ends - runs
+    every, codes = _shingles(words, size), np.empty(int(runs.sum()), np.uint64)
+    for i in full:
+        own = codes[starts[i] : ends[i]]
+        own[:] = every[at[i] : at[i] + runs[i]] if counts[i] >= size else _shingles(words[at[i] : at[i + 1]], int(counts[i]))
+        own.sort()
+    fresh = np.ones(len(codes), bool)
+    fresh[1:] = codes[1:] != codes[:-1]
+    fresh[starts[full]] = True
+    return codes[fresh], np.concatenate([[0], np.cumsum(fresh)])[np.concatenate([[0], ends]).astype(np.int64)]
 
 
 def _seeds(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,17 +141,41 @@ def _seeds(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
+def _minima(codes: np.ndarray, bounds: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> Iterator[np.ndarray]:
+    """The least value of each hash function over each set; functions x sets, 64 functions at a time."""
+    full = np.flatnonzero(np.diff(bounds))
+    short = (codes >> np.uint64(32)).astype(np.uint32)
+    values = np.empty_like(short)
+    for at in range(0, len(factors), 64):
+        least = np.full((len(factors[at : at + 64]), len(bounds) - 1), 0xFFFFFFFF, np.uint32)
+        for row, factor, shift in zip(least, factors[at:], shifts[at:]):
+            if len(full):
+                np.multiply(np.bitwise_xor(short, shift, out=values), factor, out=values)
+                row[full] = np.minimum.reduceat(values, bounds[full])
+        yield _mix(least.astype(np.uint64) + np.uint64(1))
+
+
 def minima(codes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over a set, in blocks of bounded size."""
-    least, short = np.full(len(factors), 0xFFFFFFFF, np.uint32), (codes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), 1024):
-        values = (short[None, at : at + 1024] ^ shifts[:, None]) * factors[:, None]
-        np.minimum(least, values.min(axis=1), out=least)
-    return _mix(least.astype(np.uint64) + np.uint64(1))
+    """The least value of each hash function over a set."""
+    return np.concatenate([x[:, 0] for x in _minima(codes, np.array([0, len(codes)]), factors, shifts)])
+
+
+def _bits(least: Iterator[np.ndarray]) -> np.ndarray:
+    """The lowest bit of every value, packed; sets x words of 64 bits."""
+    packed = [np.packbits((x & np.uint64(1)).astype(np.uint8), axis=0) for x in least]
+    return np.ascontiguousarray(np.concatenate(packed).T).view("<i8")
+
 
+def _digests(codes: np.ndarray, bounds: np.ndarray, salt: np.uint64) -> np.ndarray:
+    digests, full = np.zeros(len(bounds) - 1, np.uint64), np.flatnonzero(np.diff(bounds))
+    if len(full):
+        digests[full] = np.add.reduceat(_mix(codes * salt + salt), bounds[full])
+    return digests.astype(np.int64)
 
-def _digest(codes: np.ndarray, salt: np.uint64) -> int:
-    return int(_mix(codes * salt + salt).sum(dtype=np.uint64).astype(np.int64))
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(rows.ravel()))
 
 
 def signatures(docs: DataFrame, key: str, text: str, settings: NearSettings) -> DataFrame:
@@ -127,22 +185,14 @@ def signatures(docs: DataFrame, key: str, text: str, settings: NearSettings) ->
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _seeds(s.seed, s.values + 64 * len(SKETCHES))
         mask = np.uint64((1 << s.bits) - 1)
-        for batch in batches:
-            sizes, digests, values, sketches = [], ([], []), [], []
-            for value in batch.column("text"):
-                codes = shingle_set(value.as_py(), s.shingle)
-                least = minima(codes, factors, shifts)
-                sizes.append(len(codes))
-                for digest, salt in zip(digests, (PRIME, np.uint64(0xD6E8FEB86659FD93))):
-                    digest.append(_digest(codes, salt))
-                values.append((least[: s.values] & mask).astype(np.uint16).view(np.int16))
-                sketches.append(np.packbits((least[s.values :] & np.uint64(1)).astype(np.uint8)))
-            flat = np.concatenate([*values, np.zeros(0, np.int16)])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * s.values), pa.array(flat))
-            sketch = np.concatenate([*sketches, np.zeros(0, np.uint8)]).view("<i8").reshape(-1, len(SKETCHES))
+        for batch in slices(batches, "text", SLICE):
+            codes, bounds = shingle_sets(batch.column("text"), s.shingle)
+            values = np.concatenate(list(_minima(codes, bounds, factors[: s.values], shifts[: s.values])))
+            sketch = _bits(_minima(codes, bounds, factors[s.values :], shifts[s.values :]))
+            digests = [_digests(codes, bounds, salt) for salt in (PRIME, np.uint64(0xD6E8FEB86659FD93))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(d, pa.int64()) for d in digests), lists,
-                 *(pa.array(np.ascontiguousarray(k)) for k in sketch.T)],
+                [batch.column("doc_id"), pa.array(np.diff(bounds)), *map(pa.array, digests),
+                 _lists((values & mask).astype(np.uint16).view(np.int16).T), *(pa.array(np.ascontiguousarray(k)) for k in sketch.T)],
                 names=["doc_id", "n", "d0", "d1", "signature", *SKETCHES],
             )
 
@@ -169,16 +219,11 @@ def _fine(docs: DataFrame, ids: DataFrame, settings: NearSettings) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _seeds(s.seed + 1, s.fine)
-        for batch in batches:
-            digests, bits = [], [np.zeros(0, np.uint8)]
-            for value in batch.column("text"):
-                codes = shingle_set(value.as_py(), s.shingle)
-                digests.append(_digest(codes, PRIME))
-                bits.append(np.packbits((minima(codes, factors, shifts) & np.uint64(1)).astype(np.uint8)))
-            flat = pa.array(np.concatenate(bits).view("<i8"))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(digests) + 1, dtype=np.int32) * (s.fine // 64)), flat)
+        for batch in slices(batches, "text", SLICE):
+            codes, bounds = shingle_sets(batch.column("text"), s.shingle)
+            fine = _lists(_bits(_minima(codes, bounds, factors, shifts)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(digests, pa.int64()), lists], names=["doc_id", "d0", "fine"]
+                [batch.column("doc_id"), pa.array(_digests(codes, bounds, PRIME)), fine], names=["doc_id", "d0", "fine"]
             )
 
     rows = _listed(docs, ids, s).mapInArrow(measure, "doc_id long, d0 long, fine array<long>")
@@ -194,9 +239,11 @@ def _sets(docs: DataFrame, ids: DataFrame, settings: NearSettings) -> DataFrame:
     """(doc_id, codes) of the documents in `ids`, codes as bytes."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = [shingle_set(value.as_py(), settings.shingle).astype("<u8").tobytes() for value in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.binary())], names=["doc_id", "codes"])
+        for batch in slices(batches, "text", SLICE):
+            codes, bounds = shingle_sets(batch.column("text"), settings.shingle)
+            data, offsets = pa.py_buffer(codes.astype("<u8")), pa.py_buffer((8 * bounds).astype(np.int32))
+            sets = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, data])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "codes"])
 
     return _listed(docs, ids, settings).mapInArrow(measure, "doc_id long, codes binary")
 
@@ -304,27 +351,110 @@ def _cross_pairs(keyed: DataFrame, unique: DataFrame, docs: DataFrame, settings:
     ids = materialize(keyed.select("doc_id").distinct(), "apart-ids")
     fine_rows = materialize(_fine(docs, ids, settings), "fine")
     fine = unique.select("doc_id", "d0", "signature").join(fine_rows, ["doc_id", "d0"])
-    rows = keyed.join(fine, ["doc_id", "d0"])
-    a, b = rows.alias("a"), rows.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
-    words = range(settings.fine // 64)
-    distance = sum(F.bit_count(F.col("a.fine")[i].bitwiseXOR(F.col("b.fine")[i])) for i in words)
-    near = _close(settings, "a.", "b.") & (distance <= settings.fine_distance) & _first_shared(settings)
-    pairs = a.join(b, apart & near).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
+    rows = _cells(keyed, settings).join(fine, ["doc_id", "d0"]).drop("d0")
+    dealt = rows.repartition(*CELL).sortWithinPartitions(*CELL)
+    pairs = materialize(dealt.mapInArrow(_compared(settings), "a long, b long").distinct(), "pairs")
     release(fine_rows, ids)
     return pairs
 
 
+def _cells(keyed: DataFrame, settings: NearSettings) -> DataFrame:
+    """The rows of a key in cells: all pairs of `block` rows, or of two blocks, `own` the row's. Every pair of rows has one cell."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > settings.block)
+    blocks = F.coalesce(F.ceil(F.col("size") / settings.block), F.lit(1))
+    rows = keyed.join(F.broadcast(sizes), "key", "left").withColumn("blocks", blocks)  # one size for `block` rows at most
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    return rows.select("*", *cell).drop("size", "blocks", "other")
+
+
+def _compared(settings: NearSettings):
+    """For batches sorted by cell: (a, b) of the rows of a cell that the signatures hold for similar, from the first key they share."""
+    s = settings
+    kept_of = np.zeros((len(s.slots), s.values), np.float32)
+    for slot, (chunk, kept) in enumerate(s.slots):
+        kept_of[slot, [chunk * s.width + i for i in kept]] = 1
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole cells."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(c).to_numpy() for c in CELL])
+            last = held and [held[-1].column(c)[-1].as_py() for c in CELL]
+            changes = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+            if held and cell[:, :1].ravel().tolist() != last:
+                changes = np.concatenate([[0], changes])
+            if len(changes):
+                cut = int(changes[-1])
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cell = np.stack([rows.column(c).to_numpy() for c in CELL])
+        group = np.concatenate([[0], np.cumsum((cell[:, 1:] != cell[:, :-1]).any(axis=0))])
+        sizes = np.bincount(group)
+        order = np.argsort(-sizes[group], kind="stable")  # what is d rows apart in a cell lies in a prefix
+        group, sizes = group[order], -np.sort(-sizes)
+        ends = np.cumsum(sizes)
+        doc, component, n, own, slot = (rows.column(c).to_numpy()[order] for c in ("doc_id", "component", "n", "own", "slot"))
+        within = (cell[1] == cell[2])[order]
+        sketch = [rows.column(c).to_numpy()[order].view(np.uint64) for c in SKETCHES]
+        fine, signature = (
+            rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order] for c in ("fine", "signature")
+        )
+        fine = fine.view(np.uint64)
+        for apart in range(1, int(sizes[0])):
+            end = int(ends[np.searchsorted(-sizes, -apart) - 1])  # of the cells with more than `apart` rows
+            x, y = slice(0, end - apart), slice(apart, end)
+            distance = sum(np.bitwise_count(k[x] ^ k[y]) for k in sketch)
+            near = (distance <= s.sketch_distance) & (group[x] == group[y]) & (component[x] != component[y])
+            i = np.flatnonzero(near)
+            j = i + apart
+            i = i[similar := 100 * np.minimum(n[i], n[j]) >= s.similarity * np.maximum(n[i], n[j])]
+            j = j[similar]
+            if len(i):
+                kept = np.bitwise_count(fine[i] ^ fine[j]).sum(axis=1, dtype=np.int64) <= s.fine_distance
+                kept &= within[i] | (own[i] != own[j])
+                i, j = i[kept], j[kept]
+                agree = (signature[i] == signature[j]).astype(np.float32) @ kept_of.T == s.width - s.errors
+                first = agree.argmax(axis=1) == slot[i]
+                i, j = i[first], j[first]
+            if len(i):
+                swap = component[i] > component[j]
+                yield np.where(swap, doc[j], doc[i]), np.where(swap, doc[i], doc[j])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in cells(batches):
+            found, n = [], 0
+            for pair in pairs(rows):
+                found.append(np.stack(pair))
+                n += found[-1].shape[1]
+                if n >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(found, axis=1))], names=["a", "b"])
+                    found, n = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(found, axis=1))], names=["a", "b"])
+
+    return compare
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, settings: NearSettings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document of `docs`."""
     s, rows = settings or NearSettings(), _documents(docs, key, text)
     signed = materialize(signatures(rows, "doc_id", "text", s), "signatures")
     unique = materialize(_representatives(signed), "representatives")
-    # dealt by key once, for the count of a key and for keeping its rows
-    keyed = index_keys(unique, s).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    keyed = keyed.join(shared.select("key"), "key").join(unique.select("doc_id", "n", "d0", *SKETCHES), "doc_id")
+    # dealt by key once, for the count of a key and for keeping its rows: both read the same rows and columns, so Spark
+    # reuses the exchange; a null id would be linked with nothing
+    keyed = index_keys(unique.filter("doc_id IS NOT NULL"), s).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("slot").alias("slot"))
+    shared = shared.filter("lo < hi and slot >= 0").select("key").hint("shuffle_hash")
+    keyed = keyed.join(shared, "key").join(unique.select("doc_id", "n", "d0", *SKETCHES), "doc_id")
     keyed = materialize(keyed.withColumn("component", F.col("doc_id")), "index")
     named = None  # (node, component) of what is linked so far
     for turn in range(s.pivots + 1):

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import neardup
 from tidemill.llm.common import CLEANUP, materialize
@@ -143,3 +145,92 @@ def test_written_intermediates_leave_no_shuffle_files(spark):
     rows = materialize(spark.range(1000).repartition(7).groupBy("id").count(), "cleanup")
     assert shuffled() <= held
     assert rows.count() == 1000 and spark.conf.get(CLEANUP) == before
+
+
+def test_sets_of_a_batch_are_those_of_its_texts():
+    texts = ["A b\x0bc\td e", None, "", " \n", "a b", "\u00c9 \u00e9t\u00e9 B c " + "x" * 300 + " y", "a B C D e", "a b a b a b a b", "w"]
+    codes, bounds = neardup.shingle_sets(pa.array([*texts, "after"]).slice(0, len(texts)), 4)
+    truth = brute(list(enumerate(texts)), 4)
+    assert np.diff(bounds).tolist() == [truth[i][0] for i in range(len(texts))]
+    for i, text in enumerate(texts):  # whatever stands beside it
+        alone, ends = neardup.shingle_sets(pa.array([text], pa.string()), 4)
+        own = codes[bounds[i] : bounds[i + 1]]
+        assert ends[-1] == len(own) and own.tolist() == alone.tolist() == sorted(set(alone.tolist()))
+    assert codes[bounds[0] : bounds[1]].tolist() == codes[bounds[6] : bounds[7]].tolist()
+
+
+def test_keys_are_dealt_once(spark):
+    rows = [(i, [i % 5 * j % 7 for j in range(30)]) for i in range(40)] + [(None, [1] * 30)]
+    unique = spark.createDataFrame(rows, "doc_id long, signature array<smallint>")
+    keyed = neardup._shared_keys(unique, neardup.NearSettings())
+    dealt = keyed.groupBy("key").count().collect()
+    assert len(dealt) == 75 * 5 and {r["count"] for r in dealt} == {8}
+    keyed.collect()
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("block", [7, 8192])
+def test_last_round_finds_the_pairs_that_the_signatures_hold_for_similar(spark, block):
+    s, rng = neardup.NearSettings(block=block), np.random.default_rng(6)
+    base = rng.integers(-(1 << 63), 1 << 63, 35, dtype=np.int64)  # 192 bits, then 2048
+    values = rng.integers(0, 30000, s.values)
+    rows, pairs = [], set()
+    for i in range(90):
+        own, sign = base.copy(), values.copy()
+        for bit in rng.choice(2240, int(rng.integers(0, 330)), replace=False):
+            own.view(np.uint64)[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        sign[rng.choice(s.values, int(rng.integers(0, 12)), replace=False)] = rng.integers(30000, 32000)
+        rows.append((i, 100 + int(rng.integers(0, 40)), i // 2, own[:3].tolist(), sign.tolist(), own[3:].tolist()))
+
+    def bits(x, y):
+        return sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y))
+
+    for x in rows:
+        for y in rows:
+            if x[2] < y[2] and 100 * min(x[1], y[1]) >= 80 * max(x[1], y[1]):
+                if bits(x[3], y[3]) <= s.sketch_distance and bits(x[5], y[5]) <= s.fine_distance:
+                    same = np.reshape([p == q for p, q in zip(x[4], y[4])], (s.chunks, s.width)).sum(axis=1)
+                    if (same >= s.width - s.errors).any():
+                        pairs.add((x[0], y[0]))
+    df = spark.createDataFrame(rows, "doc_id long, n long, component long, k array<long>, signature array<smallint>, fine array<long>")
+    df = df.select("*", *(F.col("k")[i].alias(c) for i, c in enumerate(neardup.SKETCHES))).drop("k")
+    keyed = neardup.index_keys(df, s).join(df, "doc_id")
+    cells = neardup._cells(keyed, s)
+    assert cells.count() == keyed.count() if block > 90 else cells.count() > keyed.count()
+    dealt = cells.repartition(3, *neardup.CELL).sortWithinPartitions(*neardup.CELL)
+    got = [(r["a"], r["b"]) for r in dealt.mapInArrow(neardup._compared(s), "cell long, a long, b long").collect()]
+    assert sorted(got) == sorted(pairs) and 100 < len(pairs) < 4000
+
+
+def test_a_set_is_sent_once_to_where_its_pairs_are_confirmed(spark):
+    pairs = spark.createDataFrame([(7, a, b) for a in range(40) for b in range(a)], "cell long, a long, b long")
+    sets = spark.createDataFrame([(i, 80, bytes(80)) for i in range(40)], "doc_id long, size long, codes binary")
+    for met, places in ((1 << 20, 1), (1000, 10)):
+        s = neardup.NearSettings(met=met)
+        rows = neardup._met(pairs, sets, neardup._large_cells(pairs, sets, s), s).collect()
+        at = {}
+        for r in rows:
+            at.setdefault((r["low"], r["high"]), []).append(r)
+        assert len(at) <= places and (places == 1 or len(at) > 1)
+        for own in at.values():
+            sent = [r["a"] for r in own if r["b"] is None]
+            assert len(sent) == len(set(sent)) and set(sent) == {x for r in own if r["b"] is not None for x in (r["a"], r["b"])}
+        assert sum(r["b"] is not None for r in rows) == 40 * 39 // 2
+
+
+def test_small_blocks_and_parts_give_the_same_groups(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    hot, rows = [rng.choice(words) for _ in range(200)], []
+    for i in range(120):  # near copies about the threshold, many linked with none
+        own = hot[:]
+        for _ in range(rng.randrange(3, 16)):
+            own[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = neardup.NearSettings(shingle=4, block=9, met=4000, held=0)
+    got = neardup.near_duplicates(df, "doc_id", "text", settings).collect()
+    truth = brute(rows, 4)
+    assert 1 < len({c for _, c, _ in truth.values()}) < 120
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == truth

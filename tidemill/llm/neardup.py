@@ -15,6 +15,9 @@ are formed; (3) what then shares a key across components is compared, filtered b
 by 1-bit signatures before any set is fetched: a short one of every document, then a long one
 that only the documents left in such groups get. At a similarity of 0.8 the long one rules a
 pair out once in fifty million. Of all keys that a pair shares only the first one emits it.
+This comparison is still one of all pairs in a group, but of whole arrays of signatures, some
+nanoseconds a pair, and large groups are cut into pairs of blocks. A set is sent once to
+where its pairs of a group are confirmed.
 So pairs are never emitted for a group, only those that the signatures hold for similar; a
 group of copies costs one comparison for each member and round.
 
@@ -45,6 +48,7 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 PLACES = 64  # of a word, whose terms are looked up
 SLICE = 512 << 10  # bytes of text whose arrays are made at once, one text at least
 CELL = ["key", "low", "high"]
+MEETING = ["cell", "low", "high"]
 SKETCHES = ["k0", "k1", "k2"]  # 64 values of the 1-bit signature each
 
 
@@ -62,6 +66,7 @@ class NearSettings:
     pivots: int = 2  # rounds of comparing with one member
     listed: int = 250_000  # ids that may be broadcast; more go through a shuffle
     block: int = 8192  # rows of a key that are compared in one task; more go in pairs of blocks
+    met: int = 8 << 20  # bytes of sets that are compared in one task; more go in pairs of parts
     held: int = 16 << 20  # bytes of sets that may be broadcast; more go through a shuffle
     seed: int = 5
 
@@ -236,16 +241,17 @@ def _listed(docs: DataFrame, ids: DataFrame, settings: NearSettings) -> DataFram
 
 
 def _sets(docs: DataFrame, ids: DataFrame, settings: NearSettings) -> DataFrame:
-    """(doc_id, codes) of the documents in `ids`, codes as bytes."""
+    """(doc_id, size, codes) of the documents in `ids`, codes as bytes, `size` of them."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             codes, bounds = shingle_sets(batch.column("text"), settings.shingle)
             data, offsets = pa.py_buffer(codes.astype("<u8")), pa.py_buffer((8 * bounds).astype(np.int32))
             sets = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, data])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "codes"])
+            size = pa.array(8 * np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, sets], names=["doc_id", "size", "codes"])
 
-    return _listed(docs, ids, settings).mapInArrow(measure, "doc_id long, codes binary")
+    return _listed(docs, ids, settings).mapInArrow(measure, "doc_id long, size long, codes binary")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
@@ -257,13 +263,12 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """Of the pairs (a, b): those whose sets are similar enough; written."""
+    """Of the pairs (a, b), which have a cell in common: those whose sets are similar enough; written."""
     s = settings
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets(docs, ids, s), "sets")
-    size = sets.agg(F.sum(F.octet_length("codes") + 8)).first()[0] or 0
+    sets = materialize(_sets(docs, _ends(pairs), s), "sets")
+    size = sets.agg(F.sum(F.col("size") + 8)).first()[0] or 0
     if size <= s.held:
-        rows = sets.toArrow()
+        rows = sets.drop("size").toArrow()
         found: dict[int, list[bytes]] = {}  # at most `held` bytes
         for doc_id, codes in zip(rows.column("doc_id").to_pylist(), rows.column("codes").to_pylist()):
             found.setdefault(doc_id, []).append(codes)
@@ -284,22 +289,58 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> Dat
         release(sets)
         return links
 
+    large = _large_cells(pairs, sets, s)
+    rows = _met(pairs, sets, large, s)
+    dealt = rows.repartition(*MEETING).sortWithinPartitions(*MEETING, F.col("b").asc_nulls_first())
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, known = None, {}  # the sets of one meeting place, which come before its pairs
         for batch in batches:
-            flags = [
-                _similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), s.similarity)
-                for x, y in zip(batch.column("x"), batch.column("y"))
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(flags, pa.bool_()))
-
-    left = sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("y"))
-    right = sets.select(F.col("doc_id").alias("a"), F.col("codes").alias("x"))
-    # the pivots' side repeats: adaptive execution splits a pivot that many rows point at
-    links = materialize(pairs.join(left, "b").join(right, "a").mapInArrow(compare, "a long, b long"), "links")
-    release(sets)
+            links = []
+            for *here, a, b, codes in zip(*(batch.column(c).to_pylist() for c in [*MEETING, "a", "b", "codes"])):
+                if here != place:
+                    place, known = here, {}
+                if b is None:
+                    known.setdefault(a, []).append(np.frombuffer(codes, "<u8"))
+                elif any(_similar(x, y, s.similarity) for x in known.get(a, []) for y in known.get(b, [])):
+                    links.append((a, b))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+
+    links = materialize(dealt.mapInArrow(compare, "a long, b long"), "links")
+    release(sets, large)
     return links
 
 
+def _large_cells(pairs: DataFrame, sets: DataFrame, settings: NearSettings) -> DataFrame:
+    """(cell, size) of cells whose sets have more than `met` bytes, so they are few; written."""
+    sizes = sets.select("doc_id", "size").groupBy("doc_id").agg(F.sum("size").alias("size"))
+    cells = _ends(pairs, "cell").join(sizes, "doc_id").groupBy("cell").agg(F.sum("size").alias("size"))
+    return materialize(cells.filter(F.col("size") > settings.met), "large-cells")
+
+
+def _met(pairs: DataFrame, sets: DataFrame, large: DataFrame, settings: NearSettings) -> DataFrame:
+    """Pairs (a, b) and the sets they need, `b` null, by meeting place: a cell, or of a large one a pair of its parts.
+
+    A set is sent to a place once, however many pairs it has there, so what is moved does not
+    grow with the pairs.
+    """
+    parts = F.coalesce(F.ceil(F.col("size") / settings.met), F.lit(1))
+    placed = pairs.join(F.broadcast(large), "cell", "left").withColumn("parts", parts)
+    own, other = (F.pmod(F.xxhash64(c, F.lit(settings.seed)), "parts") for c in ("a", "b"))
+    placed = placed.select("cell", F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), "a", "b")
+    needed = _ends(placed, *MEETING).join(sets.select("doc_id", "codes"), "doc_id")
+    none = F.lit(None)
+    return needed.select(*MEETING, F.col("doc_id").alias("a"), none.cast("long").alias("b"), "codes").union(
+        placed.select(*MEETING, "a", "b", none.cast("binary"))
+    )
+
+
+def _ends(pairs: DataFrame, *place: str) -> DataFrame:
+    """The documents that have a pair in a place."""
+    return pairs.select(*place, F.col("a").alias("doc_id")).union(pairs.select(*place, "b")).distinct()
+
+
 def _representatives(signed: DataFrame) -> DataFrame:
     """One row per distinct non-empty set, with the smallest doc id that has it."""
     return signed.filter("n > 0").groupBy("n", "d0", "d1").agg(
@@ -307,6 +348,18 @@ def _representatives(signed: DataFrame) -> DataFrame:
     )
 
 
+def _shared_keys(unique: DataFrame, settings: NearSettings) -> DataFrame:
+    """The index rows of keys that several documents have; a null id would be linked with nothing.
+
+    Keys are dealt once: the count of a key and the keeping of its rows read the same rows and
+    columns, so Spark reuses the exchange.
+    """
+    keyed = index_keys(unique.filter("doc_id IS NOT NULL"), settings).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("slot").alias("first"))
+    shared = shared.filter("lo < hi AND first >= 0").select("key")
+    return keyed.join(shared.hint("shuffle_hash"), "key")
+
+
 def _apart(keyed: DataFrame) -> DataFrame:
     """The rows of keys that are found in more than one component."""
     groups = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
@@ -314,11 +367,11 @@ def _apart(keyed: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(keyed: DataFrame, settings: NearSettings, turn: int) -> DataFrame:
-    """(a, b): each member of a key's group against the group's pivot, where components differ."""
+    """(a, b): each member of a key's group against the group's pivot, where components differ; the pivot is the cell."""
     rank = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("r"), "doc_id", "component", "n", *SKETCHES)
     groups = keyed.groupBy("key").agg(F.min(rank).alias("p"))
     near = keyed.join(groups, "key").filter("component <> p.component").filter(_close(settings, "", "p."))
-    return near.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    return near.select(F.col("p.doc_id").alias("cell"), F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
 def _close(settings: NearSettings, left: str, right: str):
@@ -347,13 +400,13 @@ def _first_shared(settings: NearSettings):
 
 
 def _cross_pairs(keyed: DataFrame, unique: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """(a, b): members of one key's group in different components, all of `keyed` in such groups, filtered before they are emitted; written."""
+    """(a, b): members of one key's group in different components, all of `keyed` in such groups, filtered before they are emitted; the key is the cell; written."""
     ids = materialize(keyed.select("doc_id").distinct(), "apart-ids")
     fine_rows = materialize(_fine(docs, ids, settings), "fine")
     fine = unique.select("doc_id", "d0", "signature").join(fine_rows, ["doc_id", "d0"])
     rows = _cells(keyed, settings).join(fine, ["doc_id", "d0"]).drop("d0")
     dealt = rows.repartition(*CELL).sortWithinPartitions(*CELL)
-    pairs = materialize(dealt.mapInArrow(_compared(settings), "a long, b long").distinct(), "pairs")
+    pairs = materialize(dealt.mapInArrow(_compared(settings), "cell long, a long, b long"), "pairs")
     release(fine_rows, ids)
     return pairs
 
@@ -370,7 +423,7 @@ def _cells(keyed: DataFrame, settings: NearSettings) -> DataFrame:
 
 
 def _compared(settings: NearSettings):
-    """For batches sorted by cell: (a, b) of the rows of a cell that the signatures hold for similar, from the first key they share."""
+    """For batches sorted by cell: (key, a, b) of the rows of a cell that the signatures hold for similar, from the first key they share."""
     s = settings
     kept_of = np.zeros((len(s.slots), s.values), np.float32)
     for slot, (chunk, kept) in enumerate(s.slots):
@@ -395,7 +448,7 @@ def _compared(settings: NearSettings):
         if held:
             yield pa.Table.from_batches(held)
 
-    def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(rows: pa.Table) -> Iterator[np.ndarray]:
         cell = np.stack([rows.column(c).to_numpy() for c in CELL])
         group = np.concatenate([[0], np.cumsum((cell[:, 1:] != cell[:, :-1]).any(axis=0))])
         sizes = np.bincount(group)
@@ -403,7 +456,7 @@ def _compared(settings: NearSettings):
         group, sizes = group[order], -np.sort(-sizes)
         ends = np.cumsum(sizes)
         doc, component, n, own, slot = (rows.column(c).to_numpy()[order] for c in ("doc_id", "component", "n", "own", "slot"))
-        within = (cell[1] == cell[2])[order]
+        key, within = cell[0][order], (cell[1] == cell[2])[order]
         sketch = [rows.column(c).to_numpy()[order].view(np.uint64) for c in SKETCHES]
         fine, signature = (
             rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order] for c in ("fine", "signature")
@@ -427,19 +480,22 @@ def _compared(settings: NearSettings):
                 i, j = i[first], j[first]
             if len(i):
                 swap = component[i] > component[j]
-                yield np.where(swap, doc[j], doc[i]), np.where(swap, doc[i], doc[j])
+                yield np.stack([key[i], np.where(swap, doc[j], doc[i]), np.where(swap, doc[i], doc[j])])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in cells(batches):
             found, n = [], 0
             for pair in pairs(rows):
-                found.append(np.stack(pair))
-                n += found[-1].shape[1]
+                found.append(pair)
+                n += pair.shape[1]
                 if n >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(found, axis=1))], names=["a", "b"])
+                    yield batch_of(found)
                     found, n = [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(found, axis=1))], names=["a", "b"])
+                yield batch_of(found)
+
+    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(found, axis=1))], names=["cell", "a", "b"])
 
     return compare
 
@@ -449,12 +505,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, settings: NearSettings
     s, rows = settings or NearSettings(), _documents(docs, key, text)
     signed = materialize(signatures(rows, "doc_id", "text", s), "signatures")
     unique = materialize(_representatives(signed), "representatives")
-    # dealt by key once, for the count of a key and for keeping its rows: both read the same rows and columns, so Spark
-    # reuses the exchange; a null id would be linked with nothing
-    keyed = index_keys(unique.filter("doc_id IS NOT NULL"), s).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("slot").alias("slot"))
-    shared = shared.filter("lo < hi and slot >= 0").select("key").hint("shuffle_hash")
-    keyed = keyed.join(shared, "key").join(unique.select("doc_id", "n", "d0", *SKETCHES), "doc_id")
+    keyed = _shared_keys(unique, s).join(unique.select("doc_id", "n", "d0", *SKETCHES), "doc_id")
     keyed = materialize(keyed.withColumn("component", F.col("doc_id")), "index")
     named = None  # (node, component) of what is linked so far
     for turn in range(s.pivots + 1):

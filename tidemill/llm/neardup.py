@@ -382,7 +382,7 @@ def _close(settings: NearSettings, left: str, right: str):
 
 
 def _first_shared(settings: NearSettings):
-    """The row's slot is the first one whose key both signatures share.
+    """The row's slot is the first one whose key both signatures share; `_compared` holds the same on arrays.
 
     A chunk before it must differ in too many values, and in its own chunk the values kept must
     be the first that agree.
